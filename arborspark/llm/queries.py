@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, quality, simhash
+from . import langid, licenses, mixing, pii, quality, simhash
 from .common import table
 
 
@@ -70,6 +71,48 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.scan(docs)
+    base, more = F.col("phrases"), F.col("blocks")
+    labels = F.array_sort(F.array_union(base["label"], more["label"]))
+    score = F.greatest(F.coalesce(F.array_max(more["containment"]), F.lit(0.0)), F.when(F.size(base) > 0, 1.0).otherwise(0.0))
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["word"]).cast("long").alias("first_word"), F.array_max(base["word"]).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base["label"])), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
+    )
+
+
+def _op9_sql() -> str:
+    def starts(phrase: str) -> str:
+        p = phrase.split()
+        same = " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p))
+        return f"[{{'label': '{licenses.PHRASES[phrase]}', 'word': i}} for i in range(0, len(w) - {len(p) - 1}) if {same}]"
+
+    rows = ", ".join(f"('{label}', {tokens!r}, {need})" for label, tokens, need in licenses.sets())
+    return rf"""
+with w as (
+  select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as t,
+         list_filter(string_split_regex(t, '{licenses.APART}'), lambda x: x <> '') as w
+  from documents
+), p as (
+  select r, doc_id, t, len(w) as n, list_concat({", ".join(map(starts, licenses.PHRASES))}) as hits from w
+), template(label, tokens, need) as (values {rows}),
+b as (select r, list_distinct(list_filter(string_split_regex(unnest(string_split(t, chr(10))), '{licenses.APART}'), lambda x: x <> '')) as own from w),
+m as (
+  select r, list(distinct label) as labels, max(share) as share
+  from (select r, label, len(list_intersect(own, tokens)) as k, k::double / len(tokens)::double as share, need from b, template)
+  where k >= need group by r
+)
+select doc_id, n::bigint as n_words, len(hits)::bigint as n_base, list_min([h.word for h in hits])::bigint as first_word,
+       list_max([h.word for h in hits])::bigint as last_word, array_to_string(list_sort(list_distinct([h.label for h in hits])), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat([h.label for h in hits], coalesce(m.labels, [])))), ',') as labels,
+       greatest(coalesce(share, 0.0), case when len(hits) > 0 then 1.0 else 0.0 end)::double as score
+from p left join m using (r)
+"""
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digests of spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +123,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op7_language_id, op10_personal_data)
+    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op7_language_id, op9_license_scan, op10_personal_data)
 }
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_license_scan": _op9_sql()}
