@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, pii, quality, simhash
+from . import langid, licenses, mixing, pii, quality, simhash, topk
 from .common import table
 
 
@@ -63,6 +63,24 @@ from k
 """
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best other vectors of every 50th vector, by integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by PPM code lengths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -123,6 +141,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op7_language_id, op9_license_scan, op10_personal_data)
+    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op6_exact_top_k, op7_language_id, op9_license_scan, op10_personal_data)
 }
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op9_license_scan": _op9_sql()}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op9_license_scan": _op9_sql()}
