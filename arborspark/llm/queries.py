@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, pii, quality, simhash, topk
+from . import langid, licenses, lines, mixing, pii, quality, simhash, tokenize, topk
 from .common import table
 
 
+#: The tokenizer that production queries use.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 64-bit SimHashes of 4-word shingles within 4 bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -63,6 +67,13 @@ from k
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokenize.decode(tokenize.encode(docs, MODEL), MODEL)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best other vectors of every 50th vector, by integer inner product."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -89,6 +100,42 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an equal or one-edit line precedes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
+    out = lines.dedup(docs)
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents
+), o as (select * from l where length(line) >= 20),
+d as (select line, min({'d': doc_id, 'a': pos}) as first, length(line) as n from o group by line),
+s as (
+  select line, first, n, n as m, unnest(['a' || left(line, n // 2), 'b' || right(line, n - n // 2)]) as key, 0 as role from d
+  union all
+  select line, first, n, n - 1, unnest(['a' || left(line, (n - 1) // 2), 'b' || right(line, n - 1 - (n - 1) // 2)]), 1 from d
+), p as (
+  select distinct a.line as x, b.line as y, a.first as fx, b.first as fy
+  from s a join s b on a.role = 0 and a.m = b.m and a.key = b.key and a.line <> b.line
+), v as (
+  select * from p where case when length(x) = length(y)
+    then len(list_filter(range(1, length(x) + 1), lambda i: substring(x, i, 1) <> substring(y, i, 1))) <= 1
+    else len(list_filter(range(1, length(y) + 1), lambda i: left(y, i - 1) || substring(y, i + 1) = x)) > 0 end
+), near as (select distinct case when fx < fy then y else x end as line from v),
+gone as (
+  select o.doc_id, o.pos from o join d on o.line = d.line
+  where o.line in (select line from near) or {'d': o.doc_id, 'a': o.pos} > d.first
+)
+select l.doc_id, count(*)::bigint as n_lines, count(g.pos)::bigint as n_dropped,
+       coalesce(string_agg(l.pos::varchar, ',' order by l.pos) filter (g.pos is not null), '') as dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by l.pos) filter (g.pos is null), '')) as kept_sha256
+from l left join gone g on l.doc_id = g.doc_id and l.pos = g.pos group by l.doc_id
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -141,6 +188,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op6_exact_top_k, op7_language_id, op9_license_scan, op10_personal_data)
+    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op5_sentencepiece, op6_exact_top_k, op7_language_id, op8_line_dedup, op9_license_scan, op10_personal_data)
 }
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op9_license_scan": _op9_sql()}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
