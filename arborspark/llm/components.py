@@ -29,8 +29,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(nodes: DataFrame, found: DataFrame, key: str = "fingerprint", rep: str = "rep", most: int = 60) -> DataFrame:
-    """nodes (key, rep) and links (a, b) between keys -> (key, component_id): the
-    smallest rep of the component."""
+    """nodes (key, rep) and links (a, b) between keys -> (key, root, component_id):
+    the component's smallest key and smallest rep."""
     edges = cut(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
     before = None
     for _ in range(most):
@@ -45,4 +45,4 @@ def components(nodes: DataFrame, found: DataFrame, key: str = "fingerprint", rep
     rooted = nodes.join(edges.select(F.col("u").alias(key), F.col("v").alias("root")), key, "left")
     rooted = rooted.withColumn("root", F.coalesce("root", key))
     least = rooted.groupBy("root").agg(F.min(rep).alias("component_id"))
-    return rooted.join(least, "root").select(key, "component_id")
+    return rooted.join(least, "root").select(key, "root", "component_id")

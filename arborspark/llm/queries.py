@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, mixing, pii, quality, simhash, tokenize, topk
+from . import langid, licenses, lines, mixing, pii, quality, simhash, suffixes, tokenize, topk
 from .common import table
 
 
@@ -29,6 +29,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that start in an earlier one."""
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document for capped weights 1, 2, 3 of its source."""
     out = mixing.mix_sizes(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3)
@@ -188,6 +195,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op4_mix_sources, op5_sentencepiece, op6_exact_top_k, op7_language_id, op8_line_dedup, op9_license_scan, op10_personal_data)
+    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op3_suffix_dedup, op4_mix_sources, op5_sentencepiece, op6_exact_top_k, op7_language_id, op8_line_dedup, op9_license_scan, op10_personal_data)
 }
 SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
