@@ -1,5 +1,416 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's queries over the driver's tables.
+
+Alignments are derived from whole tables: blocks of eight suppliers are the taxa of one
+alignment, months of shipment its sites, and summed quantities its states. The tree
+of ``portable.TREE`` has all suppliers as leaves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborspark.functions import alphabet, models
+from arborspark.functions.likelihood import Scorer, tip
+from arborspark.functions.merging import Options
+from arborspark.functions.optimize import all_branches, five_branches, newton
+from arborspark.operators import alignment, corpus, likelihood, merge, search
+from arborspark.plans import portable as P
+from arborspark.sources import fasta, newick
 
-QUERIES = {}
-SQL = {}
 FLAGSHIP = "merge_flagship"
+TAXA = [f"t{t}" for t in range(8)]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cells(spark: SparkSession, sf_dir: str, states: int = 4, block: int = 8, site: str = "month") -> DataFrame:
+    """(msa_id, ord, site, st): blocks of suppliers as alignments."""
+    d = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
+    at = (F.year("l_shipdate") * 12 + F.month("l_shipdate")) if site == "month" else F.datediff("l_shipdate", F.lit("1970-01-01"))
+    d = d.select(F.floor(F.col("l_suppkey") / block).alias("msa_id"), (F.col("l_suppkey") % block).cast("int").alias("ord"), at.cast("long").alias("site"), "l_quantity")
+    return d.groupBy("msa_id", "ord", "site").agg((F.sum("l_quantity").cast("long") % states).cast("int").alias("st"))
+
+
+def columns(spark: SparkSession, sf_dir: str, states: int = 4, block: int = 8, site: str = "month") -> DataFrame:
+    d = cells(spark, sf_dir, states, block, site).withColumn("mask", F.pow(F.lit(2), F.col("st")).cast("int"))
+    return alignment.from_pivot(d, block, (1 << states + 1) - 1)
+
+
+def patterns(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return alignment.patterns(columns(spark, sf_dir, **options))
+
+
+def _row(masks: str = "masks") -> Column:
+    return F.concat_ws(",", F.col(masks).cast("array<string>")).alias("masks")
+
+
+# -- alignments ------------------------------------------------------------------
+def msa_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.substring(F.lit("ACGT"), F.col("st") + 1, F.lit(1))
+    d = cells(spark, sf_dir).withColumn("mask", alphabet.mask(letters, "DNA"))
+    return d.select("msa_id", "ord", "site", "mask")
+
+
+def msa_detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("msa_id"), F.regexp_replace("p_type", " ", "-").alias("seq"))
+    return alignment.types(d)
+
+
+def msa_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns(spark, sf_dir, site="day", block=4).select("msa_id", F.col("pattern_id").cast("long").alias("pattern_id"), "weight", "first_site", _row())
+
+
+def msa_informative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = patterns(spark, sf_dir, site="day")
+    keep = alignment.informative(4)
+    return d.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n_patterns"), F.count_if(keep).alias("n_informative"))
+
+
+def msa_fitch_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, offset = alignment.only_informative(patterns(spark, sf_dir, site="day", block=4), 4)
+    return offset
+
+
+def msa_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = alignment.sliced(patterns(spark, sf_dir), [6, 0, 3])
+    return d.select("msa_id", "first_site", "weight", _row())
+
+
+def msa_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("msa_id"), F.col("s_name").alias("taxon"), F.col("s_suppkey").alias("ord"), F.repeat(F.lit("ACGT"), 3).alias("seq"))
+    more = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("msa_id"), F.regexp_replace("c_name", "Customer", "Supplier").alias("taxon"), F.col("c_custkey").alias("ord"), F.repeat(F.lit("ACGT"), 3).alias("seq"))
+    return alignment.union(names, more)
+
+
+def msa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summary(patterns(spark, sf_dir, site="day")).select("msa_id", F.col("n_taxa").cast("long").alias("n_taxa"), "n_sites", "n_patterns")
+
+
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as FASTA records, written as text and parsed again."""
+    part = table(spark, sf_dir, "part")
+    seqs = part.select(F.col("p_brand").alias("msa_id"), F.concat(F.lit("p"), F.col("p_partkey")).alias("taxon"), F.col("p_partkey").alias("ord"), F.regexp_replace("p_type", " ", "").alias("seq"))
+    text = F.concat("taxon", F.lit(" size\n"), F.substring("seq", 1, 4), F.lit("\n"), F.expr("substr(seq, 5)"), F.lit(" \r\n"))
+    return fasta.parsed(seqs.select("msa_id", "ord", text.alias("value")))
+
+
+# -- trees -----------------------------------------------------------------------
+NEWICK = "(((I1:0.2,(I2:0.3,I3:0.35):0.15):0.4,R1:0.5):0.3,R2:0.6,(R3:0.1,R4:0.1):0.2);"
+
+
+def newick_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a tree for each region, through the table function in a LATERAL join."""
+    newick.register(spark)
+    rows = table(spark, sf_dir, "region").select("r_regionkey", F.lit(NEWICK).alias("newick"))
+    return spark.sql("select r_regionkey, taxon, round(bl, 9) as bl from {rows}, lateral newick_edges(newick) where taxon is not null", rows=rows)
+
+
+NEWICK_SQL = """select r_regionkey, taxon, bl from region, (values ('I1', 0.2::double), ('I2', 0.3::double), ('I3', 0.35::double),
+  ('R1', 0.5::double), ('R2', 0.6::double), ('R3', 0.1::double), ('R4', 0.1::double)) t(taxon, bl)"""
+
+
+# -- models ----------------------------------------------------------------------
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("t"))
+
+
+def jc_pmatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _lengths(spark, sf_dir).select("p_partkey", F.round(models.jc_same(t), 9).alias("same4"), F.round(models.jc_other(t), 9).alias("other4"), F.round(models.jc_same(t, 20), 9).alias("same20"), F.round(models.jc_other(t, 20), 9).alias("other20"))
+
+
+JC_P_SQL = """with l as (select p_partkey, p_size / 100.0::double as t from part)
+select p_partkey, round(case when t <= 0 then 1 else (1 + 3 * exp(-4 * t / 3)) / 4 end, 9) as same4, round(case when t <= 0 then 0 else (1 - exp(-4 * t / 3)) / 4 end, 9) as other4,
+  round(case when t <= 0 then 1 else (1 + 19 * exp(-20 * t / 19)) / 20 end, 9) as same20, round(case when t <= 0 then 0 else (1 - exp(-20 * t / 19)) / 20 end, 9) as other20 from l"""
+
+
+def jc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("d_same", "d_other", "dd_same", "dd_other")
+    return _lengths(spark, sf_dir).select("p_partkey", *[F.round(c, 9).alias(n) for c, n in zip(models.jc_slopes(F.col("t")), names, strict=True)])
+
+
+JC_D_SQL = """with l as (select p_partkey, case when p_size <= 0 then 1e-10 else p_size / 100.0::double end as t from part)
+select p_partkey, round(-exp(-4 * t / 3), 9) as d_same, round(exp(-4 * t / 3) / 3, 9) as d_other,
+  round(4.0::double / 3 * exp(-4 * t / 3), 9) as dd_same, round(-4.0::double / 9 * exp(-4 * t / 3), 9) as dd_other from l"""
+
+
+def _pmatrix(spark: SparkSession, sf_dir: str, model: models.Model) -> DataFrame:
+    """P(t) of every length that occurs, as rows (t, i, j, p)."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                p = model.p(t)
+                i, j = [x for x in range(model.k) for _ in range(model.k)], list(range(model.k)) * model.k
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(i)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(p.ravel())], ["t", "i", "j", "p"])
+
+    return _lengths(spark, sf_dir).select("t").distinct().mapInArrow(run, "t double, i int, j int, p double")
+
+
+def jtt_pmatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pmatrix(spark, sf_dir, models.jtt())
+
+
+def gtr_pmatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pmatrix(spark, sf_dir, models.gtr([1, 2, 0.5, 0.7, 3, 1], [0.3, 0.2, 0.2, 0.3]))
+
+
+# -- likelihood ------------------------------------------------------------------
+def tip_clv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tip vectors: a value for each alignment, site, taxon and state."""
+    d = columns(spark, sf_dir).select("msa_id", "site", F.posexplode("masks").alias("ord", "mask"))
+    each = [F.when(F.col("mask").bitwiseAND(F.lit(15)) == 0, 1).otherwise(F.shiftright("mask", k).bitwiseAND(F.lit(1))).alias(f"s{k}") for k in range(4)]
+    return d.select("msa_id", "site", "ord", *each)
+
+
+def score_jc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As score_jc, by pattern blocks in NumPy instead of compiled columns."""
+    sites = likelihood.score_sites(patterns(spark, sf_dir), P.heap_tree(), TAXA, models.jukes_cantor(4))
+    return likelihood.total(sites).select("msa_id", F.round("loglik", 6).alias("loglik"))
+
+
+SCORE_BLOCKS_SQL = P.duckdb(P.SCORE_JC).replace("select msa_id, cast(sum(weight) as bigint) as n_sites, count(*) as n_patterns, round(", "select msa_id, round(")
+
+
+def score_many_jtt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.score_many(patterns(spark, sf_dir, states=20), P.heap_tree(), TAXA, "JTT", "AA")
+
+
+def branch_opt_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best length of the branch between two neighbouring taxa, by Newton steps."""
+    m = models.jukes_cantor(4)
+    def job(_, masks, weights):
+        out = []
+        for i in range(0, 8, 2):
+            both = (masks[i] < 16) & (masks[i + 1] < 16)  # gaps carry nothing
+            if both.any():
+                a, b, t, fine = tip(masks[i][both], 4), tip(masks[i + 1][both], 4), 0.1, False
+                for _ in range(20):  # one call is 30 capped steps at most
+                    if not fine:
+                        t, fine = newton(m, weights[both], a, b, t)
+                out.append((i, t))
+        return out
+
+    d = likelihood.per_job(patterns(spark, sf_dir), "ord int, bl double", job)
+    # saturated pairs have no finite best length, so what is compared is the share of
+    # sites that the length found makes different
+    share = 0.75 * (1 - F.exp(-4 * F.col("bl") / 3))
+    return d.where(F.col("bl").isNotNull()).select("msa_id", F.col("ord").cast("long").alias("ord"), F.round(share, 4).alias("differ"))
+
+
+BRANCH_SQL = f"""with cells as ({P.duckdb(P.cells())}),
+p as (select a.msa_id, a.taxon as ord, sum(case when a.st <> b.st then 1 else 0 end) / count(*)::double as p
+      from cells a join cells b on a.msa_id = b.msa_id and a.site = b.site and b.taxon = a.taxon + 1 where a.taxon % 2 = 0 group by 1, 2)
+select msa_id, ord, round(least(p, 0.75), 4) as differ from p"""
+
+
+# -- optimisation ----------------------------------------------------------------
+def _optimised(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, tree = models.jukes_cantor(4), P.heap_tree()
+
+    def job(_, masks, weights):
+        s = Scorer(tree.copy(), dict(zip(TAXA, masks, strict=True)), weights, m)
+        before = s.score()
+        return [(before, all_branches(s, mode), newick.write(s.tree))]
+
+    return likelihood.per_job(patterns(spark, sf_dir), "before double, loglik double, newick string", job)
+
+
+def five_blo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five branches around the root edge of each alignment's tree."""
+    m, tree = models.jukes_cantor(4), P.heap_tree()
+
+    def job(_, masks, weights):
+        s = Scorer(tree, dict(zip(TAXA, masks, strict=True)), weights, m)
+        ends = tuple(tuple(s.message(x, u) for x in sorted(tree.others(u, v))) for u, v in ((2, 3), (3, 2)))
+        start = [tree.adj[2][3], *[tree.adj[u][x] for u, v in ((2, 3), (3, 2)) for x in sorted(tree.others(u, v))]]
+        ll, t = five_branches(m, s.weights, *ends, start, eps=0.1)
+        return [(s.score(), ll, t)]
+
+    return likelihood.per_job(patterns(spark, sf_dir), "before double, loglik double, lengths array<double>", job)
+
+
+# -- merges ----------------------------------------------------------------------
+SIDE_A = "(((s0:.2,s8:.3):.15,s1:.2):.1,(s2:.2,s3:.2):.1,s4:.5);"
+SIDE_B = "(((s4:.2,s9:.3):.15,s5:.2):.1,(s6:.2,s7:.2):.1,s0:.5);"
+
+
+def _jobs(pats: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(f"s{i}") for i in range(10)])
+    given = {"newick_a": F.lit(SIDE_A), "newick_b": F.lit(SIDE_B), "interest_a": F.lit("s4"), "interest_b": F.lit("s0"), "inherited_a": F.array(F.lit("s8")), "inherited_b": F.array(F.lit("s9")), "taxa": names}
+    return pats.select("msa_id").distinct().withColumns(given)
+
+
+def _merged(options: Options, spark: SparkSession, sf_dir: str) -> DataFrame:
+    pats = patterns(spark, sf_dir, block=10)
+    return merge.merge_many(_jobs(pats), pats, "JC", "DNA", options)
+
+
+def merge_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges, each with its own likelihood scored again and the distance to its sides."""
+    out = merge_flagship(spark, sf_dir)
+    pats = patterns(spark, sf_dir, block=10)
+    m = models.jukes_cantor(4)
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        from arborspark.functions.topology import rf
+
+        row = left.to_pylist()[0]
+        tree = newick.parse(row["newick"])
+        masks = likelihood.matrix(right.column("masks"), len(right))
+        rows = {f"s{i}": x for i, x in enumerate(masks)}
+        core, _ = tree.prune(["s8", "s9"])
+        again = Scorer(core, rows, np.asarray(right.column("weight").to_numpy(), float), m).score()
+        far = [rf(tree, newick.parse(t).prune([o])[0])[0] for t, o in ((SIDE_A, "s4"), (SIDE_B, "s0"))]
+        return pa.table({"msa_id": [row["msa_id"]], "n_taxa": [len(tree.names)], "faith_a": [far[0]], "faith_b": [far[1]], "loglik": [row["loglik"]], "ll_score": [again]})
+
+    both = out.groupBy("msa_id").cogroup(pats.groupBy("msa_id")).applyInArrow(run, "msa_id bigint, n_taxa bigint, faith_a bigint, faith_b bigint, loglik double, ll_score double")
+    return corpus.cross_check(both, "loglik", "ll_score", near=1e-6)
+
+
+def merge_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge with inherited clades for every block of ten suppliers."""
+    return _merged(Options(), spark, sf_dir)
+
+
+def spr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best SPR moves of each alignment."""
+    return search.best_moves(search.spr_scores(patterns(spark, sf_dir), P.heap_tree(), TAXA, models.jukes_cantor(4), radius=3), 5)
+
+
+# -- corpus ----------------------------------------------------------------------
+def corpus_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return corpus.first_rows(d, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+def corpus_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    return corpus.counts(table(spark, sf_dir, "orders"), {"ok": s == "F", "errors": s == "P", "dear": F.col("o_totalprice") > 100000}, ["o_orderpriority"])
+
+
+def corpus_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = corpus.summary(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderstatus"])
+    return out.select("o_orderstatus", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "least", "most", "p10", "p90")])
+
+
+def corpus_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.shard(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7).select("o_orderkey", F.col("shard").cast("long").alias("shard"))
+
+
+def corpus_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return corpus.remaining(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, "c_custkey")
+
+
+def corpus_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+    return corpus.top(d, [F.desc("o_totalprice"), F.col("o_orderkey")])
+
+
+def corpus_stem_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msas = table(spark, sf_dir, "customer").select(F.concat(F.lit("/data/msa/c"), "c_custkey", F.lit(".fasta")).alias("path"))
+    trees = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/data/tree/c"), "s_suppkey", F.lit("_true.nwk")).alias("path"))
+    return fasta.match_trees(msas, trees, "_true")
+
+
+def corpus_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
+    return d.select("l_suppkey", F.round(corpus.ratio("price", "quantity"), 4).alias("ratio"))
+
+
+def corpus_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_extendedprice") * (1 + F.col("l_tax") - F.col("l_tax"))).alias("again"), (F.col("l_extendedprice") + F.col("l_discount")).alias("external"))
+    out = corpus.cross_check(d, "l_extendedprice", "again", "external", near=1e-4, far=0.055)
+    return out.groupBy("agree").agg(F.count(F.lit(1)).alias("n"))
+
+
+def external_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("checkpoint\nFinal LogLikelihood: -"), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit("\nElapsed"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(fasta.final_likelihood(line), 2).alias("ll"))
+
+
+def _mask_sql(block: int, site: str, states: int = 4) -> str:
+    at = "year(l_shipdate) * 12 + month(l_shipdate)" if site == "month" else "date_diff('day', date '1970-01-01', l_shipdate::date)"
+    each = ", ".join(f"coalesce(max(case when ord = {t} then m end), {(1 << states + 1) - 1})" for t in range(block))
+    return f"""cells as (select floor(l_suppkey / {block})::bigint as msa_id, (l_suppkey % {block})::int as ord, ({at})::bigint as site,
+  (1 << (sum(l_quantity)::bigint % {states}))::int as m from lineitem group by 1, 2, 3),
+cols as (select msa_id, site, [{each}] as masks from cells group by 1, 2),
+pats as (select msa_id, masks, count(*) as weight, min(site) as first_site from cols group by 1, 2)"""
+
+
+PATTERN_SQL = {
+    "msa_encode": "select floor(l_suppkey / 8)::bigint as msa_id, (l_suppkey % 8)::int as ord, (year(l_shipdate) * 12 + month(l_shipdate))::bigint as site, (1 << (sum(l_quantity)::bigint % 4))::int as mask from lineitem group by 1, 2, 3",
+    "msa_detect_type": "select p_brand as msa_id, case when bool_or(regexp_matches(p_type, '(?i)[EFIJLOPQZX*]')) then 'AA' else 'DNA' end as seq_type from part group by 1",
+    "msa_patterns": "with " + _mask_sql(4, "day") + " select msa_id, row_number() over (partition by msa_id order by first_site) - 1 as pattern_id, weight, first_site, array_to_string(masks, ',') as masks from pats",
+    "msa_informative": "with " + _mask_sql(8, "day") + """,
+u as (select *, list_filter(list_transform(masks, lambda m: m & 15), lambda m: bit_count(m::int) = 1) as s from pats)
+select msa_id, count(*) as n_patterns, count(*) filter (len(s) = 0 or len(list_filter([1, 2, 4, 8], lambda k: len(list_filter(s, lambda m: m = k)) >= 2)) >= 2) as n_informative from u group by 1""",
+    "msa_fitch_offset": "with recursive " + _mask_sql(4, "day") + """,
+u as (select *, list_filter(list_transform(masks, lambda m: m & 15), lambda m: bit_count(m::int) = 1) as s from pats),
+f as (
+  select msa_id, first_site, masks, weight, s, 0 as i, 15 as st, 0 as cost from u
+  union all
+  select msa_id, first_site, masks, weight, s, i + 1, case when st & (masks[i + 1] & 15) = 0 then st | (masks[i + 1] & 15) else st & (masks[i + 1] & 15) end,
+    cost + case when st & (masks[i + 1] & 15) = 0 then 1 else 0 end from f where i < 4
+)
+select msa_id, sum(case when len(s) = 0 or len(list_filter([1, 2, 4, 8], lambda k: len(list_filter(s, lambda m: m = k)) >= 2)) >= 2 then 0 else weight * cost end)::bigint as parsimony_offset
+from f where i = 4 group by 1""",
+    "msa_slice": "with " + _mask_sql(8, "month") + " select msa_id, first_site, weight, array_to_string([masks[7], masks[1], masks[4]], ',') as masks from pats",
+    "msa_union": """with b as (
+  select s_nationkey::varchar as msa_id, s_name as taxon, 0 as side, s_suppkey as o from supplier
+  union all select c_nationkey::varchar, replace(c_name, 'Customer', 'Supplier'), 1, c_custkey from customer
+), f as (select msa_id, taxon, min({'s': side, 'o': o}) as first from b group by 1, 2)
+select msa_id, taxon, row_number() over (partition by msa_id order by first) - 1 as ord, repeat('ACGT', 3) as seq from f""",
+    "msa_summary": "with " + _mask_sql(8, "day") + " select msa_id, 8::bigint as n_taxa, sum(weight)::bigint as n_sites, count(*) as n_patterns from pats group by 1",
+    "fasta_roundtrip": "select p_brand as msa_id, 'p' || p_partkey as taxon, p_partkey as ord, replace(p_type, ' ', '') as seq from part",
+    "tip_clv": "with " + _mask_sql(8, "month") + """,
+e as (select msa_id, site, unnest(range(0, 8))::int as ord, unnest(masks) as m from cols)
+select msa_id, site, ord, """ + ", ".join(f"((m >> {k}) & 1)::int as s{k}" for k in range(4)) + " from e",
+}
+
+CORPUS_SQL = {
+    "corpus_dedup_first": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) x where r = 1",
+    "corpus_status_counts": "select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as ok, count(*) filter (o_orderstatus = 'P') as errors, count(*) filter (o_totalprice > 100000) as dear from orders group by 1",
+    "corpus_percentiles": "select o_orderstatus, count(o_totalprice) as n, round(avg(o_totalprice), 4) as mean, round(median(o_totalprice), 4) as median, round(min(o_totalprice), 4) as least, round(max(o_totalprice), 4) as most, round(quantile_cont(o_totalprice, 0.1), 4) as p10, round(quantile_cont(o_totalprice, 0.9), 4) as p90 from orders group by 1",
+    "corpus_shard": "select o_orderkey, (row_number() over (order by o_orderkey) - 1) % 7 as shard from orders",
+    "corpus_resume": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "corpus_topn": "select o_orderkey, o_totalprice from orders where o_orderstatus = 'P' order by o_totalprice desc, o_orderkey limit 20",
+    "corpus_stem_join": "select 'c' || c_custkey as stem, '/data/msa/c' || c_custkey || '.fasta' as msa_path, case when s_suppkey is not null then '/data/tree/c' || s_suppkey || '_true.nwk' end as tree_path from customer left join supplier on c_custkey = s_suppkey",
+    "corpus_ratios": "select l_suppkey, round(sum(l_extendedprice) / sum(l_quantity), 4) as ratio from lineitem group by 1",
+    "corpus_crosscheck": "select abs(l_extendedprice - l_extendedprice * (1 + l_tax - l_tax)) < 1e-4 and abs(l_extendedprice - (l_extendedprice + l_discount)) < 0.055 as agree, count(*) as n from lineitem group by 1",
+    "external_log": "select o_orderkey, round(-(o_totalprice::decimal(12,2))::double, 2) as ll from orders",
+}
+
+PORTABLE = {
+    "tree_degree": P.DEGREE, "tree_validate": P.VALIDATE, "tree_postorder_depth": P.POSTORDER, "tree_distance": P.DISTANCE, "tree_path_edge": P.PATH_EDGE,
+    "tree_prune": P.PRUNE, "tree_anchor": P.ANCHOR, "tree_anchor_split": P.ANCHOR_SPLIT, "clade_detect": P.CLADES, "splits": P.SPLIT_ROWS, "rf_distance": P.RF,
+    "choose_split": P.CHOOSE, "edge_window": P.WINDOW_ROWS, "edge_window_pairs": P.WINDOW_PAIRS, "nni_neighbors": P.NNI, "spr_prune_points": P.SPR_POINTS,
+    "spr_candidates": P.SPR_TARGETS, "spr_apply": P.SPR_APPLY, "score_jc": P.SCORE_JC, "site_loglik": P.SITE_JC,
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        merge_flagship, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
+        jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, merge_checked, spr_topk,
+        corpus_dedup_first, corpus_status_counts, corpus_percentiles, corpus_shard, corpus_resume, corpus_topn, corpus_stem_join, corpus_ratios, corpus_crosscheck, external_log,
+    )
+}
+QUERIES |= {n: (lambda spark, sf_dir, text=text: P.run(spark, sf_dir, text)) for n, text in PORTABLE.items()}
+QUERIES |= {n: partial(_optimised, m) for n, m in (("full_blo_fast", "fast"), ("full_blo_thorough", "thorough"), ("triplet_opt", "triplet"))}
+QUERIES["merge_full_blo"] = partial(_merged, Options(full_blo="fast"))
+
+SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
+SQL |= PATTERN_SQL | CORPUS_SQL
+SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL}
