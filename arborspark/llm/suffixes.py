@@ -117,31 +117,50 @@ class Chunk:
         return np.searchsorted(self.ends, places, side="right")
 
 
-def _seen(table: pa.Table) -> pa.Table:
-    """(h, chunk): the distinct anchor hashes of a chunk."""
-    c = Chunk(table)
-    h = np.unique(c.hashes).view(np.int64)
-    chunk = table.column("chunk")[0].as_py() if len(table) else 0
-    return pa.table({"h": pa.array(h), "chunk": pa.array(np.full(len(h), chunk, np.int32))})
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, chunk) dealt by h those whose h is in several chunks."""
-    parts = list(batches)
-    if not parts:
-        return
-    h = np.concatenate([b.column(0).to_numpy() for b in parts])
-    chunk = np.concatenate([b.column(1).to_numpy() for b in parts])
+def pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes as compressed differences, byte plane by byte plane."""
+    step = np.diff(h, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(step.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_hashes(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _seen(buckets: int):
+    """(bucket, chunk, block): the distinct anchor hashes of a chunk, by bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = np.unique(Chunk(table).hashes)
+        chunk = table.column("chunk")[0].as_py() if len(table) else 0
+        bucket = (h >> np.uint64(8)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        blocks = [pack_hashes(x) for x in np.split(h[order], first[1:])] if len(h) else []
+        return pa.table({"bucket": pa.array(found.astype(np.int32)), "chunk": pa.array([chunk] * len(found), pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """(chunk, block): of a bucket's hashes, for each chunk those that others have too."""
+    chunks = table.column("chunk").to_pylist()
+    parts = [unpack_hashes(b) for b in table.column("block").to_pylist()]
+    h = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     del parts
     order = np.argsort(h, kind="stable")
-    h, chunk = h[order], chunk[order]
+    h, owner = h[order], owner[order]
     same = h[1:] == h[:-1]
     twice = np.zeros(len(h), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    h, chunk = h[twice], chunk[twice]
-    for at in range(0, len(h), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 18)]), pa.array(chunk[at : at + (1 << 18)])], ["h", "chunk"])
+    h, owner = h[twice], owner[twice]
+    order = np.argsort(owner, kind="stable")  # within an owner still sorted
+    found, first = np.unique(owner[order], return_index=True)
+    blocks = [pack_hashes(x) for x in np.split(h[order], first[1:])] if len(h) else []
+    return pa.table({"chunk": pa.array([chunks[i] for i in found], pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,8 +353,7 @@ def _send(buckets: int):
         h = c.hashes[order]
         doc = c.documents(c.places[order])
         # hashes that other chunks have, or several documents of this one
-        far = np.unique(shared.column("h").to_numpy()).view(np.uint64) if len(shared) else np.zeros(0, np.uint64)
-        far.sort()
+        far = np.sort(np.concatenate([*map(unpack_hashes, shared.column("block").to_pylist()), np.zeros(0, np.uint64)]))
         wanted = np.zeros(len(h), bool)
         if len(far):
             at = np.minimum(np.searchsorted(far, h), len(far) - 1)
@@ -445,8 +463,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     chunks = blocks_for(total, chunk_bytes)
     d = docs.select(F.pmod(F.xxhash64(col(doc_id), F.when(col(doc_id).isNull(), F.xxhash64(col(text)))), F.lit(chunks)).cast("int").alias("chunk"), col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     by_chunk = d.groupBy("chunk")
-    seen = by_chunk.applyInArrow(_seen, "h long, chunk int")
-    shared = seen.repartition("h").mapInArrow(_shared, "h long, chunk int")
+    seen = by_chunk.applyInArrow(_seen(chunks), "bucket int, chunk int, block binary")
+    shared = seen.groupBy("bucket").applyInArrow(_shared, "chunk int, block binary")
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_send(chunks), "bucket int, chunk int, block binary")
     spans = sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(0).alias("part")).applyInArrow(_merge_bucket, SPANS)
     return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(_apply, KEPT)
