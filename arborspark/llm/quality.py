@@ -3,8 +3,10 @@
 Every rule looks at the measures of one document and votes good (1), bad (-1) or
 abstains (0). Nothing is filtered by all-must-pass: expectation-maximisation over
 the vote patterns of the whole corpus estimates how often each rule votes, right
-or wrong, in good and in bad documents (conditionally independent votes with three
-outcomes), and a document's posterior probability of being good decides.
+or wrong, in good documents and in each kind of bad ones (votes are independent
+within a class), and a document's posterior probability of being good decides.
+Bad documents come in kinds that different rules notice, so one class for all of
+them would let the rules that are silent about a kind outvote the one that isn't.
 
 The E- and M-steps need only the count of each vote pattern. There are at most
 3 ** len(RULES) patterns (729), whatever the corpus, so the counts are aggregated
@@ -112,44 +114,56 @@ def rules(m: dict[str, Column]) -> dict[str, Column]:
     return {
         "word_length": _vote((length >= 3) & (length <= 9), (length < 2) | (length > 14)),
         "symbols": _vote(symbols <= 0.02, symbols > 0.1),
-        "lines": _vote(m["n_dup_lines"] == 0, (m["n_dup_lines"] / lines) > 0.3),
+        "lines": _vote(m["n_dup_lines"] == 0, (m["n_dup_lines"] / lines) > 0.5),
         "repeats": _vote(repeats <= 0.05, repeats > 0.3),
         "upper": _vote(m["n_upper"] / n <= 0.15, m["n_upper"] / n > 0.5),
         "variety": _vote((m["n_distinct"] / n >= 0.3) | (m["n_words"] > 2000), (m["n_words"] >= 30) & (m["n_distinct"] / n < 0.12)),
     }
 
 
-def em(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.9, steps: int = 100, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of 'good' for each vote pattern, P(vote | class), P(good).
+def em(votes: np.ndarray, counts: np.ndarray, *, steps: int = 200, smooth: float = 1.0, slip: float = 0.01, anchor: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of 'good' for each vote pattern, P(vote | class) and class weights.
 
-    votes: (patterns, rules) of -1, 0, 1; counts: documents of each. Starts from
-    rules that are right 0.8 of the time they vote, which also names the classes.
+    votes: (patterns, rules) of -1, 0, 1; counts: documents of each. Class 0 is good;
+    class 1 + j is the kind of bad documents that rule j speaks of. A kind starts
+    from the votes that go along with a bad vote of its rule, the good class from
+    documents without any bad vote and a share ``slip`` of wrong ones; then each
+    rule's accuracy in each class, and the classes' weights, are estimated. A kind's own
+    rule notices it with probability ``anchor`` at least, or it would drift away.
     """
     p, r = votes.shape
     if not p:
-        return np.zeros(0), np.zeros((2, r, 3)), prior
-    shown = votes + 1
-    one = np.eye(3)[shown]  # patterns, rules, outcome
+        return np.zeros(0), np.zeros((1 + r, r, 2)), np.zeros(1 + r)
+    one = np.stack([votes == -1, votes == 1], axis=2).astype(float)  # patterns, rules, vote; abstaining says nothing
+    bad = votes == -1
+    start = np.column_stack([~bad.any(1), *bad.T]).astype(float) * counts[:, None]  # patterns, classes
     rate = (one * counts[:, None, None]).sum(0) + smooth
     rate /= rate.sum(1, keepdims=True)
-    lik = np.stack([rate * np.array([0.4, 1, 1.6]), rate * np.array([1.6, 1, 0.4])])
+    lik = np.einsum("pc,prv->crv", start, one) + smooth * rate
     lik /= lik.sum(2, keepdims=True)
-    good = prior
-    post = np.full(p, prior)
+    lik[0] = (1 - slip) * lik[0] + slip * np.array([1.0, 0])
+    weight = start.sum(0) + smooth
+    weight /= weight.sum()
+    post = np.zeros((p, 1 + r))
     for _ in range(steps):
-        logs = (one[None] * np.log(lik)[:, None]).sum((2, 3)) + np.log([[good], [1 - good]])
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -700, 700)))
+        logs = np.einsum("prv,crv->pc", one, np.log(np.maximum(lik, 1e-300))) + np.log(weight)
+        new = np.exp(logs - logs.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
         done, post = np.abs(new - post).max() < 1e-9, new
-        w = np.stack([post, 1 - post]) * counts
-        lik = (w[:, :, None, None] * one[None]).sum(1) + smooth * rate
+        share = post * counts[:, None]
+        lik = np.einsum("pc,prv->crv", share, one) + smooth * rate
         lik /= lik.sum(2, keepdims=True)
-        good = float(np.clip(w[0].sum() / counts.sum(), 1e-6, 1 - 1e-6))
+        for j in range(r):  # a kind stays one that its rule notices more often than not
+            if (seen := lik[1 + j, j, 0]) < anchor:
+                lik[1 + j, j] = anchor, 1 - anchor
+        weight = share.sum(0) + 1e-6
+        weight /= weight.sum()
         if done:
             break
-    return post, lik, good
+    return post[:, 0], lik, weight
 
 
-def judge(docs: DataFrame, text: str = "text", *, threshold: float = 0.5, prior: float = 0.9) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", *, threshold: float = 0.5) -> DataFrame:
     """docs with measures, base_failed, quality (posterior probability) and kept."""
     m = measured(docs, text)
     names = dict(zip(MEASURES, m.columns[len(docs.columns) :], strict=True))
@@ -158,7 +172,7 @@ def judge(docs: DataFrame, text: str = "text", *, threshold: float = 0.5, prior:
     pattern = F.concat_ws(",", *[v.cast("string") for v in votes.values()])
     found = m.groupBy(pattern.alias("p")).count().collect()  # at most 3 ** len(votes) rows
     table = np.array([[int(x) for x in r["p"].split(",")] for r in found], int).reshape(-1, len(votes))
-    post, _, _ = em(table, np.array([r["count"] for r in found], float), prior=prior)
+    post, _, _ = em(table, np.array([r["count"] for r in found], float))
     score = F.lit(0.0)
     if found:
         known = F.create_map(*[F.lit(x) for r, p in zip(found, post, strict=True) for x in (r["p"], float(p))])
