@@ -17,7 +17,7 @@ from arborspark.functions import alphabet, models
 from arborspark.functions.likelihood import Scorer, tip
 from arborspark.functions.merging import Options
 from arborspark.functions.optimize import all_branches, five_branches, newton
-from arborspark.operators import alignment, corpus, likelihood, merge, search
+from arborspark.operators import alignment, corpus, likelihood, merge, search, validation
 from arborspark.plans import portable as P
 from arborspark.sources import fasta, newick
 
@@ -283,6 +283,12 @@ def merge_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(Options(), spark, sf_dir)
 
 
+def corpus_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of sixteen suppliers: their known tree is split and merged again."""
+    taxa = [f"t{t}" for t in range(16)]
+    return validation.validate(patterns(spark, sf_dir, block=16), P.heap_tree(16), taxa, models.jukes_cantor(4)).drop("time_sec")
+
+
 def spr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best SPR moves of each alignment."""
     return search.best_moves(search.spr_scores(patterns(spark, sf_dir), P.heap_tree(), TAXA, models.jukes_cantor(4), radius=3), 5)
@@ -403,7 +409,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         merge_flagship, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
-        jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, merge_checked, spr_topk,
+        jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, merge_checked, corpus_validate, spr_topk,
         corpus_dedup_first, corpus_status_counts, corpus_percentiles, corpus_shard, corpus_resume, corpus_topn, corpus_stem_join, corpus_ratios, corpus_crosscheck, external_log,
     )
 }

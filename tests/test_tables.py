@@ -109,6 +109,16 @@ def test_incremental_runs_skip_what_is_done(spark, tmp_path):
     assert sorted(r["n"] for r in go().collect()) == [3, 3]
 
 
+def test_appended_results(spark, tmp_path):
+    from arborspark.sources import results
+
+    rows = spark.createDataFrame([("m1", 1.5)], "msa string, loglik double")
+    for _ in range(2):
+        results.append(rows, str(tmp_path / "out"), {"model": "JC"})
+    assert results.read_results(spark, str(tmp_path / "out")).count() == 2
+    assert spark.read.text(str(tmp_path / "out.config")).count() == 2
+
+
 def test_results_and_logs(spark, tmp_path):
     for i, n in enumerate(("b.csv", "a.csv")):
         (tmp_path / n).write_text(f"msa,loglik\nm1,{i}\n")
