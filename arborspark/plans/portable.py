@@ -13,8 +13,16 @@ from arborspark.functions.topology import Tree
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    names = set(re.findall(r"\{(\w+)\}", text))
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
+    tables = {}
+    if NODES in text:
+        # recursion reads the nodes once a level: they are computed once and kept (lineage
+        # stays, so a lost executor's part is computed again)
+        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").persist()
+        up = spark.sql("with " + NODES.rstrip(",") + " select * from up", supplier=suppliers).persist()
+        tables = {"supplier": suppliers, "tree_up": up}
+        text = text.replace(NODES, "n as (select cast(count(*) as bigint) as n from {supplier}),\nup as (select * from {tree_up}),")
+    names = set(re.findall(r"\{(\w+)\}", text)) - set(tables)
+    tables |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
     return spark.sql(re.sub(r"@list\((\w+)\)", r"listagg(cast(\1 as string), ',') within group (order by \1)", text), **tables)
 
 
@@ -24,12 +32,13 @@ def duckdb(text: str) -> str:
 
 #: A binary tree whose leaves are all suppliers: inner nodes 2 to n - 1, supplier s at
 #: node n + s, the parent of i is i div 2, and the root is suppressed into edge 2-3.
-TREE = """with recursive n as (select cast(count(*) as bigint) as n from {supplier}),
+NODES = """n as (select cast(count(*) as bigint) as n from {supplier}),
 up as (
   select node, taxon, cast(floor(node / 2) as bigint) as parent, 0.05e0 + (node % 7) * 0.03e0 as bl
   from (select s_suppkey + n as node, s_suppkey as taxon from {supplier}, n
         union all select s_suppkey, cast(null as bigint) from {supplier} where s_suppkey >= 2) x
-),
+),"""
+TREE = "with recursive " + NODES + """
 edge as (
   select parent as u, node as v, bl from up where parent > 1
   union all select cast(2 as bigint), cast(3 as bigint), sum(bl) from up where parent = 1

@@ -17,7 +17,7 @@ from arborspark.functions import alphabet, models
 from arborspark.functions.likelihood import Scorer, tip
 from arborspark.functions.merging import Options
 from arborspark.functions.optimize import all_branches, five_branches, newton
-from arborspark.operators import alignment, corpus, likelihood, merge, search, validation
+from arborspark.operators import alignment, corpus, likelihood, merge, search, trees, validation
 from arborspark.plans import portable as P
 from arborspark.sources import fasta, newick
 
@@ -115,6 +115,46 @@ NEWICK_SQL = """select r_regionkey, taxon, bl from region, (values ('I1', 0.2::d
   ('R1', 0.5::double), ('R2', 0.6::double), ('R3', 0.1::double), ('R4', 0.1::double)) t(taxon, bl)"""
 
 
+def _supplier_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caterpillar of each nation's customers: (nation, newick), written by Spark."""
+    named = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.format_string("c%09d", F.col("c_custkey")).alias("taxon"))
+    each = named.groupBy("nation").agg(F.array_sort(F.collect_list("taxon")).alias("t")).where(F.size("t") >= 4)
+    inner = F.aggregate(F.slice("t", 3, F.size("t") - 3), F.concat(F.lit("("), F.col("t")[0], F.lit(":0.1,"), F.col("t")[1], F.lit(":0.1)")), lambda a, x: F.concat(F.lit("("), a, F.lit(":0.1,"), x, F.lit(":0.2)")))
+    return each.select("nation", "t", F.concat(F.substr(inner, F.lit(1), F.length(inner) - 1), F.lit(","), F.element_at("t", -1), F.lit(":0.3);")).alias("newick"))
+
+
+def trees_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge counts and total length of a tree a nation."""
+    e = trees.edges(_supplier_trees(spark, sf_dir), ["nation"])
+    return e.groupBy("nation").agg(F.count(F.lit(1)).alias("n_edges"), F.count("taxon").alias("n_leaves"), F.round(F.sum("bl"), 6).alias("length"))
+
+
+TREES_EDGES_SQL = """with c as (select c_nationkey as nation, count(*) as n from customer group by 1 having count(*) >= 4)
+select nation, 2 * n - 3 as n_edges, n as n_leaves, round(0.1 * 2 + 0.2 * (n - 3) + 0.3 + 0.1 * (n - 3), 6)::double as length from c"""
+
+
+def trees_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many splits of each size a nation's tree has."""
+    s = trees.splits(_supplier_trees(spark, sf_dir), ["nation"])
+    return s.groupBy("nation", F.size("split").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+TREES_SPLITS_SQL = """with c as (select c_nationkey as nation, count(*) as n from customer group by 1 having count(*) >= 4),
+s as (select nation, unnest(range(2, n - 1)) as k, n from c)
+select nation, least(k, n - k) as size, count(*) as n from s group by 1, 2"""
+
+
+def trees_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's tree without its first customer, against the whole tree."""
+    t = _supplier_trees(spark, sf_dir)
+    cut = trees.pruned(t.withColumn("remove", F.slice("t", 1, 1)), ["nation", "newick"])
+    d = trees.distances(cut, ["nation"], "newick", "pruned")
+    return d.select("nation", F.col("rf").cast("long").alias("rf"), F.col("n_common").cast("long").alias("n_common"))
+
+
+TREES_PRUNED_SQL = "select c_nationkey as nation, 0::bigint as rf, count(*) - 1 as n_common from customer group by 1 having count(*) >= 4"
+
+
 # -- models ----------------------------------------------------------------------
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("t"))
@@ -409,7 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         merge_flagship, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
-        jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, merge_checked, corpus_validate, spr_topk,
+        jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, merge_checked, corpus_validate, trees_edges, trees_splits, trees_pruned, spr_topk,
         corpus_dedup_first, corpus_status_counts, corpus_percentiles, corpus_shard, corpus_resume, corpus_topn, corpus_stem_join, corpus_ratios, corpus_crosscheck, external_log,
     )
 }
@@ -419,4 +459,4 @@ QUERIES["merge_full_blo"] = partial(_merged, Options(full_blo="fast"))
 
 SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
 SQL |= PATTERN_SQL | CORPUS_SQL
-SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL}
+SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL, "trees_edges": TREES_EDGES_SQL, "trees_splits": TREES_SPLITS_SQL, "trees_pruned": TREES_PRUNED_SQL}

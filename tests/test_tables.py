@@ -126,3 +126,22 @@ def test_results_and_logs(spark, tmp_path):
     assert corpus.first_rows(rows, "msa", ["shard", "line"]).first()["loglik"] == "1"
     one = spark.createDataFrame([("x\nFinal LogLikelihood: -12.5\n",), ("nothing",)], "log string")
     assert [r[0] for r in one.select(fasta.final_likelihood(F.col("log"))).collect()] == [-12.5, None]
+
+
+def test_tables_of_trees(spark):
+    from arborspark.operators import trees
+
+    text = "(((L1:0.1,L2:0.1):0.2,O1:0.5):0.3,C1:0.4,(O2:0.5,(R1:0.1,R2:0.1):0.2):0.3);"
+    rows = [(1, text, ["O1", "O2"], "L1"), (2, "((a,b),(c,d));", ["a"], "b"), (3, "((", [], "x")]
+    d = spark.createDataFrame(rows, "id int, newick string, remove array<string>, leaf string")
+    assert {r["id"]: r["error"] is None for r in trees.problems(d, ["id"]).collect()} == {1: True, 2: True, 3: False}
+    got = {r["id"]: r for r in trees.pruned(d, ["id"]).collect()}
+    assert got[1]["anchors"] == {"O1": ["L1", "L2"], "O2": ["R1", "R2"]} and got[3]["error"]
+    assert trees.edges(d.where("id = 1"), ["id"]).count() == 11
+    assert trees.windows(d.where("id < 3"), ["id"], n=3).groupBy("id").count().where("count = 3").count() == 2
+    assert trees.neighbours(d.where("id = 1"), ["id"]).count() == 8
+    assert trees.neighbours(d.where("id = 1"), ["id"], radius=2).count() > 8
+    assert [r["clade"] for r in trees.clades(d.where("id = 1"), ["id"], "remove").collect()] == [["O1"], ["O2"]]
+    pairs = d.where("id = 1").select("id", F.col("newick").alias("newick_a"), F.col("newick").alias("newick_b"))
+    assert trees.distances(pairs, ["id"]).first()["rf"] == 0
+    assert trees.splits(d.where("id = 1"), ["id"], "remove").count() == 0
