@@ -29,7 +29,9 @@ extra columns stay.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -41,7 +43,8 @@ from pyspark.sql import types as T
 from .common import fresh
 
 MARK = "▁"
-MEMO = 200_000
+MEMO = 150_000
+PACK = struct.Struct("<i").pack
 
 
 @dataclass(frozen=True)
@@ -91,7 +94,8 @@ class Encoder:
 
     v: Vocabulary
     memo: dict[str, bytes] = field(default_factory=dict)
-    fits: dict[tuple[int, int], bool] = field(default_factory=dict)
+    fits: dict[int, bool] = field(default_factory=dict)
+    paths: dict[str, tuple[bytes, int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         inner = [p for p in self.v.normal if len(p) > 1]
@@ -100,13 +104,18 @@ class Encoder:
         apart = "".join(c for c in "\n" if not any(c in p for p in self.v.normal))
         self.units = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+|[{apart}]" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+") if by_word else None
         # characters that some longer piece ends with: others need no search
-        self.text_of = [b"" if i in self.v.hidden else p.encode() for i, p in enumerate(self.v.pieces)]
-        for b, i in enumerate(self.v.byte_ids):
-            self.text_of[i] = bytes([b])
-        self.text_of = [t.replace(MARK.encode(), b" ") if i not in self.v.byte_ids else t for i, t in enumerate(self.text_of)]
-        if not self.v.byte_ids:
-            self.text_of[self.v.unknown] = " ⁇ ".encode()
         self.least = min([0.0, *self.v.scores]) - 10
+        # pieces from their ends: each character leads to (the piece of these, the tree above)
+        above: dict[str, dict] = {"": {}}
+        for text in sorted(self.v.normal):
+            for k in range(1, len(text) + 1):
+                tail = text[len(text) - k :]
+                if tail not in above:
+                    above[tail] = {}
+                    above[tail[1:]][tail[0]] = (self.v.normal.get(tail), above[tail])
+        self.endings = above[""]
+        #: neighbours inside some piece; between any others a piece always ends
+        self.inside = {text[k : k + 2] for text in self.v.normal for k in range(len(text) - 1)}
 
     # -- encoding ---------------------------------------------------------
     def encode(self, text: str) -> bytes:
@@ -118,16 +127,48 @@ class Encoder:
             marked = MARK + marked
         if self.units is None:
             return np.fromiter(self.stream(marked), "<i4").tobytes()
-        return b"".join(map(self._unit, self.units.findall(marked)))
+        known = self.memo.get
+        return b"".join([known(u) or self._unit(u) for u in self.units.findall(marked)])
 
     def _unit(self, unit: str) -> bytes:
         got = self.memo.get(unit)
         if got is None:
-            got = np.fromiter(self.stream(unit), "<i4").tobytes()
-            if len(unit) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[unit] = got
+            if len(unit) > 64 or not self.v.merges:
+                return np.fromiter(self.stream(unit), "<i4").tobytes()
+            cut = next((k for k in range(len(unit) - 1, 0, -1) if unit[k - 1 : k + 1] not in self.inside), 0)
+            got = self._unit(unit[:cut]) + self._unit(unit[cut:]) if cut else self._survivor(unit)[0]
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[unit] = got
+        return got
+
+    def _survivor(self, part: str) -> tuple[bytes, int]:
+        """(ids, last piece) of the one path of a byte-pair model that ends with ``part``:
+        what ``stream`` keeps for this boundary, found from the end. Words share their
+        beginnings, so these are memoised too."""
+        got = self.paths.get(part)
+        if got is not None:
+            return got
+        node, i, found = self.endings, len(part), []
+        while i and (step := node.get(part[i - 1])) is not None:
+            i -= 1
+            piece, node = step
+            if piece is not None:
+                found.append((i, piece))
+        for i, piece in reversed(found):
+            if not i:
+                got = PACK(piece), piece
+                break
+            ids, left = self._survivor(part[:i])
+            if left < 0 or self._compatible(left, piece):
+                got = ids + PACK(piece), piece
+                break
+        else:  # outside the vocabulary: stands alone
+            before = self._survivor(part[:-1])[0] if len(part) > 1 else b""
+            got = before + b"".join(map(PACK, self._plain([-2 - ord(part[-1])]))), -1
+        if len(self.paths) >= MEMO:
+            self.paths.clear()
+        self.paths[part] = got
         return got
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
@@ -197,10 +238,10 @@ class Encoder:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging the text of two pieces gives these two pieces again."""
-        key = (left, right)
+        key = left << 20 | right
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) >= 4 * MEMO:
+            if len(self.fits) >= MEMO:
                 self.fits.clear()
             got = self.fits[key] = self.merge(self.v.pieces[left] + self.v.pieces[right]) == [self.v.pieces[left], self.v.pieces[right]]
         return got
@@ -208,19 +249,53 @@ class Encoder:
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging, best rank first and leftmost among equals: the
         definition, used on pairs of pieces only."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranked = [(-self.v.scores[p], i) for i in range(len(parts) - 1) if (p := self.v.normal.get(parts[i] + parts[i + 1])) is not None]
-            if not ranked:
-                break
-            _, i = min(ranked)
+        parts, normal, scores = list(text), self.v.normal, self.v.scores
+
+        def cost(i: int) -> float:
+            piece = normal.get(parts[i] + parts[i + 1])
+            return math.inf if piece is None else -scores[piece]
+
+        costs = [cost(i) for i in range(len(parts) - 1)]
+        while costs and (least := min(costs)) < math.inf:
+            i = costs.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(i - 1)
+            if i < len(costs):
+                costs[i] = cost(i)
         return parts
 
-    # -- decoding ---------------------------------------------------------
+    def decode(self, ids: Iterable[int]) -> str:
+        return Decoder.of(self.v).decode(ids)
+
+
+@dataclass(frozen=True)
+class Decoder:
+    """The bytes of each piece."""
+
+    text_of: tuple[bytes, ...]
+    dummy_prefix: bool
+
+    @classmethod
+    def of(cls, v: Vocabulary) -> Decoder:
+        text = [b"" if i in v.hidden else p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces)]
+        for b, i in enumerate(v.byte_ids):
+            text[i] = bytes([b])
+        if not v.byte_ids:
+            text[v.unknown] = " ⁇ ".encode()
+        return cls(tuple(text), v.dummy_prefix)
+
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.text_of.__getitem__, ids)).decode(errors="replace")
-        return text[1:] if self.v.dummy_prefix and text[:1] == " " else text
+        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of one at a time stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -235,39 +310,44 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", *, out: str = "ids") -> DataFrame:
-    """docs plus ``ids`` array<int>."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
-    (name,) = fresh(docs, out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False))])
+def encode(docs: DataFrame, model_path: str, text: str = "text", *, out: str = "ids", verified: str | None = None) -> DataFrame:
+    """docs plus ``ids`` array<int>, and if a name is given for it a boolean column
+    ``verified``: whether the ids decode to the text (null: no ids, true)."""
+    v = Vocabulary.load(model_path)
+    shared, plain = (docs.sparkSession.sparkContext.broadcast(x) for x in (v, Decoder.of(v)))
+    names = fresh(docs, out, *([verified] if verified else []))
+    more = [T.StructField(names[0], T.ArrayType(T.IntegerType(), False)), *[T.StructField(n, T.BooleanType(), False) for n in names[1:]]]
     text_at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for b in batches:
-            got = [None if t is None else e.encode(t) for t in b.column(text_at).to_pylist()]
+        for b in _slices(batches):
+            texts = b.column(text_at).to_pylist()
+            got = [None if t is None else e.encode(t) for t in texts]
             sizes = np.cumsum([0, *[len(g) // 4 if g else 0 for g in got]])
-            values = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join(g for g in got if g))])
-            nulls = pa.array([g is None for g in got], pa.bool_())
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values, mask=nulls)
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, name])
+            values = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join([g for g in got if g]))])
+            made = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values, mask=pa.array([g is None for g in got], pa.bool_()))]
+            if verified:
+                d = plain.value
+                made.append(pa.array([g is None or d.decode(np.frombuffer(g, "<i4").tolist()) == t for g, t in zip(got, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", *, out: str = "decoded") -> DataFrame:
     """rows plus ``decoded`` string."""
-    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
+    shared = rows.sparkSession.sparkContext.broadcast(Decoder.of(Vocabulary.load(model_path)))
     (name,) = fresh(rows, out)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
-        for b in batches:
+        text_of = shared.value
+        for b in _slices(batches):
             c = b.column(at)
             values, ends, valid = c.values.to_numpy(zero_copy_only=False), c.offsets.to_pylist(), c.is_valid().to_pylist()
-            texts = [e.decode(values[x:y].tolist()) if ok else None for x, y, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
+            texts = [text_of.decode(values[x:y].tolist()) if ok else None for x, y, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)
