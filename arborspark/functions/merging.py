@@ -16,10 +16,14 @@ from arborspark.sources import newick
 
 from .likelihood import Scorer
 from .models import Model
-from .optimize import EPSILON, all_branches, five_branches
+from .optimize import EPSILON, all_branches, five_branches_many
 from .topology import Clade, Edge, Tree, edge
 
 
+#: Numbers of a message array that are worked on at once: bounds a task's memory.
+BATCH = 1 << 19
+
+
 @dataclass(frozen=True)
 class Options:
     window: int = 14
@@ -74,11 +78,16 @@ def connect(a: Side, b: Side, masks: Mapping[str, np.ndarray], weights: np.ndarr
     ends = []
     for side, s in zip((a, b), scorers, strict=True):
         ends.append([((u, v), (s.message(u, v), s.message(v, u)), side.core.adj[u][v] / 2) for u, v in side.core.window(*side.anchor, o.window)])
+    pairs = [(i, j) for i in range(len(ends[0])) for j in range(len(ends[1]))]
     w = scorers[0].weights
-    for ea, ma, ha in ends[0]:
-        for eb, mb, hb in ends[1]:
-            ll, t = five_branches(model, w, ma, mb, [o.connector, ha, ha, hb, hb], eps=o.eps_five)
-            found.append((ll, ea, eb, t))
+    step = max(1, BATCH // (model.k * max(1, len(w))))
+    for at in range(0, len(pairs), step):
+        block = pairs[at : at + step]
+        chosen = [[ends[0][i][1][0] for i, _ in block], [ends[0][i][1][1] for i, _ in block], [ends[1][j][1][0] for _, j in block], [ends[1][j][1][1] for _, j in block]]
+        stacked = [(np.stack([m[0] for m in ms]), np.stack([m[1] for m in ms])) for ms in chosen]
+        start = np.array([[o.connector, ends[0][i][2], ends[0][i][2], ends[1][j][2], ends[1][j][2]] for i, j in block])
+        lls, lengths = five_branches_many(model, w, stacked, start, eps=o.eps_five)
+        found += [(float(ll), ends[0][i][0], ends[1][j][0], t.tolist()) for (i, j), ll, t in zip(block, lls, lengths, strict=True)]
     return max(found, key=lambda x: x[0])  # the first of equals
 
 

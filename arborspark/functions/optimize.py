@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .likelihood import FLOOR, Message, Scorer, across, joined
+from .likelihood import BOOST, FLOOR, TINY, Message, Scorer, across, joined
 from .models import Model
 from .topology import Edge, Tree
 
@@ -51,10 +51,9 @@ def five_branches(model: Model, weights: np.ndarray, a: tuple[Message, Message],
     """
     t = list(start)
     ends = [*a, *b]
-    last = -np.inf
-    while sweeps:
-        sweeps -= 1
-        u, v = (joined(model, (ends[i], t[1 + i]), (ends[i + 1], t[2 + i])) for i in (0, 2))
+    u, v = (joined(model, (ends[i], t[1 + i]), (ends[i + 1], t[2 + i])) for i in (0, 2))
+    last = across(model, weights, u, v, t[0])
+    for _ in range(sweeps):
         t[0] = newton(model, weights, u, v, t[0])[0]
         for i in range(4):
             # the rest of the tree as seen from this end's branch
@@ -71,9 +70,83 @@ def five_branches(model: Model, weights: np.ndarray, a: tuple[Message, Message],
     return last, t
 
 
+def newton_many(model: Model, weights: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``newton`` for many branches at once: messages (branches, states, patterns)."""
+    s = (model.right @ b) * ((model.left * model.pi[:, None]).T @ a)
+    t, r = t.copy(), model.rates
+    lo, hi = np.full(len(t), LEAST), np.full(len(t), MOST)
+    cap, live = MOST / STEPS, np.arange(len(t))
+    for _ in range(STEPS):
+        if not len(live):
+            break
+        now = t[live]
+        e = np.exp(r * now[:, None])
+        like, one, two = np.moveaxis(np.stack([e, r * e, r * r * e], 1) @ (s if len(live) == len(t) else s[live]), 1, 0)
+        like = np.maximum(like, FLOOR)
+        one, two = one / like, two / like
+        g, h = -(one @ weights), -((two - one * one) @ weights)
+        fine = np.isfinite(g) & np.isfinite(h) & ~((h > 0) & (np.abs(g) < TOLERANCE))
+        up = fine & (h > 0)
+        lo[live[up & (g < 0)]] = now[up & (g < 0)]
+        hi[live[up & (g >= 0)]] = now[up & (g >= 0)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.where(h != 0, -g / np.abs(h), -np.sign(g) * cap)
+        step = np.clip(now + np.clip(step, -cap, cap), lo[live], hi[live]) - now
+        fine &= np.abs(step) >= TOLERANCE
+        live = live[fine]
+        t[live] = np.clip(now[fine] + step[fine], LEAST, MOST)
+    return t
+
+
+def five_branches_many(model: Model, weights: np.ndarray, ends: list[Message], start: np.ndarray, *, eps: float = 1000.0, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """``five_branches`` for many pairs at once. ends: the four messages, each
+    (pairs, states, patterns) with logs (pairs, patterns); start: (pairs, 5)."""
+    t, ends = start.copy(), list(ends)
+    out, lengths = np.zeros(len(t)), start.copy()
+    live = np.arange(len(t))
+
+    def move(m: Message, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = np.maximum((model.left * np.exp(model.rates * x[:, None])[:, None, :]) @ model.right, 0.0)
+        p[x <= 0] = np.eye(model.k)
+        return p @ m[0], m[1]
+
+    def both(a: Message, x: np.ndarray, b: Message, y: np.ndarray) -> Message:
+        (u, lu), (v, lv) = move(a, x), move(b, y)
+        z, log = u * v, lu + lv
+        top = z.max(1)
+        low = (top > 0) & (top < TINY)
+        if low.any():
+            z, log = np.where(low[:, None, :], z * BOOST, z), log - np.where(low, np.log(BOOST), 0.0)
+        return z, log
+
+    def total(u: Message, v: Message, x: np.ndarray) -> np.ndarray:
+        site = (model.pi[:, None] * u[0] * move(v, x)[0]).sum(1)
+        return (np.log(np.maximum(site, FLOOR)) + u[1] + v[1]) @ weights
+
+    u, v = both(ends[0], t[:, 1], ends[1], t[:, 2]), both(ends[2], t[:, 3], ends[3], t[:, 4])
+    last = total(u, v, t[:, 0])
+    for _ in range(sweeps):
+        t[:, 0] = newton_many(model, weights, u[0], v[0], t[:, 0])
+        for i in range(4):
+            rest = both(v if i < 2 else u, t[:, 0], ends[i ^ 1], t[:, 1 + (i ^ 1)])
+            t[:, 1 + i] = newton_many(model, weights, rest[0], ends[i][0], t[:, 1 + i])
+            if i == 1:
+                u = both(ends[0], t[:, 1], ends[1], t[:, 2])
+        v = both(ends[2], t[:, 3], ends[3], t[:, 4])
+        now = total(u, v, t[:, 0])
+        out[live], lengths[live] = now, t
+        more = now - last >= eps
+        if not more.any():
+            break
+        live, t, last = live[more], t[more], now[more]
+        ends, (u, v) = [(x[more], y[more]) for x, y in ends], ((x[more], y[more]) for x, y in (u, v))
+    return out, lengths
+
+
 def three_branches(model: Model, weights: np.ndarray, ends: tuple[Message, Message, Message], start, *, eps: float = 1000.0) -> tuple[float, list[float]]:
     """The three branches of one node, in turn."""
-    t, last = list(start), -np.inf
+    t = list(start)
+    last = across(model, weights, joined(model, (ends[0], t[0]), (ends[1], t[1])), ends[2], t[2])
     for _ in range(SWEEPS):
         for i in range(3):
             j, k = (x for x in range(3) if x != i)
