@@ -282,3 +282,11 @@ def prune_and_place(tree: Tree, scorer_of, u: int, v: int, *, radius: int = 10,
             ll, lengths = three_branches(model, w, (moved, near, far), lengths, eps=eps)
         out.append((ll, x, y, d, lengths))
     return out
+
+
+def commit(tree: Tree, u: int, v: int, near: int, far: int, lengths: list[float]) -> Tree:
+    """The tree after a scored move, with the move's lengths [pendant, near, far]."""
+    out = tree.spr(u, v, near, far)
+    for x, t in zip((v, near, far), lengths, strict=True):
+        out.connect(u, x, t)
+    return out

@@ -8,7 +8,7 @@ import pytest
 from arborspark import merge, score
 from arborspark.functions import alphabet, merging, models
 from arborspark.functions.likelihood import Scorer, joined, tip
-from arborspark.functions.optimize import all_branches, five_branches, prune_and_place
+from arborspark.functions.optimize import all_branches, commit, five_branches, five_branches_many, prune_and_place
 from arborspark.functions.topology import Tree, assemble, rf
 from arborspark.operators.merge import Alignment, union
 from arborspark.sources.newick import parse, write
@@ -189,6 +189,29 @@ def test_five_branches_score_as_reported():
     assert across(m, w, u, v, t[0]) == pytest.approx(ll, abs=1e-9)
 
 
+def test_batches_of_pairs_agree_with_single_ones():
+    rng = random.Random(6)
+    for m in (models.jtt(), models.jukes_cantor(4)):
+        w = np.array([rng.randrange(1, 4) for _ in range(25)], float)
+        ends = [[tip(np.array([1 << rng.randrange(m.k) for _ in range(25)]), m.k) for _ in range(4)] for _ in range(9)]
+        start = np.array([[0.1, *[rng.uniform(0.01, 1) for _ in range(4)]] for _ in range(9)])
+        for eps in (1000.0, 1e-3):
+            stacked = [tuple(np.stack([e[i][part] for e in ends]) for part in (0, 1)) for i in range(4)]
+            ll, t = five_branches_many(m, w, stacked, start, eps=eps)
+            for k, e in enumerate(ends):
+                one, own = five_branches(m, w, e[:2], e[2:], start[k], eps=eps)
+                assert ll[k] == pytest.approx(one, abs=1e-8) and np.allclose(t[k], own, atol=1e-6)
+
+
+def test_timing_checks_for_drift():
+    from arborspark.functions import timing
+
+    t, m = parse(CATERPILLAR), models.jukes_cantor(4)
+    masks = {n: np.array([1, 2, 4]) for n in t.leaves()}
+    got = timing.evaluate(lambda: Scorer(t, masks, np.ones(3), m), 1, 3)
+    assert 0 < got["best_us"] <= got["mean_us"] and got["cold_ms"] > 0
+
+
 def test_moves_score_as_the_moved_tree():
     rng = random.Random(8)
     names = [f"t{i}" for i in range(9)]
@@ -200,6 +223,9 @@ def test_moves_score_as_the_moved_tree():
         for ll, x, y, _, _ in plain:
             assert ll == pytest.approx(new(t.spr(u, v, x, y)).score(), abs=1e-8)
         best = {(x, y): ll for ll, x, y, _, _ in plain}
+        for ll, x, y, d, lengths in prune_and_place(t, new, u, v, thorough=True):
+            if d > 1:
+                assert new(commit(t, u, v, x, y, lengths)).score() == pytest.approx(ll, abs=1e-8)
         assert all(ll >= best[(x, y)] - 1e-6 for ll, x, y, _, _ in prune_and_place(t, new, u, v, thorough=True, eps=0.01))
 
 

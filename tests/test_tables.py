@@ -109,6 +109,16 @@ def test_incremental_runs_skip_what_is_done(spark, tmp_path):
     assert sorted(r["n"] for r in go().collect()) == [3, 3]
 
 
+def test_counters(spark):
+    from arborspark.operators import metrics
+
+    rows = spark.createDataFrame([("ok", 0), ("error", 4), ("ok", 31), ("ok", None)], "status string, v int")
+    seen, o = metrics.observed(rows)
+    seen.collect()
+    assert o.get == {"n": 4, "ok": 3, "errors": 1}
+    assert sorted(map(tuple, metrics.histogram(rows, "v").collect())) == [(0, 1), (3, 1), (30, 1)]
+
+
 def test_appended_results(spark, tmp_path):
     from arborspark.sources import results
 
