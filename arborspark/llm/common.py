@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a narrow table is sent to every task.
+SMALL = 50_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast only if a count finds it small; a larger one is
+    joined as Spark plans it. For tables that are already computed."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has (whatever the case)."""
     taken = {c.lower() for c in df.columns}

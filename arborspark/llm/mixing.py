@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, cut, fresh
+from .common import WORD, col, cut, fresh, if_small
 
 #: Radix levels of two hex digits each before the last bin is ordered exactly.
 LEVELS = 2
@@ -71,7 +71,7 @@ def _cut_offs(rows: DataFrame, plan: DataFrame) -> DataFrame:
     that holds the cut is searched again in finer bins, and only the last one
     is ordered in full.
     """
-    at = plan.select("source", F.col("wanted").alias("w"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("base"))
+    at = if_small(plan.select("source", F.col("wanted").alias("w"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("base")))
     keep = rows
     for level in range(1, LEVELS + 1):
         bins = keep.groupBy("source", F.substring("key", 1, 2 * level).alias("bin")).agg(F.sum("size").alias("words"))
@@ -82,7 +82,7 @@ def _cut_offs(rows: DataFrame, plan: DataFrame) -> DataFrame:
         held = bins.where(F.col("upto").cast("double") > F.col("w")).groupBy("source").agg(
             F.min_by(F.struct(F.col("bin"), (F.col("upto") - F.col("words")).alias("base"), F.col("w")), "bin").alias("b")
         )
-        at = cut(held.select("source", F.col("b.w").alias("w"), F.col("b.bin").alias("prefix"), F.col("b.base").alias("base")))
+        at = if_small(cut(held.select("source", F.col("b.w").alias("w"), F.col("b.bin").alias("prefix"), F.col("b.base").alias("base"))))
         keep = keep.alias("k").join(at.alias("a"), F.col("k.source").eqNullSafe(F.col("a.source")) & F.col("k.key").startswith(F.col("a.prefix"))).select("k.*")
     last = keep.groupBy("source", "key").agg(F.sum("size").alias("words"))
     last = last.join(at, last["source"].eqNullSafe(at["source"])).select(last["source"], "key", "words", "w", "base", "prefix")
@@ -111,7 +111,7 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     part = plan.where((F.col("wanted") > 0) & (F.col("whole") < max_epochs))
     cuts = _cut_offs(rows, part)
     plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["source"]), "left").select(plan["*"], F.coalesce(cuts["last_key"], F.lit("")).alias("last_key"))
-    return rows, plan.drop("wanted")
+    return rows, if_small(cut(plan.drop("wanted")))
 
 
 def _copies() -> Column:
