@@ -32,8 +32,8 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None, 0.7, "ip|host|server|address|adresse"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|karte|carte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.8, "phone|call|tel|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.9, "iban|account|bank|konto|compte|cuenta"),
-    "secret": (r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_-]{8,}+)", None, 0.8, "key|password|token|secret|aws"),
+    "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", None, 0.9, "iban|account|bank|konto|compte|cuenta"),
+    "secret": (r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_-]{8,}+)", None, 0.8, "key|password|token|secret|aws"),
 }
 BASE = ("email", "ip", "card", "phone")
 DIGIT_RUN = r"[0-9](?:[\x20-]?[0-9]){12}"

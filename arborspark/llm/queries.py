@@ -194,7 +194,44 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n.values(), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def _op10_sql() -> str:
+    # the plain forms of the kinds' patterns: this engine has no look-behind
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "secret": r"\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{8,})",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda j: (case when j % 2 = 1 then 1 else 2 end) * reverse({digits})[j]::int - case when j % 2 = 0 and reverse({digits})[j]::int > 4 then 9 else 0 end)) % 10 = 0"
+    code = "replace(v, ' ', '')"
+    values = f"list_transform(string_split({code}[5:] || {code}[1:4], ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)"
+    sound = {
+        "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or lpad(ltrim(x, '0'), 3, '0') > '255')) = 0",
+        "card": f"case when length({digits}) between 13 and 19 then {luhn} else false end",
+        "phone": f"length({digits}) between 9 and 15",
+        "iban": f"case when length({code}) between 15 and 34 then list_reduce(list_prepend(0, {values}), lambda a, x: (a * (case when x > 9 then 100 else 10 end) + x) % 97) = 1 else false end",
+    }
+    kinds = " union all ".join(
+        f"select r, {k} as k, '{kind}' as kind, pos, v from (select r, unnest(m) as v, unnest(list_transform(range(1, len(m) + 1), "
+        f"lambda i: (coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint)) as pos "
+        f"from (select r, regexp_extract_all(t, '{x}') as m, string_split_regex(t, '{x}') as p from d where regexp_matches(t, '{x}'))) where {sound.get(kind, 'true')}"
+        for k, (kind, x) in enumerate(patterns.items())
+    )
+    n = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in pii.BASE)
+    span = "kind || ':' || pos || ':' || (pos + length(v))"
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+s as ({kinds}),
+a as (select r, {n}, string_agg({span}, ',' order by k, pos) filter (k < 4) as base, string_agg({span}, ',' order by k, pos) as spans from s group by r)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op3_suffix_dedup, op4_mix_sources, op5_sentencepiece, op6_exact_top_k, op7_language_id, op8_line_dedup, op9_license_scan, op10_personal_data)
 }
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql(), "op10_personal_data": _op10_sql()}
