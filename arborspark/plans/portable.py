@@ -72,13 +72,15 @@ from up join deg on up.node = deg.node"""
 POSTORDER = TREE + ABOVE + """
 select node, max(depth) as depth, cast(row_number() over (order by max(depth) desc, node) as bigint) as place from above group by node"""
 
-DISTANCE = TREE + """,
-walk(prev, node, hops, dist) as (
-  select cast(0 as bigint), n, 0, cast(0 as double) from n
-  union all
-  select walk.node, d.v, walk.hops + 1, walk.dist + d.bl from walk join directed d on d.u = walk.node and d.v <> walk.prev
+#: From supplier 0 to every supplier, over the nearest common ancestor. The suppressed
+#: root is no node, so a path over it has one edge less.
+DISTANCE = TREE + ABOVE + """,
+origin as (select above.a, above.depth, above.dist from above join up on above.node = up.node where up.taxon = 0),
+path as (
+  select up.taxon, case when above.a = 1 then -1 else 0 end + above.depth + origin.depth as hops, above.dist + origin.dist as dist
+  from above join origin on above.a = origin.a join up on up.node = above.node where up.taxon is not null
 )
-select up.taxon, hops, round(dist, 6) as dist from walk join up on walk.node = up.node where up.taxon is not null"""
+select taxon, min(hops) as hops, round(min(dist), 6) as dist from path group by taxon"""
 
 PATH_EDGE = TREE + """,
 walk(prev, node, first_v) as (
@@ -186,15 +188,14 @@ select size, members from (
   select size, members, row_number() over (order by abs(size - 0.45e0 / 0.9e0 * n), members) as r from splits cross join n where tree = 1
 ) x where r = 1"""
 
-WINDOW = TREE + """,
-ring(prev, node, depth) as (
-  select u, v, 0 from directed where (u = 2 and v = 3) or (u = 3 and v = 2)
-  union all
-  select ring.node, d.v, ring.depth + 1 from ring join directed d on d.u = ring.node and d.v <> ring.prev
-),
+#: Edges around edge 2-3, the tree's root: an edge is as far as its lower node is deep.
+WINDOW = TREE + ABOVE + """,
+deep as (select node, max(depth) - 1 as depth from above group by node),
 near as (
   select u, v, depth, cast(row_number() over (order by depth, u, v) as bigint) as place from (
-    select least(prev, node) as u, greatest(prev, node) as v, min(depth) as depth from ring group by 1, 2
+    select cast(2 as bigint) as u, cast(3 as bigint) as v, 0 as depth
+    union all
+    select up.parent, up.node, deep.depth from up join deep on up.node = deep.node where up.parent > 1
   ) x
 )"""
 
