@@ -185,6 +185,7 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_c
         later = later.unionByName(more)
     later = later.distinct().withColumn("near", F.lit(True))
     fate = known.select("h1", "h2", F.col("first").alias("least"), "times").join(later, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("near"))
+    fate = cut(fate)  # so the last join is one of two tables, whose hot lines can be split
     gone = lines.select("h1", "h2", "first").join(fate, ["h1", "h2"]).where(F.col("near") | (F.col("first") > F.col("least")))
     return gone.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_set("first.at").alias("dropped"))
 
