@@ -41,6 +41,7 @@ ORDER = 4
 BLOCK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
+SALTS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio multiplier
 
 
@@ -187,8 +188,12 @@ def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int
     """The bounded training sample: at most ``per_language`` texts a language."""
     d = docs.where(_bucket(col(doc_id)) != 2).where(col(lang).isNotNull() & col(text).isNotNull())
     d = d.select(col(lang).alias("lang"), F.xxhash64(col(doc_id)).alias("h"), col(doc_id).alias("i"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))
-    ids = d.withColumn("r", rank).where(F.col("r") <= per_language).select("i").distinct()
+    # first of each of SALTS parts of a language, so that the last ranking reads a bounded
+    # number of rows, however many tasks found candidates
+    part = F.pmod(F.xxhash64("i", F.lit(1)), F.lit(SALTS))
+    for keys in ([F.col("lang"), part], [F.col("lang")]):
+        d = d.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "i"))).where(F.col("r") <= per_language).drop("r")
+    ids = d.select("i").distinct()
     chosen = docs.where(_bucket(col(doc_id)) != 2).where(col(lang).isNotNull() & col(text).isNotNull())
     chosen = chosen.join(F.broadcast(ids), col(doc_id) == ids["i"], "left_semi")  # at most per_language rows a language
     out: dict[str, list[str]] = {}
