@@ -20,6 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.where(F.col("y") < F.col("x"))
     least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")) if large else both.groupBy("x").agg(F.min("y").alias("m"))
+    least = cut(least)  # so the join is one of two tables, whose hubs can be split
     joined = both.join(least, "x")
     if large:
         moved = joined.where(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))

@@ -248,13 +248,13 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shi
     of about 0.8 or more: at 0.8 two 256-bit fingerprints differ in 39 bits on average
     (6 bits standard deviation), at 0.6 in 59, unrelated ones in 128.
     """
-    k1, k2, win = fresh(docs, "k1", "k2", "winner")
+    k1, k2, win, win2 = fresh(docs, "k1", "k2", "winner", "winner2")
     hashes = [F.xxhash64(col(doc_id), col(text), F.lit(s)) for s in (0, 1)]
     d = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), hashes[0].alias("k1"), hashes[1].alias("k2"))
     prints, labels = _labelled(d, ["doc_id", "k1", "k2"], shingle, words, radius, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("w")
-    best = prints.join(labels, "fingerprint").groupBy("root").agg(first).select(F.col("w.k1").alias(win), F.col("w.k2").alias(f"{win}2"))
-    out = docs.withColumns({k1: hashes[0], k2: hashes[1]}).join(best, (col(k1) == col(win)) & (col(k2) == col(f"{win}2")), "left_semi")
+    best = prints.join(labels, "fingerprint").groupBy("root").agg(first).select(F.col("w.k1").alias(win), F.col("w.k2").alias(win2))
+    out = docs.withColumns({k1: hashes[0], k2: hashes[1]}).join(best, (col(k1) == col(win)) & (col(k2) == col(win2)), "left_semi")
     return out.dropDuplicates([k1, k2]).drop(k1, k2)
 
 
