@@ -20,6 +20,9 @@ edge a node, so neither dense groups nor copies are expanded into pairs. Trees g
 to the tasks as rows of the shuffle, not as one broadcast: their total size
 isn't bounded.
 
+``keep_one`` links by Jaccard similarity: fingerprints within a wide radius that meet
+in a random band are candidates only, and the sets of shingles decide each of them.
+
 Cases: null and empty texts have fingerprint zero and link like any other; rows
 without doc_id take part with an id after all others (null); repeated rows share
 a node; an empty table gives an empty result; extra columns are kept.
@@ -47,17 +50,38 @@ BLOCK = 1 << 16
 SHARD = 2048
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
-    """Big-endian fingerprint of ``words`` * 64 bits. The further 64-bit parts come
-    from the hash mixed with odd constants (splitmix64 finalisers)."""
+def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The text's words joined, and where its shingles start and end."""
     w = (text or "").encode().lower().split()  # bytes: lower-cases A-Z, splits at ASCII white space
     if not w:
-        return bytes(8 * words)
-    joined = b" ".join(w)
+        return b"", [], []
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(w))
-    first, last = starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist()
+    return b" ".join(w), starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist()
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' XXH64 values, ascending."""
+    joined, first, last = _shingles(text, shingle)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64))
+
+
+def set_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """Fingerprint in which each distinct shingle votes once, followed by 64 bits of
+    hash of the whole set: equal values mean equal sets."""
+    h = shingle_set(text, shingle)
+    votes = [_set_bits(_mix(h, part) if part else h) if len(h) else np.zeros(64, np.int64) for part in range(words)]
+    return np.packbits(2 * np.concatenate(votes) > len(h)).tobytes() + xxhash.xxh64_digest(h.tobytes(), SEED)
+
+
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
+    """Big-endian fingerprint of ``words`` * 64 bits. The further 64-bit parts come
+    from the hash mixed with odd constants (splitmix64 finalisers)."""
+    joined, first, last = _shingles(text, shingle)
+    if not first:
+        return bytes(8 * words)
     digest = xxhash.xxh64_intdigest
     votes = np.zeros(64 * words, np.int64)
     for at in range(0, len(first), BLOCK):
@@ -83,7 +107,7 @@ def _mix(h: np.ndarray, part: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", *, shingle: int = 5, words: int = 1, keep: list[str] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", *, shingle: int = 5, words: int = 1, keep: list[str] | None = None, make=fingerprint) -> DataFrame:
     """docs (or the columns ``keep``) plus ``fingerprint`` binary."""
     d = docs.select(*[col(c) for c in (keep if keep is not None else docs.columns)], col(text).alias("\0text"))
     (name,) = fresh(d, "fingerprint")
@@ -91,7 +115,7 @@ def fingerprints(docs: DataFrame, text: str = "text", *, shingle: int = 5, words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([fingerprint(t.as_py(), shingle, words) for t in b.column(b.num_columns - 1)], pa.binary())
+            made = pa.array([make(t.as_py(), shingle, words) for t in b.column(b.num_columns - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], [*b.schema.names[:-1], name])
 
     return d.mapInArrow(run, schema)
@@ -161,7 +185,12 @@ def choose_blocks(n_nodes: int, bits: int, radius: int, per_shard: int = 256) ->
 
 
 def links(nodes: DataFrame, *, bits: int, radius: int, bands: list[list[int]] | None = None) -> DataFrame:
-    """Links between distinct fingerprints: nodes (fingerprint) -> (a, b) binary.
+    """Links between distinct fingerprints: nodes (fingerprint) -> (a, b) binary."""
+    return _sharded(nodes, bits, radius, bands).mapInArrow(_searcher(bits, radius), "a binary, b binary")
+
+
+def _sharded(nodes: DataFrame, bits: int, radius: int, bands: list[list[int]] | None) -> DataFrame:
+    """The nodes (fingerprint) dealt to pairs of blocks of shards, a pair's rows together.
 
     bands: lists of bit positions to shard by instead of the pigeonhole blocks (for
     radii at which these would be too short); then near pairs that agree in no
@@ -178,7 +207,7 @@ def links(nodes: DataFrame, *, bits: int, radius: int, bands: list[list[int]] |
         for b in batches:
             if b.num_rows:
                 prints = b.column(0).to_pylist()
-                m = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+                m = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)[:, : bits // 8]
                 for i, mask in enumerate(masks):
                     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for row in m & mask]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0)], ["shard", "fingerprint"])
@@ -192,7 +221,7 @@ def links(nodes: DataFrame, *, bits: int, radius: int, bands: list[list[int]] |
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fingerprint")
 
-    return rows.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high").mapInArrow(_searcher(bits, radius), "a binary, b binary")
+    return rows.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
 
 
 def _searcher(bits: int, radius: int):
@@ -240,18 +269,153 @@ def _labelled(d: DataFrame, keep: list[str], shingle: int, words: int, radius: i
     return prints, components(nodes, links(nodes, bits=bits, radius=radius, bands=bands))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shingle: int = 5, words: int = 4, radius: int = 44, similarity: float = 0.8) -> DataFrame:
+def _candidates(nodes: DataFrame, bits: int, radius: int, bands: list[list[int]], most: int | None) -> DataFrame:
+    """(a, b, more): pairs of nodes (fingerprint, root) within the radius and with
+    different roots. most: None gives a spanning forest of each block, a number so
+    many pairs a node at most; ``more`` marks pairs of nodes that have others."""
+    rows = _sharded(nodes, bits, radius, bands)
+    if most is not None:
+        rows = rows.join(nodes.select("fingerprint", "root"), "fingerprint").select(*rows.columns, "root")
+        rows = rows.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
+    return rows.mapInArrow(_pairer(bits, radius, most), "a binary, b binary, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _near(own: list[bytes], size: int, radius: int, low: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each value, the places of those within the radius, nearest first: of a
+    block's own earlier values, or with two blocks of the ``low`` first values."""
+    if len(own) < 2:
+        return
+    m = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1)[:, :size]
+    m = np.ascontiguousarray(m).view(np.uint64)
+    for i in range(1 if low == len(m) else low, len(m)):
+        d = np.bitwise_count(m[: min(i, low)] ^ m[i]).sum(1, dtype=np.int64)
+        at = np.flatnonzero(d <= radius)
+        if len(at):
+            yield i, at[np.argsort(d[at], kind="stable")]
+
+
+def _pairer(bits: int, radius: int, most: int | None):
+    def search(low: list, high: list, out: list) -> None:
+        own = [*low, *high]
+        parent = list(range(len(own)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, near in _near([v for v, _ in own], bits // 8, radius, len(low)):
+            if most is None:
+                for j in near.tolist():
+                    a, b = find(i), find(j)
+                    if a != b:
+                        parent[a] = b
+                        out.append((own[j][0], own[i][0], False))
+            else:
+                other = [j for j in near.tolist() if own[j][1] != own[i][1]]
+                out.extend((own[j][0], own[i][0], len(other) > most) for j in other[:most])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, out = None, ([], []), []
+
+        def made() -> pa.RecordBatch:
+            pairs = [(min(a, b), max(a, b), more) for a, b, more in out]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "more"])
+
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            for shard, low, high, block, print_, *root in zip(*cols, strict=True):
+                if (shard, low, high) != key:
+                    search(*own, out)
+                    key, own = (shard, low, high), ([], [])
+                own[block != low].append((print_, *(root or [None])))
+            if len(out) > 10_000:
+                yield made()
+                out.clear()
+        search(*own, out)
+        yield made()
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """pairs (a, b, ...) plus ``good``: whether the Jaccard similarity of their sets of
+    shingles is at least ``similarity``. texts: (fingerprint, text), a row a node."""
+    ends = pairs.select(F.col("a").alias("fingerprint")).unionByName(pairs.select(F.col("b").alias("fingerprint"))).distinct()
+    wanted = cut(texts.join(ends, "fingerprint", "left_semi"))
+    side = lambda x: wanted.select(F.col("fingerprint").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "text_a", "text_b")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("good", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str | None, np.ndarray] = {}
+
+        def of(text: str | None) -> np.ndarray:
+            if text not in last:
+                if len(last) > 16:
+                    last.clear()
+                last[text] = shingle_set(text, shingle)
+            return last[text]
+
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
+                x, y = of(x.as_py()), of(y.as_py())
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(good, pa.bool_())], [*b.schema.names[:-2], "good"])
+
+    return cut(both.mapInArrow(run, schema))
+
+
+def _similar(nodes: DataFrame, texts: DataFrame, bits: int, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Components of the nodes by verified links.
+
+    First a forest of all candidates is verified. Where all its links hold, they
+    decide the component. In the others further candidates between different
+    verified components are tried, more a node each time, until none is left.
+    """
+    bands = bands_for(nodes.count(), bits, similarity)
+    tested = _verified(cut(_candidates(nodes, bits, radius, bands, None)), texts, shingle, similarity)
+    labels = cut(components(nodes, tested.where("good").select("a", "b")))
+    if tested.where("not good").isEmpty():
+        return labels
+    every = cut(components(nodes, tested.select("a", "b")).select("fingerprint", F.col("root").alias("whole")))
+    open_ = every.join(tested.where("not good").select(F.col("a").alias("fingerprint")), "fingerprint", "left_semi").select("whole").distinct()
+    left = cut(every.join(cut(open_), "whole", "left_semi").select("fingerprint"))
+    most = 8
+    while True:
+        rooted = cut(left.join(labels.select("fingerprint", "root"), "fingerprint"))
+        found = cut(_candidates(rooted, bits, radius, bands, most))
+        new = found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = not found.where("more").isEmpty()
+        if not new.isEmpty():
+            now = _verified(cut(new), texts, shingle, similarity)
+            tested = cut(tested.unionByName(now))
+            if not now.where("good").isEmpty():
+                labels = cut(components(nodes, tested.where("good").select("a", "b")))
+        if not more:
+            return labels
+        most *= 8
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shingle: int = 5, words: int = 4, radius: int = 60, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each component: that of the smallest id (nulls last,
     then of the smallest hash of the text); of rows that agree in both one stays.
 
-    The defaults link documents whose five-word shingles have a Jaccard similarity
-    of about 0.8 or more: at 0.8 two 256-bit fingerprints differ in 39 bits on average
-    (6 bits standard deviation), at 0.6 in 59, unrelated ones in 128.
+    Links are pairs of documents whose sets of five-word shingles have a Jaccard
+    similarity of at least 0.8: fingerprints propose them, the sets decide. At 0.8
+    two 256-bit fingerprints differ in 39 bits on average (6 bits standard deviation),
+    so the radius lies 3.5 deviations above; at 0.6 they differ in 59, unrelated ones in 128.
     """
     k1, k2, win, win2 = fresh(docs, "k1", "k2", "winner", "winner2")
     hashes = [F.xxhash64(col(doc_id), col(text), F.lit(s)) for s in (0, 1)]
     d = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), hashes[0].alias("k1"), hashes[1].alias("k2"))
-    prints, labels = _labelled(d, ["doc_id", "k1", "k2"], shingle, words, radius, similarity)
+    prints = cut(fingerprints(d, shingle=shingle, words=words, keep=["doc_id", "k1", "k2"], make=set_fingerprint))
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2")).alias("of")))
+    of = nodes.select("fingerprint", F.col("of.k1").alias("k1"), F.col("of.k2").alias("k2"))
+    texts = d.select("k1", "k2", "text").join(of, ["k1", "k2"]).select("fingerprint", "text").dropDuplicates(["fingerprint"])
+    labels = _similar(nodes.select("fingerprint", "rep"), texts, 64 * words, shingle, radius, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("w")
     best = prints.join(labels, "fingerprint").groupBy("root").agg(first).select(F.col("w.k1").alias(win), F.col("w.k2").alias(win2))
     out = docs.withColumns({k1: hashes[0], k2: hashes[1]}).join(best, (col(k1) == col(win)) & (col(k2) == col(win2)), "left_semi")
@@ -259,7 +423,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shi
 
 
 #: Wanted probability that a pair at the similarity meets in a band.
-RECALL = 0.975
+RECALL = 0.9995
 
 
 def bands_for(n_nodes: int, bits: int, similarity: float, per_shard: int = 64) -> list[list[int]]:
@@ -279,4 +443,4 @@ def band_bits(bits: int, band: int, bands: int, seed: int = 11) -> list[list[int
     return [sorted(rng.choice(bits, band, replace=False).tolist()) for _ in range(bands)]
 
 
-__all__ = ["BKTree", "band_bits", "fingerprint", "fingerprints", "forest", "keep_one", "links", "near_duplicates"]
+__all__ = ["BKTree", "band_bits", "fingerprint", "fingerprints", "forest", "keep_one", "links", "near_duplicates", "set_fingerprint", "shingle_set"]

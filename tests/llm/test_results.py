@@ -104,6 +104,35 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept >= {i for i, _ in rows} and len(kept) <= 42
 
 
+@pytest.mark.parametrize("shard", [2048, 8])
+def test_near_dedup_decides_by_exact_similarity(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = random.Random(shard)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(60):  # chains of copies at 0.75 to 0.9 of each other
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        for _ in range(rng.randint(2, 4)):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for k in rng.sample(range(300), rng.randint(3, 9)):
+                words[k] = rng.choice(vocabulary)
+    loop = " ".join(["all work and no play makes"] * 300)  # the repeated part outvotes the rest
+    rows += [(len(rows), f"{loop} {' '.join(vocabulary[:40])}"), (len(rows) + 1, f"{loop} {' '.join(vocabulary[40:80])}")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    borderline = 0
+    for _ in range(5):
+        for i, a in enumerate(sets):
+            for j in range(max(0, i - 4), i):
+                share = len(a & sets[j]) / len(a | sets[j])
+                borderline += 0.75 < share < 0.8
+                if share >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r} and borderline > 20
+
+
 def test_op2(spark, texts):
     got = {r["doc_id"]: r for r in queries.op2_quality_rules(spark, SF_DIR).collect()}
     for i, t in texts.items():
