@@ -4,7 +4,9 @@ A line is dropped if an equal line, or one within one edit (insertion, deletion
 substitution of a character), occurs earlier in the corpus: in a document with
 a smaller doc_id, or further up in the same one. Decisions are taken on the
 input, so a chain of similar lines does not save its links. Lines shorter than
-``min_chars`` are left alone (blank lines, list marks, braces).
+``min_chars`` take no part in the edit join; with ``short`` their exact repeats go
+too if they hold a letter or digit, else they are left alone (blank lines, list
+marks, braces).
 
 The join: with at most one edit, one of two segments of the shorter line occurs
 unchanged in the longer one, at its start or its end. So each distinct line of m
@@ -39,6 +41,8 @@ from .common import col, cut, fresh
 EDITS = 1
 MIN_CHARS = 20
 GROUP = 100
+#: What a line must hold for its exact repeats to go whatever its length.
+HOLDS_WORD = r"[\p{L}\p{N}]"
 
 
 def _h(*parts: Column, seed: int = 0) -> Column:
@@ -51,9 +55,12 @@ def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return d.select("doc_id", _h(F.col("doc_id"), F.col("text")).alias("k1"), _h(F.col("doc_id"), F.col("text"), seed=1).alias("k2"), "text")
 
 
-def _lines(d: DataFrame, min_chars: int) -> DataFrame:
+def _lines(d: DataFrame, min_chars: int, short: bool) -> DataFrame:
     """(h1, h2, first, line): the lines that take part; first orders occurrences."""
-    e = d.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.length("line") >= min_chars)
+    takes_part = F.length("line") >= min_chars
+    if short:
+        takes_part = takes_part | F.col("line").rlike(HOLDS_WORD)
+    e = d.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(takes_part)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "at")
     return e.select(_h(F.col("line")).alias("h1"), _h(F.col("line"), seed=1).alias("h2"), first.alias("first"), "line")
 
@@ -164,11 +171,11 @@ def _refine(hot: DataFrame) -> list[DataFrame]:
     return found
 
 
-def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = MIN_CHARS) -> DataFrame:
+def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(k1, k2, dropped array<int>): for each document that loses lines, their numbers."""
     d = _documents(docs, text, doc_id)
-    lines = _lines(d, min_chars)
-    keys = F.array(*_segment_keys(F.col("line")))
+    lines = _lines(d, min_chars, short)
+    keys = F.when(F.length("line") >= min_chars, F.array(*_segment_keys(F.col("line"))))  # null: exact repeats only
     known = lines.select("h1", "h2", "first", keys.alias("keys")).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("times"))
     known = cut(known)
     rows = known.select("h1", "h2", F.posexplode("keys").alias("tag", "key")).withColumn("role", F.floor(F.col("tag") / 2).cast("int"))
@@ -190,10 +197,10 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_c
     return gone.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_set("first.at").alias("dropped"))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = MIN_CHARS, dropped: str = "dropped") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_chars: int = MIN_CHARS, short: bool = False, dropped: str = "dropped") -> DataFrame:
     """docs with the dropped lines taken out of ``text``, plus ``dropped`` array<int>
     (numbers of the lines taken out, ascending)."""
-    gone = decide(docs, text, doc_id, min_chars=min_chars)
+    gone = decide(docs, text, doc_id, min_chars=min_chars, short=short)
     k1, k2, out, g1, g2 = fresh(docs, "k1", "k2", dropped, "g1", "g2")
     gone = gone.select(F.col("k1").alias(g1), F.col("k2").alias(g2), F.array_sort("dropped").alias(out))
     keyed = docs.withColumns({k1: _h(col(doc_id), col(text)), k2: _h(col(doc_id), col(text), seed=1)})

@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out; documents of which nothing is left go."""
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, short=True)
     dropped = out.columns[-1]
     left = out.where((F.size(dropped) == 0) | (F.length(F.trim("text")) > 0))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -368,6 +368,13 @@ def test_op8_against_all_pairs(spark, monkeypatch, group):
         assert got[i] == want, t
 
 
+def test_line_stage_drops_short_repeats(spark):
+    rows = [(1, "In in oredble ea.\n\n- \nSome longer line of text that stays.\n}\n7"), (2, "And ornd.\nIn in oredble ea.\n\n}\n- \nIn in oredble eb."), (3, "7\n漢字\n漢字\nAnd ornd.")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "And ornd.\n\n}\n- \nIn in oredble eb.", 3: "漢字"}
+
+
 def test_op8_automaton(spark):
     rng = random.Random(0)
     pairs = [("", ""), ("", "a"), ("a", ""), ("ab", "b"), ("abc", "abc"), ("kitten", "sitting")]
