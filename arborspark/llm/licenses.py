@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of blocks and templates.
 
-A block (line) meets a template if it holds at least ``threshold`` of the template's
-distinct tokens. The join is exact and never compares all pairs: template tokens
+A block meets a template if it holds at least ``threshold`` of the template's
+distinct tokens. Blocks are the lines and, for notices that wrap, the windows of the
+template's length in words that span line breaks. The join is exact and never compares all pairs: template tokens
 are ordered by their frequency in the whole corpus, rarest first, and a template of
 m tokens that needs c of them can only be met by a block that holds one of its first
 m - c + 1 tokens (prefix filter), has at least c vocabulary tokens (length filter)
@@ -62,6 +63,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, APART, -1), lambda w: w != "")
 
 
+def lengths(templates=TEMPLATES) -> list[int]:
+    """Words of each template, repeated ones included."""
+    return [len(re.findall(r"[^\W_]+", text)) for _, text in templates]
+
+
 def sets(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[str, list[str], int]]:
     """(label, distinct tokens, how many of them a block needs)."""
     out = []
@@ -96,7 +102,8 @@ def _containment(ranks: Column, own: list[int], need: int) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """docs plus n_words long, phrases array<struct<label, word>> in order of place and
-    blocks array<struct<label, block, containment>> (block: number of the line)."""
+    blocks array<struct<label, block, containment>> (block: number of the line, or of
+    the first line of a window that spans several and touches no line of that label)."""
     wanted = sets(templates, threshold)
     vocabulary = sorted({t for _, tokens, _ in wanted for t in tokens})
     order = token_order(docs, text, vocabulary)
@@ -104,7 +111,7 @@ def scan(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, phrases: d
     indexed = [(label, sorted(rank[t] for t in tokens), need) for label, tokens, need in wanted]
     rare = sorted({order[r] for _, own, need in indexed for r in own[: len(own) - need + 1]})
 
-    n, place, block, lines, word = fresh(docs, "n_words", "phrases", "blocks", "lines", "words")
+    n, place, block, lines, word, token, met = fresh(docs, "n_words", "phrases", "blocks", "lines", "words", "tokens", "met")
     whole = F.coalesce(col(text), F.lit(""))
     phrase_like = "|".join(APART.join(p.split()) for p in phrases)
     said = whole.rlike(rf"(?i)(?<!{WORD})(?:{phrase_like})(?!{WORD})")
@@ -117,13 +124,15 @@ def scan(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, phrases: d
     # each layer names what the next one uses more than once, so that it is computed once
     out = docs.select("*", F.regexp_count(whole, F.lit(WORD + "+")).cast("long").alias(n), F.when(said, words(lowered(whole))).alias(word), F.when(near, F.split(lowered(whole), "\n", -1)).alias(lines))
     held = F.transform(F.filter(F.transform(col(lines), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda s: s["line"].rlike(_any_of(rare))), lambda s: F.struct(s["block"].alias("block"), block_ranks(s["line"]).alias("ranks")))
-    out = out.withColumn(lines, held)
+    out = out.withColumns({lines: held, token: _tokens(col(lines), vocabulary, ranked)})
+    out = out.withColumn(met, F.flatten(F.transform(col(lines), _met(indexed))))
+    wrapped = [_wrapped(col(token), col(met), label, own, need, length) for (label, own, need), length in zip(indexed, lengths(templates), strict=True)]
     hits = [_places(col(word), p.split(), label) for p, label in phrases.items()]
     empty_p = F.array().cast("array<struct<label:string,word:int>>")
     empty_b = F.array().cast("array<struct<label:string,block:int,containment:double>>")
-    met = F.flatten(F.transform(col(lines), _met(indexed)))
+    every = F.concat(col(met), *wrapped)
     by_word = lambda a, b: F.when(a["word"] != b["word"], a["word"] - b["word"]).when(a["label"] < b["label"], -1).otherwise(1)
-    return out.select(*[col(c) for c in docs.columns], col(n), F.when(F.size(word) > 0, F.array_sort(F.concat(*hits), by_word)).otherwise(empty_p).alias(place), F.coalesce(met, empty_b).alias(block))
+    return out.select(*[col(c) for c in docs.columns], col(n), F.when(F.size(word) > 0, F.array_sort(F.concat(*hits), by_word)).otherwise(empty_p).alias(place), F.coalesce(every, empty_b).alias(block))
 
 
 def _says(w: Column, phrase: list[str]):
@@ -149,4 +158,32 @@ def _met(indexed: list[tuple[str, list[int], int]]):
     return of
 
 
+def _tokens(lines: Column, vocabulary: list[str], ranked: Column) -> Column:
+    """array<struct<line, at, rank>>: the vocabulary tokens; at counts all words."""
+    flat = F.flatten(F.transform(lines, lambda x, i: F.transform(words(x), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+    known = F.filter(F.transform(flat, lambda s, at: F.struct(s["line"].alias("line"), at.alias("at"), s["word"].alias("word"))), lambda s: s["word"].isin(vocabulary))
+    return F.transform(known, lambda s: F.struct(s["line"].alias("line"), s["at"].alias("at"), F.element_at(ranked, s["word"]).alias("rank")))
+
+
+def _wrapped(tokens: Column, met: Column, label: str, own: list[int], need: int, length: int) -> Column:
+    """Matches of one template in windows of ``length`` words that span lines, the best of
+    each first line. Windows hold a token of the prefix, and start and end on own tokens."""
+    m = len(own)
+    empty = F.array().cast("array<struct<label:string,block:int,containment:double>>")
+
+    def near(t: Column) -> Column:
+        return F.transform(F.array(F.filter(t, lambda x: x["rank"].isin(own[: m - need + 1]))), lambda rare: F.filter(t, lambda x: x["rank"].isin(own) & F.exists(rare, lambda r: F.abs(r["at"] - x["at"]) < length)))[0]
+
+    def windows(t: Column) -> Column:
+        whole = F.transform(t, lambda s: F.filter(t, lambda u: u["at"].between(s["at"], s["at"] + (length - 1))))
+        sized = F.transform(whole, lambda w: F.struct(w[0]["line"].alias("block"), F.array_max(w["line"]).alias("last"), F.size(F.array_distinct(w["rank"])).alias("share")))
+        fits = F.filter(sized, lambda w: (w["share"] >= need) & (w["last"] > w["block"]) & ~F.exists(met, lambda b: (b["label"] == label) & b["block"].between(w["block"], w["last"])))
+        best = lambda f, k: F.array_max(F.transform(F.filter(f, lambda w: w["block"] == k), lambda w: w["share"]))
+        return F.transform(F.array(fits), lambda f: F.transform(F.array_distinct(f["block"]), lambda k: F.struct(F.lit(label).alias("label"), k.alias("block"), (best(f, k) / F.lit(m)).alias("containment"))))[0]
+
+    ranks = F.array_distinct(tokens["rank"])
+    may = F.size(F.array_intersect(F.array(*map(F.lit, own)), ranks)) >= need
+    return F.when(may, F.transform(F.array(near(tokens)), windows)[0]).otherwise(empty)
+
+
 __all__ = ["PHRASES", "TEMPLATES", "THRESHOLD", "scan", "sets"]

@@ -138,6 +138,18 @@ def test_license_cases(spark):
     assert [(p["label"], p["word"]) for p in got[6]["phrases"]] == [("apache", 0), ("mit", 2), ("gpl", 4)]
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    isc = "x\nPermission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    far = bsd.replace("\n", " filler" * 40 + "\n")
+    short = "Released under\nthe MIT License.\n\nReleased under the MIT License.\nthe MIT license"
+    rows = list(enumerate([mit, bsd, isc, gpl, far, short, "a\n" + bsd.replace("\n", " ") + "\nand in"]))
+    got = {i: [(b["label"], b["block"]) for b in r["blocks"]] for i, r in by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == {0: [("mit", 0)], 1: [("bsd", 0)], 2: [("isc", 1)], 3: [("gpl", 0)], 4: [], 5: [("mit", 3), ("mit", 0)], 6: [("bsd", 1)]}
+
+
 def test_pii_cases(spark):
     rows = [
         (1, "mail é😀 a.b@c.de, x@y 10.0.0.256 1.2.3.4 +1 (202) 555-0100, 4111 1111 1111 1111, 4111111111111112"),
