@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, cut, fresh
+from .common import col, cut, fresh, if_small
 from .components import components
 
 SEED = 42
@@ -341,9 +341,7 @@ def _pairer(bits: int, radius: int, most: int | None):
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """pairs (a, b, ...) plus ``good``: whether the Jaccard similarity of their sets of
     shingles is at least ``similarity``. texts: (fingerprint, text), a row a node."""
-    ends = pairs.select(F.col("a").alias("fingerprint")).unionByName(pairs.select(F.col("b").alias("fingerprint"))).distinct()
-    wanted = cut(texts.join(ends, "fingerprint", "left_semi"))
-    side = lambda x: wanted.select(F.col("fingerprint").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("fingerprint").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "text_a", "text_b")
     schema = T.StructType([*pairs.schema.fields, T.StructField("good", T.BooleanType())])
 
@@ -368,15 +366,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return cut(both.mapInArrow(run, schema))
 
 
-def _similar(nodes: DataFrame, texts: DataFrame, bits: int, shingle: int, radius: int, similarity: float) -> DataFrame:
-    """Components of the nodes by verified links.
+def _texts(nodes: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fingerprint, text) of the pairs' nodes; only their texts move."""
+    ends = pairs.select(F.col("a").alias("fingerprint")).unionByName(pairs.select(F.col("b").alias("fingerprint"))).distinct()
+    of = cut(nodes.join(ends, "fingerprint", "left_semi").select("fingerprint", F.col("of.k1").alias("k1"), F.col("of.k2").alias("k2")))
+    return cut(docs.select("k1", "k2", "text").join(if_small(of), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("fingerprint", "text"))
+
+
+def _similar(nodes: DataFrame, docs: DataFrame, bits: int, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Components of the nodes (fingerprint, rep, of) by verified links.
 
     First a forest of all candidates is verified. Where all its links hold, they
     decide the component. In the others further candidates between different
     verified components are tried, more a node each time, until none is left.
     """
     bands = bands_for(nodes.count(), bits, similarity)
-    tested = _verified(cut(_candidates(nodes, bits, radius, bands, None)), texts, shingle, similarity)
+    first = cut(_candidates(nodes, bits, radius, bands, None))
+    texts = _texts(nodes, docs, first)  # also those of all later candidates
+    tested = _verified(first, texts, shingle, similarity)
     labels = cut(components(nodes, tested.where("good").select("a", "b")))
     if tested.where("not good").isEmpty():
         return labels
@@ -413,9 +420,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shi
     d = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), hashes[0].alias("k1"), hashes[1].alias("k2"))
     prints = cut(fingerprints(d, shingle=shingle, words=words, keep=["doc_id", "k1", "k2"], make=set_fingerprint))
     nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2")).alias("of")))
-    of = nodes.select("fingerprint", F.col("of.k1").alias("k1"), F.col("of.k2").alias("k2"))
-    texts = d.select("k1", "k2", "text").join(of, ["k1", "k2"]).select("fingerprint", "text").dropDuplicates(["fingerprint"])
-    labels = _similar(nodes.select("fingerprint", "rep"), texts, 64 * words, shingle, radius, similarity)
+    labels = _similar(nodes, d, 64 * words, shingle, radius, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("w")
     best = prints.join(labels, "fingerprint").groupBy("root").agg(first).select(F.col("w.k1").alias(win), F.col("w.k2").alias(win2))
     out = docs.withColumns({k1: hashes[0], k2: hashes[1]}).join(best, (col(k1) == col(win)) & (col(k2) == col(win2)), "left_semi")
