@@ -80,7 +80,7 @@ def test_links_lose_nothing_when_shards_are_cut(spark, monkeypatch):
 
 def test_tree_search_is_exact():
     rng = random.Random(1)
-    values = [rng.getrandbits(16) for _ in range(300)]
+    values = list(dict.fromkeys(rng.getrandbits(16) for _ in range(300)))
     tree = simhash.BKTree()
     for v in values:
         tree.add(v)
@@ -104,6 +104,54 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept >= {i for i, _ in rows} and len(kept) <= 42
 
 
+def classes_of(rows, shingle=5, similarity=0.8):
+    """The smallest id of each text's class by all pairs of sets, and shares below the limit."""
+    sets = [{tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} for w in (t.split() for _, t in rows)]
+    root, below = list(range(len(rows))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            share = len(a & sets[j]) / len(a | sets[j])
+            below += similarity - 0.05 < share < similarity
+            if share >= similarity:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i for i in range(len(rows)) if find(i) == i}, below
+
+
+@pytest.mark.parametrize("texts", [512, 20])
+def test_near_dedup_of_a_dense_group(spark, monkeypatch, texts):
+    monkeypatch.setattr(simhash, "TEXTS", texts)
+    monkeypatch.setattr(simhash, "PIVOTS", 3)
+    rng = random.Random(texts)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for _ in range(150):  # from nearly equal to far apart
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice((1, 1, 2, 3, 4, 6, 9))):
+            words[k] = rng.choice(vocabulary)
+        rows.append((len(rows), " ".join(words)))
+    want, below = classes_of(rows)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want and len(want) > 10 and below > 100
+
+
+def test_overlaps_count_common_elements(monkeypatch):
+    rng = np.random.default_rng(1)
+    for few in (0, 2, 16):
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "COLUMNS", 7)
+        sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(30)]
+        got = simhash.overlaps(sets)
+        assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 @pytest.mark.parametrize("shard", [2048, 8])
 def test_near_dedup_decides_by_exact_similarity(spark, monkeypatch, shard):
     monkeypatch.setattr(simhash, "SHARD", shard)
@@ -119,18 +167,9 @@ def test_near_dedup_decides_by_exact_similarity(spark, monkeypatch, shard):
                 words[k] = rng.choice(vocabulary)
     loop = " ".join(["all work and no play makes"] * 300)  # the repeated part outvotes the rest
     rows += [(len(rows), f"{loop} {' '.join(vocabulary[:40])}"), (len(rows) + 1, f"{loop} {' '.join(vocabulary[40:80])}")]
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    root = list(range(len(rows)))
-    borderline = 0
-    for _ in range(5):
-        for i, a in enumerate(sets):
-            for j in range(max(0, i - 4), i):
-                share = len(a & sets[j]) / len(a | sets[j])
-                borderline += 0.75 < share < 0.8
-                if share >= 0.8:
-                    root[i] = root[j] = min(root[i], root[j])
+    want, borderline = classes_of(rows)
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {i for i, r in enumerate(root) if i == r} and borderline > 20
+    assert kept == want and borderline > 20
 
 
 def test_op2(spark, texts):
