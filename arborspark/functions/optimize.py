@@ -12,35 +12,52 @@ LEAST, MOST = 1e-6, 100.0
 TOLERANCE, STEPS, SWEEPS = 1e-7, 30, 32
 
 
-def newton(model: Model, weights: np.ndarray, a: Message, b: Message, t: float, *, least: float = LEAST, most: float = MOST) -> tuple[float, bool]:
-    """(length, converged) of the branch between two messages.
+def newton(model: Model, weights: np.ndarray, a: Message, b: Message, t: float) -> tuple[float, bool]:
+    """(length, converged) of the branch between two messages."""
+    best, fine = newton_many(model, weights, a[0][None], b[0][None], np.array([t], float))
+    return float(best[0]), bool(fine[0])
 
-    In the model's eigenbasis a pattern's likelihood is a sum of exponentials of t,
-    so each step costs a few dot products. Steps are capped, kept inside the
-    bracket that the slopes found so far leave, and reversed where the curve bends
-    the wrong way.
+
+def newton_many(model: Model, weights: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, converged) of many branches at once: messages (branches, states, patterns).
+
+    Works on the logarithm x of the length, within a bracket that every slope shrinks: the
+    optimum lies right of a rising point and left of a falling one. A Newton step is
+    taken if it stays inside; else the bracket's end is tried, if nothing is known of
+    it yet, and then the middle. In the model's eigenbasis a pattern's likelihood is a
+    sum of exponentials of the length, so a point costs a few products.
     """
-    s = (model.right @ b[0]) * ((model.left * model.pi[:, None]).T @ a[0])
-    lo, hi, cap = least, most, most / STEPS
-    r = model.rates[:, None]
+    s = (model.right @ b) * ((model.left * model.pi[:, None]).T @ a)
+    powers = np.stack([np.ones_like(model.rates), model.rates, model.rates**2])
+    x = np.log(np.clip(t, LEAST, MOST))
+    ends = np.tile(np.log([LEAST, MOST]), (len(x), 1))
+    known = np.zeros((len(x), 2), bool)
+    fine, open_ = np.zeros(len(x), bool), np.arange(len(x))
     for _ in range(STEPS):
-        e = np.exp(r * t) * s
-        like = np.maximum(e.sum(0), FLOOR)
-        one, two = (r * e).sum(0) / like, (r * r * e).sum(0) / like
-        g, h = -float((weights * one).sum()), -float((weights * (two - one * one)).sum())
-        if not (np.isfinite(g) and np.isfinite(h)):
-            return t, False
-        if h > 0:
-            if abs(g) < TOLERANCE:
-                return t, True
-            lo, hi = (t, hi) if g < 0 else (lo, t)
-        step = -g / abs(h) if h else -np.sign(g) * cap
-        step = min(max(step, -cap), cap)
-        step = min(max(t + step, lo), hi) - t
-        if abs(step) < TOLERANCE:
-            return t, True
-        t = min(max(t + step, least), most)
-    return t, False
+        at = x[open_]
+        length = np.exp(at)
+        terms = powers * np.exp(model.rates * length[:, None])[:, None, :]
+        like, first, second = np.moveaxis(terms @ (s if len(open_) == len(x) else s[open_]), 1, 0)
+        first, second = first / np.maximum(like, FLOOR), second / np.maximum(like, FLOOR)
+        slope = first @ weights
+        bend = length * (length * ((second - first**2) @ weights) + slope)
+        sound = np.isfinite(slope) & np.isfinite(bend)
+        side = (slope < TOLERANCE).astype(int)  # 0: rising, the optimum is to the right; flat tails count as falling
+        rows = open_[sound]
+        ends[rows, side[sound]], known[rows, side[sound]] = at[sound], True
+        goal = np.take_along_axis(ends[open_], 1 - side[:, None], 1)[:, 0]
+        tested = np.take_along_axis(known[open_], 1 - side[:, None], 1)[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.where(bend < 0, at - length * slope / bend, np.nan)
+        low, high = np.minimum(at, goal), np.maximum(at, goal)
+        new = np.where((step > low) & (step < high), step, np.where(tested, (low + high) / 2, goal))
+        done = ((np.abs(slope) < TOLERANCE) & (bend < -TOLERANCE)) | (np.abs(np.exp(new) - length) < TOLERANCE)  # a flat tail is no optimum
+        x[open_[sound & ~done]] = new[sound & ~done]
+        fine[open_[sound & done]] = True
+        open_ = open_[sound & ~done]
+        if not len(open_):
+            break
+    return np.clip(np.exp(x), LEAST, MOST), fine
 
 
 def five_branches(model: Model, weights: np.ndarray, a: tuple[Message, Message], b: tuple[Message, Message], start, *, eps: float = 1000.0, sweeps: int = SWEEPS) -> tuple[float, list[float]]:
@@ -70,34 +87,6 @@ def five_branches(model: Model, weights: np.ndarray, a: tuple[Message, Message],
     return last, t
 
 
-def newton_many(model: Model, weights: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """``newton`` for many branches at once: messages (branches, states, patterns)."""
-    s = (model.right @ b) * ((model.left * model.pi[:, None]).T @ a)
-    t, r = t.copy(), model.rates
-    lo, hi = np.full(len(t), LEAST), np.full(len(t), MOST)
-    cap, live = MOST / STEPS, np.arange(len(t))
-    for _ in range(STEPS):
-        if not len(live):
-            break
-        now = t[live]
-        e = np.exp(r * now[:, None])
-        like, one, two = np.moveaxis(np.stack([e, r * e, r * r * e], 1) @ (s if len(live) == len(t) else s[live]), 1, 0)
-        like = np.maximum(like, FLOOR)
-        one, two = one / like, two / like
-        g, h = -(one @ weights), -((two - one * one) @ weights)
-        fine = np.isfinite(g) & np.isfinite(h) & ~((h > 0) & (np.abs(g) < TOLERANCE))
-        up = fine & (h > 0)
-        lo[live[up & (g < 0)]] = now[up & (g < 0)]
-        hi[live[up & (g >= 0)]] = now[up & (g >= 0)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.where(h != 0, -g / np.abs(h), -np.sign(g) * cap)
-        step = np.clip(now + np.clip(step, -cap, cap), lo[live], hi[live]) - now
-        fine &= np.abs(step) >= TOLERANCE
-        live = live[fine]
-        t[live] = np.clip(now[fine] + step[fine], LEAST, MOST)
-    return t
-
-
 def five_branches_many(model: Model, weights: np.ndarray, ends: list[Message], start: np.ndarray, *, eps: float = 1000.0, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """``five_branches`` for many pairs at once. ends: the four messages, each
     (pairs, states, patterns) with logs (pairs, patterns); start: (pairs, 5)."""
@@ -126,10 +115,10 @@ def five_branches_many(model: Model, weights: np.ndarray, ends: list[Message], s
     u, v = both(ends[0], t[:, 1], ends[1], t[:, 2]), both(ends[2], t[:, 3], ends[3], t[:, 4])
     last = total(u, v, t[:, 0])
     for _ in range(sweeps):
-        t[:, 0] = newton_many(model, weights, u[0], v[0], t[:, 0])
+        t[:, 0] = newton_many(model, weights, u[0], v[0], t[:, 0])[0]
         for i in range(4):
             rest = both(v if i < 2 else u, t[:, 0], ends[i ^ 1], t[:, 1 + (i ^ 1)])
-            t[:, 1 + i] = newton_many(model, weights, rest[0], ends[i][0], t[:, 1 + i])
+            t[:, 1 + i] = newton_many(model, weights, rest[0], ends[i][0], t[:, 1 + i])[0]
             if i == 1:
                 u = both(ends[0], t[:, 1], ends[1], t[:, 2])
         v = both(ends[2], t[:, 3], ends[3], t[:, 4])
@@ -199,55 +188,27 @@ def all_branches(scorer: Scorer, mode: str = "fast", *, eps: float | None = None
 
 
 def triplets(scorer: Scorer, *, eps: float = 10.0) -> float:
-    """The three branches of each inner node in turn, with a halving line search; a
-    node's change is taken back if the tree got worse."""
-    last = scorer.score()
+    """Sweeps over the inner nodes, each time over a node's three branches; a branch keeps
+    its length unless the new one is at least as likely."""
+    now = scorer.score()
     for _ in range(SWEEPS):
-        before = last
+        start = now
         for u, _ in scorer.tree.postorder(scorer.root()[0]):
-            ends = list(scorer.tree.adj[u])
-            old = [scorer.tree.adj[u][x] for x in ends]
-            if len(ends) != 3 or min(old) <= 0:
-                continue
-            for i, x in enumerate(ends):
-                j, k = (y for n, y in enumerate(ends) if n != i)
-                rest = joined(scorer.model, (scorer.message(j, u), scorer.tree.adj[u][j]), (scorer.message(k, u), scorer.tree.adj[u][k]))
-                scorer.set_length(u, x, _line_search(scorer, rest, scorer.message(x, u), scorer.tree.adj[u][x]))
-            now = scorer.score()
-            if now < last - 1e-10:
-                for x, t in zip(ends, old, strict=True):
-                    scorer.set_length(u, x, t)
-            else:
-                last = now
-        if last - before < eps:
+            if len(scorer.tree.adj[u]) == 3:
+                for x in sorted(scorer.tree.adj[u]):
+                    _climb(scorer, u, x)
+        now = scorer.score()
+        if now - start < eps:
             break
-    return last
+    return now
 
 
-def _line_search(scorer: Scorer, a: Message, b: Message, t: float) -> float:
-    model, w = scorer.model, scorer.weights
-    now = across(model, w, a, b, t)
-    for _ in range(STEPS):
-        one, two = model.derivatives(t)
-        base = np.maximum((model.pi[:, None] * a[0] * (model.p(t) @ b[0])).sum(0), FLOOR)
-        d1 = (model.pi[:, None] * a[0] * (one @ b[0])).sum(0) / base
-        d2 = (model.pi[:, None] * a[0] * (two @ b[0])).sum(0) / base
-        f, df = float((w * d1).sum()), float((w * (d2 - d1 * d1)).sum())
-        if abs(f) < TOLERANCE:
-            break
-        step = f / df if df < 0 else -0.01 * f
-        for _ in range(10):
-            new = min(max(t - step, LEAST), MOST)
-            there = across(model, w, a, b, new)
-            if there > now:
-                break
-            step /= 2
-        else:
-            break
-        moved, t, now = abs(new - t), new, there
-        if moved < TOLERANCE:
-            break
-    return t
+def _climb(scorer: Scorer, u: int, x: int) -> None:
+    a, b, old = scorer.message(u, x), scorer.message(x, u), scorer.tree.adj[u][x]
+    if old > 0:
+        new, _ = newton(scorer.model, scorer.weights, a, b, old)
+        if across(scorer.model, scorer.weights, a, b, new) > across(scorer.model, scorer.weights, a, b, old):
+            scorer.set_length(u, x, new)
 
 
 def prune_and_place(tree: Tree, scorer_of, u: int, v: int, *, radius: int = 10, thorough: bool = False, eps: float = 1000.0) -> list[tuple[float, int, int, int, list[float]]]:

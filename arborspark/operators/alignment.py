@@ -91,6 +91,37 @@ def only_informative(pats: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return d.where("keep").drop("keep"), offset
 
 
+def sliced_by_names(pats: DataFrame, taxa: list[str], names: list[str]) -> DataFrame:
+    """The patterns of the named taxa, in the order given. taxa: names of the rows."""
+    unknown = [n for n in names if n not in taxa]
+    if unknown:
+        raise ValueError(f"unknown taxon: {unknown[0]}")
+    return sliced(pats, [taxa.index(n) for n in names])
+
+
+def from_raw(seqs: DataFrame, seq_type: str | None = None, *, parsimony: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(patterns, (msa_id, seq_type, parsimony_offset)) of raw sequences (msa_id, taxon,
+    ord, seq), checked, of many alignments at once.
+
+    Each alignment's type is found unless ``seq_type`` names one; with ``parsimony`` only
+    informative patterns stay and the offset counts the changes of those dropped (else 0).
+    """
+    kinds = types(seqs) if seq_type is None else seqs.select("msa_id").distinct().withColumn("seq_type", F.lit(seq_type))
+    typed = seqs.join(kinds, "msa_id")
+    pats, offsets = [], []
+    for kind in ("DNA", "AA") if seq_type is None else (seq_type,):
+        p = patterns(columns(typed.where(F.col("seq_type") == kind), kind))
+        if parsimony:
+            p, offset = only_informative(p, alphabet.states(kind))
+            offsets.append(offset)
+        pats.append(p)
+    out = pats[0] if len(pats) == 1 else pats[0].unionByName(pats[1])
+    if not parsimony:
+        return out, kinds.withColumn("parsimony_offset", F.lit(0).cast("long"))
+    offset = offsets[0] if len(offsets) == 1 else offsets[0].unionByName(offsets[1])
+    return out, kinds.join(offset, "msa_id", "left").select("msa_id", "seq_type", F.coalesce("parsimony_offset", F.lit(0)).cast("long").alias("parsimony_offset"))
+
+
 def sliced(pats: DataFrame, rows: list[int]) -> DataFrame:
     """The patterns of some taxa, in the order given; columns and weights as they were."""
     return pats.withColumn("masks", F.array(*[F.element_at("masks", r + 1) for r in rows]))

@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborspark.storage import once
+
 
 def shard(items: DataFrame, key: str, count: int, index: int | None = None) -> DataFrame:
     """items with their ``shard``: the i-th by key goes to shard i mod count (or only
-    the items of one shard).
+    the items of one shard); of items with equal keys the order is free.
 
     Positions come from a range partitioning by key and the sizes of its partitions, so
-    no single task numbers all items.
+    no single task numbers all items. The ranged rows are computed once and kept:
+    planned twice, a range partitioning may choose other bounds.
     """
-    parts = items.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    here = parts.withColumn("_p", F.spark_partition_id())
-    numbered = here.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = here.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # one row a partition
-    place = F.col("_before") + F.col("_i") - 1
-    out = numbered.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("shard", F.pmod(place, F.lit(count)))
-    out = out.drop("_p", "_i", "_before")
+    ranged = items.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    ranged = once(ranged.withColumn("_at", F.monotonically_increasing_id()))  # partition, then place in it
+    part = F.shiftright("_at", 33).alias("_p")
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row a partition
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = ranged.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("shard", F.pmod(place, F.lit(count)))
+    out = out.drop("_p", "_at", "_before")
     return out if index is None else out.where(F.col("shard") == index)
 
 

@@ -28,7 +28,7 @@ COLUMNS = (
 def divide(tree: Tree, fa: float, fb: float, seed: int) -> tuple[set[str], set[str], set[str], set[str]]:
     """(real A, real B, inherited A, inherited B): the clade nearest to fa : fb in size is
     one side; the rest of the fractions is inherited, in proportion to the sides, so
-    that each keeps three real leaves."""
+    that each keeps two real leaves."""
     taxa, n = set(tree.names.values()), len(tree.names)
     want = fa / (fa + fb) * n
     a = set(min(tree.splits(), key=lambda s: (abs(len(s) - want), sorted(s))))
@@ -36,7 +36,7 @@ def divide(tree: Tree, fa: float, fb: float, seed: int) -> tuple[set[str], set[s
     rng = random.Random(seed)
     out = max(0, round((1 - fa - fb) * n))
     first = round(out * len(a) / n)
-    inherited = [set(rng.sample(sorted(x), min(k, max(0, len(x) - 3)))) for x, k in ((a, first), (b, out - first))]
+    inherited = [set(rng.sample(sorted(x), min(k, max(0, len(x) - 2)))) for x, k in ((a, first), (b, out - first))]
     return a - inherited[0], b - inherited[1], *inherited
 
 

@@ -10,15 +10,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from arborspark.functions.topology import Tree
+from arborspark.storage import once
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     tables = {}
     if NODES in text:
-        # recursion reads the nodes once a level: they are computed once and kept (lineage
-        # stays, so a lost executor's part is computed again)
-        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").persist()
-        up = spark.sql("with " + NODES.rstrip(",") + " select * from up", supplier=suppliers).persist()
+        # recursion reads the nodes once a level: they are computed once and kept as
+        # checkpoints, which go with the frames that use them
+        suppliers = once(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"))
+        up = once(spark.sql("with " + NODES.rstrip(",") + " select * from up", supplier=suppliers))
         tables = {"supplier": suppliers, "tree_up": up}
         text = text.replace(NODES, "n as (select cast(count(*) as bigint) as n from {supplier}),\nup as (select * from {tree_up}),")
     names = set(re.findall(r"\{(\w+)\}", text)) - set(tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +13,15 @@ SEQUENCES = "msa_id string, taxon string, ord bigint, seq string"
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(msa_id, taxon, ord, seq) of one file, folder or glob; msa_id is the file's path.
 
-    Records are cut at '>', the name is the header's first word, and sequence lines
-    lose their white space. ord rises in file order.
+    Records are cut at lines that start with '>', the name is the header's first word,
+    and sequence lines lose their white space. ord rises in file order.
     """
-    raw = spark.read.text(path, lineSep=">").select(F.col("_metadata.file_path").alias("msa_id"), F.monotonically_increasing_id().alias("ord"), "value")
+    raw = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("msa_id"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^>", "").alias("value"))
     return parsed(raw)
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Records (msa_id, ord, value: the text between two '>') as sequences."""
+    """Records (msa_id, ord, value: a header without its '>' and the lines below) as sequences."""
     head = F.substring_index("value", "\n", 1)
     body = F.substr(F.col("value"), F.length(head) + 1)
     rows = raw.select("msa_id", F.element_at(F.split(F.trim(F.regexp_replace(head, r"\s+", " ")), " "), 1).alias("taxon"), "ord", F.regexp_replace(body, r"\s+", "").alias("seq"))
@@ -38,6 +38,16 @@ def checked(seqs: DataFrame) -> DataFrame:
     return seqs.join(stats, "msa_id").where("fine").select("msa_id", "taxon", "ord", "seq")
 
 
+def ordered(seqs: DataFrame, taxa: Sequence[str]) -> DataFrame:
+    """The sequences with ``ord`` as the names' place in ``taxa``; an alignment that lacks
+    one of them, or holds another, is an error."""
+    place = F.array_position(F.array(*[F.lit(t) for t in taxa]), F.col("taxon")) - 1
+    d = seqs.withColumn("ord", F.when(place >= 0, place).otherwise(F.raise_error(F.concat(F.lit("taxon not in the order given: "), "taxon")).cast("bigint")))
+    short = d.groupBy("msa_id").agg(F.count_distinct("taxon").alias("n"))
+    fine = short.select("msa_id", F.when(F.col("n") == len(taxa), True).otherwise(F.raise_error(F.concat(F.lit("taxa missing in "), "msa_id")).cast("boolean")).alias("fine"))
+    return d.join(fine, "msa_id").where("fine").drop("fine")
+
+
 def from_dict(spark: SparkSession, seqs: Mapping[str, str], msa_id: str = "") -> DataFrame:
     return spark.createDataFrame([(msa_id, t, i, s) for i, (t, s) in enumerate(seqs.items())], SEQUENCES)
 
@@ -68,7 +78,7 @@ def read_local(path: str) -> dict[str, str]:
 
 def stem(path: Column, suffix: str = "") -> Column:
     """A file's name without folder, one known extension and an optional suffix."""
-    name = F.regexp_replace(F.substring_index(path, "/", -1), r"(?i)\.(fasta|fas|fa|fna|faa|aln|phy|nwk|newick|tree|tre|raxml|besttree|txt)$", "")
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"(?i)\.(fasta|fas|fa|fna|faa|aln|phy|phylip|nwk|newick|tree|treefile|tre|raxml|besttree|txt)$", "")
     return F.regexp_replace(name, f"{_quote(suffix)}$", "") if suffix else name
 
 

@@ -53,16 +53,16 @@ def test_one_bad_job_fails_alone(spark):
     seqs = {n: "ACGTTGCAAC"[i:] + "ACGTTGCAAC"[:i] for i, n in enumerate(names)}
     cols = alignment.columns(fasta.from_dict(spark, seqs, "good").unionByName(fasta.from_dict(spark, seqs, "bad")), "DNA")
     pats = alignment.patterns(cols)
-    from arborspark.queries import SIDE_A, SIDE_B
+    side_a, side_b = "(((s8:.25,s0:.15):.12,(s1:.3,s2:.22):.17):.08,s3:.11,s4:.45);", "(((s5:.14,s6:.26):.19,(s9:.33,s7:.21):.13):.09,s4:.16,s0:.38);"
 
-    rows = [("good", SIDE_A, SIDE_B, "s4", "s0", ["s8"], ["s9"], names), ("bad", "((", SIDE_B, "s4", "s0", [], [], names)]
+    rows = [("good", side_a, side_b, "s4", "s0", ["s8"], ["s9"], names), ("bad", "((", side_b, "s4", "s0", [], [], names)]
     jobs = spark.createDataFrame(rows, "msa_id string, newick_a string, newick_b string, interest_a string, interest_b string, inherited_a array<string>, inherited_b array<string>, taxa array<string>")
     got = {r["msa_id"]: r for r in merge.merge_many(jobs, pats, "JC", "DNA").collect()}
     assert got["good"]["status"] == "ok" and got["bad"]["status"] == "error" and got["bad"]["error"]
-    alone = merge.merge(SIDE_A, SIDE_B, "s4", "s0", msa=seqs, inherited_a=[["s8"]], inherited_b=[["s9"]], model="JC")
+    alone = merge.merge(side_a, side_b, "s4", "s0", msa=seqs, inherited_a=[["s8"]], inherited_b=[["s9"]], model="JC")
     assert got["good"]["newick"] == alone.newick and got["good"]["loglik"] == pytest.approx(alone.loglik, abs=1e-8)
     x, m = merge.Alignment.of(seqs, "DNA"), models.jukes_cantor(4)
-    sides = merging.prepare(SIDE_A, "s4", ["s8"]), merging.prepare(SIDE_B, "s0", ["s9"])
+    sides = merging.prepare(side_a, "s4", ["s8"]), merging.prepare(side_b, "s0", ["s9"])
     best = merge.best(merge.sweep(spark, *sides, x, m)).first()
     assert best["ll"] == pytest.approx(alone.loglik, abs=1e-8)
 
@@ -141,17 +141,63 @@ def test_results_and_logs(spark, tmp_path):
 def test_tables_of_trees(spark):
     from arborspark.operators import trees
 
-    text = "(((L1:0.1,L2:0.1):0.2,O1:0.5):0.3,C1:0.4,(O2:0.5,(R1:0.1,R2:0.1):0.2):0.3);"
-    rows = [(1, text, ["O1", "O2"], "L1"), (2, "((a,b),(c,d));", ["a"], "b"), (3, "((", [], "x")]
+    text = "((k:0.1,(l:0.2,m:0.3):0.4):0.5,n:0.6,(w:0.8,(x:0.9,y:1.0):1.1):1.2);"
+    rows = [(1, text, ["k", "w"], "l"), (2, "((a,b),(c,d));", ["a"], "b"), (3, "((", [], "x")]
     d = spark.createDataFrame(rows, "id int, newick string, remove array<string>, leaf string")
     assert {r["id"]: r["error"] is None for r in trees.problems(d, ["id"]).collect()} == {1: True, 2: True, 3: False}
     got = {r["id"]: r for r in trees.pruned(d, ["id"]).collect()}
-    assert got[1]["anchors"] == {"O1": ["L1", "L2"], "O2": ["R1", "R2"]} and got[3]["error"]
+    assert got[1]["anchors"] == {"k": ["l", "m"], "w": ["x", "y"]} and got[3]["error"]
     assert trees.edges(d.where("id = 1"), ["id"]).count() == 11
     assert trees.windows(d.where("id < 3"), ["id"], n=3).groupBy("id").count().where("count = 3").count() == 2
     assert trees.neighbours(d.where("id = 1"), ["id"]).count() == 8
     assert trees.neighbours(d.where("id = 1"), ["id"], radius=2).count() > 8
-    assert [r["clade"] for r in trees.clades(d.where("id = 1"), ["id"], "remove").collect()] == [["O1"], ["O2"]]
+    assert [r["clade"] for r in trees.clades(d.where("id = 1"), ["id"], "remove").collect()] == [["k"], ["w"]]
     pairs = d.where("id = 1").select("id", F.col("newick").alias("newick_a"), F.col("newick").alias("newick_b"))
     assert trees.distances(pairs, ["id"]).first()["rf"] == 0
     assert trees.splits(d.where("id = 1"), ["id"], "remove").count() == 0
+
+
+def test_shards_keep_wide_rows(spark):
+    """Rows of a kilobyte, of which adaptive execution merges other partitions than of keys."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        d = spark.range(40_000).select(((F.col("id") * 7919) % 40_000).alias("key"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 8).alias("payload"))
+        got = corpus.shard(d, "key", 7)
+        assert got.count() == 40_000 and got.where("length(payload) <> 1024").isEmpty()
+        assert got.where("shard <> key % 7").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_raw_alignments(spark, tmp_path):
+    (tmp_path / "a.fas").write_text(">x with > inside\nACGT\nAC\n>y\nAAGTAC\n>z\nACGTAA\n")
+    (tmp_path / "b.fas").write_text(">x\r\nEELL\r\n>z\r\nEELK\r\n>y\r\nQELL\r\n")
+    seqs = fasta.checked(fasta.read(spark, str(tmp_path / "*.fas")))
+    assert {r["taxon"] for r in seqs.collect()} == {"x", "y", "z"} and seqs.count() == 6
+    pats, kinds = alignment.from_raw(seqs)
+    assert sorted(r["seq_type"] for r in kinds.collect()) == ["AA", "DNA"]
+    assert sorted(r["n"] for r in pats.groupBy("msa_id").agg(F.sum("weight").alias("n")).collect()) == [4, 6]
+    few, kinds = alignment.from_raw(seqs, parsimony=True)
+    assert few.count() == 0 and sorted(r["parsimony_offset"] for r in kinds.collect()) == [2, 2]
+    named = fasta.ordered(seqs, ["z", "y", "x"])
+    assert {(r["taxon"], r["ord"]) for r in named.collect()} == {("z", 0), ("y", 1), ("x", 2)}
+    for taxa in (["z", "y"], ["z", "y", "x", "w"]):
+        with pytest.raises(Exception, match="taxon not in the order|taxa missing"):
+            fasta.ordered(seqs, taxa).collect()
+    part = alignment.sliced_by_names(pats, ["x", "y", "z"], ["z", "x"])
+    assert part.where("size(masks) <> 2").isEmpty()
+    with pytest.raises(ValueError, match="unknown taxon: w"):
+        alignment.sliced_by_names(pats, ["x"], ["w"])
+
+
+def test_best_moves_stay_in_a_heap(spark):
+    from arborspark.functions import models
+    from arborspark.operators import search
+    from arborspark.plans import portable as P
+
+    d = spark.createDataFrame([(1, i, 1, i, [1 << (i * t // 3) % 4 for t in range(8)]) for i in range(20)], "msa_id long, pattern_id long, weight long, first_site long, masks array<int>")
+    args = (d, P.heap_tree(), [f"t{t}" for t in range(8)], models.jukes_cantor(4))
+    rows = lambda x: [tuple(r)[:-1] for r in search.best_moves(x, 4).orderBy("place").collect()]
+    assert rows(search.spr_scores(*args, keep=4)) == rows(search.spr_scores(*args))
+    some = args[1].spr_points()[0]
+    assert {(r["pu"], r["pv"]) for r in search.spr_scores(*args, only_subtrees={some}).collect()} == {some}
