@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborspark.storage import once as cut  # noqa: F401
+
 #: Word class of the corpus operators: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,32 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the reliable checkpoint folder, which
-    ``spark.checkpoint.dir`` of the session names (only on a local master, as in
-    tests, a temporary folder serves where it is unset).
-
-    A checkpoint keeps the size that was estimated for its plan; over rounds of joins
-    these estimates multiply into numbers of millions of digits, so the rows are
-    given a plan of their own without one.
-    """
-    session = df.sparkSession
-    sc = session.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(session))
-    kept = df.checkpoint(eager=True)
-    plain = kept._jdf.sparkSession().internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
-    return type(kept)(plain, session)
-
-
-def shared_folder(session: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    where = session.conf.get("spark.checkpoint.dir", None)
-    if where is None and not session.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return where or tempfile.mkdtemp(prefix="checkpoints-")
-
-
 #: Rows up to which a narrow table is sent to every task.
 SMALL = 50_000
 

@@ -35,13 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh
+from .common import col, cut, fresh, if_small
 
 ORDER = 4
 BLOCK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
-SALTS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio multiplier
 
 
@@ -186,16 +185,17 @@ def _bucket(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int) -> dict[str, list[str]]:
     """The bounded training sample: at most ``per_language`` texts a language."""
-    d = docs.where(_bucket(col(doc_id)) != 2).where(col(lang).isNotNull() & col(text).isNotNull())
-    d = d.select(col(lang).alias("lang"), F.xxhash64(col(doc_id)).alias("h"), col(doc_id).alias("i"))
-    # first of each of SALTS parts of a language, so that the last ranking reads a bounded
-    # number of rows, however many tasks found candidates
-    part = F.pmod(F.xxhash64("i", F.lit(1)), F.lit(SALTS))
-    for keys in ([F.col("lang"), part], [F.col("lang")]):
-        d = d.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "i"))).where(F.col("r") <= per_language).drop("r")
+    labelled = docs.where(_bucket(col(doc_id)) != 2).where(col(lang).isNotNull() & col(text).isNotNull())
+    d = labelled.select(col(lang).alias("lang"), F.xxhash64(col(doc_id)).alias("h"), col(doc_id).alias("i"))
+    # the share of each language's hashes that holds twice as many as wanted and some more,
+    # so that few rows are ranked, whatever the language's share of the corpus
+    n = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = F.lit(-float(1 << 63)) + F.lit(float(1 << 64)) * F.least(F.lit(1.0), (2 * per_language + 64) / F.col("n"))
+    d = d.join(if_small(n), "lang").where(F.col("h").cast("double") <= low)
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= per_language)
     ids = d.select("i").distinct()
-    chosen = docs.where(_bucket(col(doc_id)) != 2).where(col(lang).isNotNull() & col(text).isNotNull())
-    chosen = chosen.join(F.broadcast(ids), col(doc_id) == ids["i"], "left_semi")  # at most per_language rows a language
+    ids = if_small(cut(ids))  # at most per_language rows a language
+    chosen = labelled.join(ids, col(doc_id) == ids["i"], "left_semi")
     out: dict[str, list[str]] = {}
     for r in chosen.select(col(lang).alias("lang"), col(text).alias("text")).toLocalIterator():
         out.setdefault(r["lang"], []).append(r["text"])

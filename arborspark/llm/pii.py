@@ -8,10 +8,13 @@ linear on long runs. Checks: parts of addresses at most 255, Luhn for cards,
 9 to 15 digits for phones, ISO 7064 mod 97 for account numbers.
 
 Besides the base kinds (email, ip, card, phone), which are kept whatever their
-score, the operator finds ``iban`` (checksum needed) and ``secret`` (key-like
-tokens, kept if the pattern's own weight plus that of context words reaches
-``threshold``). Every span carries a score: the kind's weight plus 0.2 if one of
-the kind's context words stands within ``WINDOW`` characters before it, at most 1.
+score, the operator finds ``iban`` (length of its country, checksum), ``secret`` (keys
+of known form, assigned passwords, private-key blocks), ``token`` (runs of letters and
+digits) and ``ssn`` (numbers of that form). Every span carries a score: the kind's
+weight plus 0.2 if one of the kind's context words stands within ``WINDOW`` characters
+before it (and after the kind's previous match), at most 1. Further kinds are kept if
+their score reaches ``threshold``: iban and secret by their own weight, token and ssn
+only where context speaks for them.
 
 Cases: null is an empty text without spans; very long texts are scanned whole;
 repeated rows are scanned alike; an empty table stays empty; extra columns stay.
@@ -24,7 +27,19 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh
 
-WINDOW = 40
+WINDOW, THRESHOLD = 40, 0.75
+#: Characters of an account number after the country code, by country.
+IBAN_LENGTHS = {
+    13: "NO", 14: "BE", 16: "DK FI FO GL NL SD", 17: "MK SI", 18: "AT BA EE KZ LT LU XK", 19: "CH CR HR LI LV", 20: "BG BH DE GB GE IE ME RS VA",
+    21: "AE GI IL IQ OM TL", 22: "AD CZ ES MD PK RO SA SE SK TN VG", 23: "LY PT ST", 24: "IS TR", 25: "BI DJ FR GR IT MC MR SM", 26: "AL AZ BY CY DO GT HU LB PL SV",
+    27: "BR EG PS QA UA", 28: "JO KW MU", 29: "MT SC", 30: "LC", 31: "RU",
+}
+IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 2}}}" for n, c in IBAN_LENGTHS.items())
+SECRET = (
+    r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    r"|(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{8,}"
+)
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 #: kind: (pattern, a pattern without which there is no match, weight, context words).
 #: The first four find what the plain patterns of the kinds find.
 KINDS = {
@@ -32,11 +47,14 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None, 0.7, "ip|host|server|address|adresse"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|karte|carte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.8, "phone|call|tel|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", None, 0.9, "iban|account|bank|konto|compte|cuenta"),
-    "secret": (r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_-]{8,}+)", None, 0.8, "key|password|token|secret|aws"),
+    "iban": (rf"(?<![A-Za-z0-9_])(?:{IBAN})(?![A-Za-z0-9_])", None, 0.8, "iban|account|bank|konto|compte|cuenta"),
+    "secret": (rf"(?<![A-Za-z0-9_])(?:{SECRET})|{KEY_BLOCK}", None, 0.8, "key|password|token|secret|aws"),
+    "token": (r"(?<![A-Za-z0-9_])[A-Za-z0-9_-]{20,}+", None, 0.6, "key|token|secret|bearer|credential|auth"),
+    "ssn": (r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", "-", 0.6, "ssn|social security|tax id"),
 }
 BASE = ("email", "ip", "card", "phone")
 DIGIT_RUN = r"[0-9](?:[\x20-]?[0-9]){12}"
+TOKEN_LIKE = r"[A-Za-z0-9_-]{20}"
 
 
 def luhn(digits: Column) -> Column:
@@ -65,8 +83,11 @@ def _sound(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        code = F.regexp_replace(match, " ", "")
-        return F.length(code).between(15, 34) & mod97(code)
+        return mod97(F.regexp_replace(match, " ", ""))
+    if kind == "token":
+        return match.rlike("[A-Za-z]") & match.rlike("[0-9]")
+    if kind == "ssn":
+        return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
 
 
@@ -90,14 +111,14 @@ def _kind(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, score>>, confirmed spans in order; lazily: only
     texts that hold the kind's needle are cut up."""
     _, needle, weight, words = KINDS[kind]
-    may = F.contains(text, F.lit(needle)) if needle else text.rlike({"ip": r"[0-9]\.[0-9]++\.[0-9]", "card": DIGIT_RUN, "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", "secret": r"AKIA|gh[pousr]_|password|passwd|secret|token|api_?key"}[kind])
+    may = F.contains(text, F.lit(needle)) if needle else text.rlike({"ip": r"[0-9]\.[0-9]++\.[0-9]", "card": DIGIT_RUN, "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", "secret": r"AKIA|gh[pousr]_|xox|AIza|k_live_|eyJ|PRIVATE KEY|password|passwd|secret|token|api_?key", "token": TOKEN_LIKE}[kind])
     score = lambda s: F.least(F.lit(1.0), F.lit(weight) + F.when(s["before"].rlike(rf"(?<![a-z])(?:{words})"), 0.2).otherwise(0.0))
     good = F.filter(spans(text, kind), lambda s: _sound(kind, s["match"]))
     out = F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
     return F.when(may, out).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
-def find(docs: DataFrame, text: str = "text", *, threshold: float = 0.75) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """docs plus ``pii``: array<struct<kind, start, end, score>> by kind, then start."""
     names = fresh(docs, *[f"pii_{k}" for k in KINDS], "pii")
     whole = F.coalesce(col(text), F.lit(""))

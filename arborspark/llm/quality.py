@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh
+from .common import col, cut, fresh
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_marks")
@@ -87,19 +87,20 @@ def repeated(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the MEASURES as long columns (names step aside for clashes: see ``fresh``)."""
-    names = fresh(docs, *MEASURES)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType(), False) for n in names]])
+def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with the MEASURES as long columns (names step aside
+    for clashes: see ``fresh``)."""
+    d = docs.select(*[col(c) for c in (docs.columns if keep is None else keep)], col(text).alias("\0text"))
+    names = fresh(d, *MEASURES)
+    schema = T.StructType([*d.schema.fields[:-1], *[T.StructField(n, T.LongType(), False) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [measure(t) for t in b.column(text_at).to_pylist()]
+            got = [measure(t) for t in b.column(b.num_columns - 1).to_pylist()]
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *names])
 
-    text_at = docs.columns.index(text)
-    return docs.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -117,7 +118,8 @@ def rules(m: dict[str, Column]) -> dict[str, Column]:
         "lines": _vote(m["n_dup_lines"] == 0, (m["n_dup_lines"] / lines) > 0.5),
         "repeats": _vote(repeats <= 0.05, repeats > 0.3),
         "upper": _vote(m["n_upper"] / n <= 0.15, m["n_upper"] / n > 0.5),
-        "variety": _vote((m["n_distinct"] / n >= 0.3) | (m["n_words"] > 2000), (m["n_words"] >= 30) & (m["n_distinct"] / n < 0.12)),
+        # distinct words by the root of all, as their share falls with the text's length
+        "variety": _vote(m["n_distinct"] / F.sqrt(n) >= 2, (m["n_words"] >= 30) & (m["n_distinct"] / F.sqrt(n) < 1.3)),
     }
 
 
@@ -163,10 +165,12 @@ def em(votes: np.ndarray, counts: np.ndarray, *, steps: int = 200, smooth: float
     return post[:, 0], lik, weight
 
 
-def judge(docs: DataFrame, text: str = "text", *, threshold: float = 0.5) -> DataFrame:
-    """docs with measures, base_failed, quality (posterior probability) and kept."""
-    m = measured(docs, text)
-    names = dict(zip(MEASURES, m.columns[len(docs.columns) :], strict=True))
+def judge(docs: DataFrame, text: str = "text", *, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with measures, base_failed, quality (posterior
+    probability) and kept. The measured rows are computed once and kept: leave the
+    text out of ``keep`` where it isn't needed."""
+    m = cut(measured(docs, text, keep))
+    names = dict(zip(MEASURES, m.columns[-len(MEASURES) :], strict=True))
     votes = rules({k: col(v) for k, v in names.items()})
     base = (col(names["n_words"]) < 20) | (100 * col(names["n_repeat_words"]) > 30 * col(names["n_words"]))
     pattern = F.concat_ws(",", *[v.cast("string") for v in votes.values()])

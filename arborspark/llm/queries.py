@@ -25,7 +25,7 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base rule and weak-supervision verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality.judge(docs)
+    out = quality.judge(docs, keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
@@ -191,7 +191,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs).select("doc_id", "pii")
     n = {k: F.size(F.filter("pii", pii.of_kinds(k))).cast("long").alias(f"n_{k}") for k in pii.BASE}
     base = F.filter("pii", pii.of_kinds(*pii.BASE))
-    return found.select("doc_id", *n.values(), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    total, score = F.size("pii").cast("long").alias("n_pii"), F.coalesce(F.array_max(F.col("pii")["score"]), F.lit(0.0)).alias("score")
+    return found.select("doc_id", *n.values(), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), total, score)
 
 
 def _op10_sql() -> str:
@@ -201,8 +202,10 @@ def _op10_sql() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
-        "secret": r"\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{8,})",
+        "iban": rf"\b(?:{pii.IBAN})\b",
+        "secret": rf"\b(?:{pii.SECRET})|{pii.KEY_BLOCK}",
+        "token": r"\b[A-Za-z0-9_-]{20,}",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     }
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda j: (case when j % 2 = 1 then 1 else 2 end) * reverse({digits})[j]::int - case when j % 2 = 0 and reverse({digits})[j]::int > 4 then 9 else 0 end)) % 10 = 0"
@@ -212,10 +215,13 @@ def _op10_sql() -> str:
         "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or lpad(ltrim(x, '0'), 3, '0') > '255')) = 0",
         "card": f"case when length({digits}) between 13 and 19 then {luhn} else false end",
         "phone": f"length({digits}) between 9 and 15",
-        "iban": f"case when length({code}) between 15 and 34 then list_reduce(list_prepend(0, {values}), lambda a, x: (a * (case when x > 9 then 100 else 10 end) + x) % 97) = 1 else false end",
+        "iban": f"list_reduce(list_prepend(0, {values}), lambda a, x: (a * (case when x > 9 then 100 else 10 end) + x) % 97) = 1",
+        "token": "regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]')",
+        "ssn": "v not like '000%' and v not like '666%' and v not like '9%' and substr(v, 5, 2) <> '00' and substr(v, 8) <> '0000'",
     }
     kinds = " union all ".join(
-        f"select r, {k} as k, '{kind}' as kind, pos, v from (select r, unnest(m) as v, unnest(list_transform(range(1, len(m) + 1), "
+        f"select r, {k} as k, '{kind}' as kind, pos, v, {pii.KINDS[kind][2]} + case when regexp_matches(lower(right(piece, {pii.WINDOW})), '(^|[^a-z])(?:{pii.KINDS[kind][3]})') then 0.2 else 0 end as score "
+        f"from (select r, unnest(m) as v, unnest(p[1:len(m)]) as piece, unnest(list_transform(range(1, len(m) + 1), "
         f"lambda i: (coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint)) as pos "
         f"from (select r, regexp_extract_all(t, '{x}') as m, string_split_regex(t, '{x}') as p from d where regexp_matches(t, '{x}'))) where {sound.get(kind, 'true')}"
         for k, (kind, x) in enumerate(patterns.items())
@@ -224,9 +230,10 @@ def _op10_sql() -> str:
     span = "kind || ':' || pos || ':' || (pos + length(v))"
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
-s as ({kinds}),
-a as (select r, {n}, string_agg({span}, ',' order by k, pos) filter (k < 4) as base, string_agg({span}, ',' order by k, pos) as spans from s group by r)
-select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+s as (select * from ({kinds}) x where k < 4 or score >= {pii.THRESHOLD}),
+a as (select r, {n}, count(*) as n_pii, max(least(score, 1.0))::double as score, string_agg({span}, ',' order by k, pos) filter (k < 4) as base, string_agg({span}, ',' order by k, pos) as spans from s group by r)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_pii, 0) as n_pii, coalesce(score, 0.0)::double as score
 from d left join a using (r)
 """
 

@@ -29,9 +29,11 @@ extra columns stay.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -43,8 +45,8 @@ from pyspark.sql import types as T
 from .common import fresh
 
 MARK = "▁"
-MEMO = 150_000
-PACK = struct.Struct("<i").pack
+#: Units and beginnings of units that a worker remembers.
+MEMO, STARTS = 800_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,7 @@ class Vocabulary:
     merges: bool  # byte-pair model
     dummy_prefix: bool
     hidden: frozenset[int]  # control pieces: no text
+    digest: str = ""  # of the model file
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -68,7 +71,8 @@ class Vocabulary:
 
         m = pb.ModelProto()
         with open(path, "rb") as f:
-            m.ParseFromString(f.read())
+            raw = f.read()
+        m.ParseFromString(raw)
         rule = m.normalizer_spec
         if rule.precompiled_charsmap or rule.remove_extra_whitespaces:
             raise ValueError("only models with the identity normaliser are supported")
@@ -85,6 +89,7 @@ class Vocabulary:
             m.trainer_spec.model_type == 2,
             rule.add_dummy_prefix,
             frozenset(i for i in range(size) if kinds[i] in (3,)),
+            hashlib.sha256(raw).hexdigest(),
         )
 
 
@@ -95,15 +100,18 @@ class Encoder:
     v: Vocabulary
     memo: dict[str, bytes] = field(default_factory=dict)
     fits: dict[int, bool] = field(default_factory=dict)
-    paths: dict[str, tuple[bytes, int]] = field(default_factory=dict)
+    #: beginnings of units as a tree: (number, next character) -> number; and their survivors
+    steps: dict[int, int] = field(default_factory=dict)
+    starts: list[tuple[int, int, float]] = field(default_factory=lambda: [(-1, 0, 0.0)])
 
     def __post_init__(self) -> None:
         inner = [p for p in self.v.normal if len(p) > 1]
         self.longest = max([1, *map(len, self.v.normal)])
         by_word = not any(MARK in p.lstrip(MARK) for p in inner)
-        apart = "".join(c for c in "\n" if not any(c in p for p in self.v.normal))
-        self.units = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+|[{apart}]" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+") if by_word else None
-        # characters that some longer piece ends with: others need no search
+        # runs of characters that share no piece with the largest class of characters
+        apart = re.escape("".join(self._apart(inner)))
+        runs = f"{MARK}*[{apart}]+|" if apart else ""
+        self.units = re.compile(f"{runs}{MARK}*[^{MARK}{apart}]+|{MARK}+") if by_word else None
         self.least = min([0.0, *self.v.scores]) - 10
         # pieces from their ends: each character leads to (the piece of these, the tree above)
         above: dict[str, dict] = {"": {}}
@@ -117,6 +125,25 @@ class Encoder:
         #: neighbours inside some piece; between any others a piece always ends
         self.inside = {text[k : k + 2] for text in self.v.normal for k in range(len(text) - 1)}
 
+    @staticmethod
+    def _apart(pieces: list[str]) -> list[str]:
+        """Characters of pieces outside the largest class, where classes join the characters
+        that occur in one piece. No piece spans two classes."""
+        root: dict[str, str] = {"\n": "\n"}
+
+        def find(c: str) -> str:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for p in pieces:
+            first, *rest = p.lstrip(MARK) or "\n"
+            for c in rest:
+                root[find(c)] = find(first)
+            find(first)
+        size = Counter(map(find, list(root)))
+        return sorted(c for c in list(root) if find(c) != max(size, key=lambda r: (size[r], r)))
+
     # -- encoding ---------------------------------------------------------
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
@@ -131,84 +158,80 @@ class Encoder:
         return b"".join([known(u) or self._unit(u) for u in self.units.findall(marked)])
 
     def _unit(self, unit: str) -> bytes:
+        """Ids of a unit, from the streaming search; memoised. A unit is cut where no piece
+        spans two neighbouring characters, as a piece always ends there."""
         got = self.memo.get(unit)
         if got is None:
-            if len(unit) > 64 or not self.v.merges:
-                return np.fromiter(self.stream(unit), "<i4").tobytes()
             cut = next((k for k in range(len(unit) - 1, 0, -1) if unit[k - 1 : k + 1] not in self.inside), 0)
-            got = self._unit(unit[:cut]) + self._unit(unit[cut:]) if cut else self._survivor(unit)[0]
+            if cut:
+                got = self._unit(unit[:cut]) + self._unit(unit[cut:])
+            else:
+                ids = list(self.stream(unit))
+                got = struct.pack(f"<{len(ids)}i", *ids)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[unit] = got
         return got
 
-    def _survivor(self, part: str) -> tuple[bytes, int]:
-        """(ids, last piece) of the one path of a byte-pair model that ends with ``part``:
-        what ``stream`` keeps for this boundary, found from the end. Words share their
-        beginnings, so these are memoised too."""
-        got = self.paths.get(part)
-        if got is not None:
-            return got
-        node, i, found = self.endings, len(part), []
-        while i and (step := node.get(part[i - 1])) is not None:
-            i -= 1
-            piece, node = step
-            if piece is not None:
-                found.append((i, piece))
-        for i, piece in reversed(found):
-            if not i:
-                got = PACK(piece), piece
-                break
-            ids, left = self._survivor(part[:i])
-            if left < 0 or self._compatible(left, piece):
-                got = ids + PACK(piece), piece
-                break
-        else:  # outside the vocabulary: stands alone
-            before = self._survivor(part[:-1])[0] if len(part) > 1 else b""
-            got = before + b"".join(map(PACK, self._plain([-2 - ord(part[-1])]))), -1
-        if len(self.paths) >= MEMO:
-            self.paths.clear()
-        self.paths[part] = got
-        return got
-
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of a stream of characters, committed as soon as they are certain."""
-        window, base = "", 0  # the characters since the last committed boundary
+        """Ids of a stream of characters, committed as soon as they are certain.
+
+        Until the first commit a boundary's survivor depends on the characters before
+        it only, and words share their beginnings, so these survivors are memoised.
+        """
+        window, n, base = "", 0, 0  # the characters since the last committed boundary
         last: list[int] = [-1]  # for each boundary of the window its last piece
         back: list[int] = [0]
         total: list[float] = [0.0]
-        before = -1  # the piece committed last
-        normal, scores, longest = self.v.normal, self.v.scores, self.longest
+        limit = 2 * self.longest
+        if len(self.steps) >= STARTS:
+            self.steps, self.starts = {}, [(-1, 0, 0.0)]
+        steps, starts = self.steps, self.starts
+        start = 0  # the memoised beginning that the window is so far; -1 once committed
         for c in chars:
             window += c
-            n = len(window)
-            best, at, most = None, 0, 0.0
-            for k in range(max(0, n - longest), n):
-                piece = normal.get(window[k:n])
-                if piece is None:
-                    continue
-                if self.v.merges:
-                    left = last[k] if k else before
-                    if left < 0 or self._compatible(left, piece):
-                        best, at = piece, k
-                        break
-                elif best is None or total[k] + scores[piece] > most:
-                    best, at, most = piece, k, total[k] + scores[piece]
-            if best is None:  # outside the vocabulary: stands alone
-                best, at, most = -2 - ord(c), n - 1, total[n - 1] + self.least
+            n += 1
+            if start < 0:
+                best, at, most = self._survivor(window, last, total)
+            else:
+                key = start << 21 | ord(c)
+                start = steps.get(key, 0)
+                if not start:
+                    start = steps[key] = len(starts)
+                    starts.append(self._survivor(window, last, total))
+                best, at, most = starts[start]
             last.append(best)
             back.append(at)
             total.append(most)
-            if n - base >= 2 * longest:
+            if n - base >= limit:
                 base = n
                 meet = self._meeting(back, n)
                 if meet:
-                    ids = self._path(last, back, meet)
-                    before = last[meet]
-                    yield from self._plain(ids)
-                    window, base = window[meet:], n - meet
-                    last, back, total = [-1, *last[meet + 1 :]], [0, *[b - meet for b in back[meet + 1 :]]], [t - total[meet] for t in total[meet:]]
-        yield from self._plain(self._path(last, back, len(window)))
+                    yield from self._plain(self._path(last, back, meet))
+                    n -= meet
+                    window, base, start = window[meet:], n, -1
+                    last, back, total = last[meet:], [0, *[b - meet for b in back[meet + 1 :]]], [t - total[meet] for t in total[meet:]]
+        yield from self._plain(self._path(last, back, n))
+
+    def _survivor(self, window: str, last: list[int], total: list[float]) -> tuple[int, int, float]:
+        """(last piece, the boundary before it, sum of scores) of the path that survives at
+        the window's end; last, total: the survivors at all boundaries before."""
+        node, i, found = self.endings, len(window), []
+        while i and (step := node.get(window[i - 1])) is not None:
+            i -= 1
+            piece, node = step
+            if piece is not None:
+                found.append((i, piece))
+        if self.v.merges:
+            fits = self.fits.get
+            for i, piece in reversed(found):
+                left = last[i]
+                if left < 0 or (fit := fits(left << 32 | piece)) or (fit is None and self._compatible(left, piece)):
+                    return piece, i, 0.0
+        elif found:  # of equal sums the longer last piece
+            most, i, piece = max((total[i] + self.v.scores[piece], -i, piece) for i, piece in found)
+            return piece, -i, most
+        return -2 - ord(window[-1]), len(window) - 1, total[-1] + self.least  # outside the vocabulary: stands alone
 
     def _meeting(self, back: list[int], n: int) -> int:
         """The last boundary that the paths of all boundaries still open share."""
@@ -238,7 +261,7 @@ class Encoder:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging the text of two pieces gives these two pieces again."""
-        key = left << 20 | right
+        key = left << 32 | right
         got = self.fits.get(key)
         if got is None:
             if len(self.fits) >= MEMO:
@@ -298,16 +321,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
     """This worker's encoder of a broadcast vocabulary; memos live as long as it."""
-    key = hash((len(shared.value.pieces), shared.value.pieces[-50:], shared.value.scores[-50:]))
-    if key not in _ENCODERS:
+    v = shared.value
+    if v.digest not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+        _ENCODERS[v.digest] = Encoder(v)
+    return _ENCODERS[v.digest]
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", *, out: str = "ids", verified: str | None = None) -> DataFrame:
