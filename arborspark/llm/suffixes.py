@@ -17,6 +17,9 @@ shared suffixes, resolves equal ones locally, and sends the rest as front-coded
 runs: the length of the prefix shared with the run's previous suffix, and the
 bytes after it. Runs are merged by loser trees that keep, for each loser, the prefix
 it shares with the winner it lost to, so known prefixes are never compared again.
+A chunk deals its suffixes to at most FAN parts by hash of the anchor. Where there are more than
+FAN chunks, the runs of FAN chunks are merged first and each part is dealt to FAN finer ones,
+and so on (a merge sort of several passes): blocks grow in proportion to the chunks.
 The merged order and its common prefixes give, for each suffix, how far windows
 can reach to the right; the few windows this leaves are looked up in groups of one
 anchor, by content, never as pairs.
@@ -51,6 +54,9 @@ WIDTH = LENGTH + LEFT
 CHUNK = 8 << 20
 STEP = 1 << 19
 NO_ID = (1 << 63) - 1
+#: Parts into which a step deals its suffixes or hashes, and runs that one merge takes: each
+#: step makes at most FAN blocks for each one it reads, whatever the number of chunks.
+FAN = 128
 
 
 def _slide(a: np.ndarray, width: int, f: np.ufunc, ahead: bool) -> np.ndarray:
@@ -73,18 +79,9 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     margin = LENGTH
     for start in range(0, len(data), STEP):
         lo, hi = max(0, start - margin), min(len(data), start + STEP + margin)
-        b = data[lo:hi].astype(np.uint64)
         at = np.arange(lo, hi)
         end = ends[np.searchsorted(ends, at, side="right")]
-        h = (b + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        span = 1
-        while span < GRAM:
-            h[:-span] = (h[:-span] * np.uint64(0xD6E8FEB86659FD93 ** span & (1 << 64) - 1)) ^ (h[span:] + (h[span:] >> np.uint64(31)))
-            span *= 2
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h |= np.uint64(1)
+        h = np.append(gram_hashes(data[lo:hi]), np.zeros(min(GRAM - 1, hi - lo), np.uint64))  # none for the last bytes
         whole = at + LENGTH <= end
         low = np.where(whole, _slide(h, WINDOW, np.minimum, True), np.uint64(0))
         take = (_slide(low, WINDOW, np.maximum, False) == h) & (at + GRAM <= end)
@@ -98,6 +95,20 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Odd hashes of the GRAM-byte strings along the last axis."""
+    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    span = 1
+    while span < GRAM:
+        a, b = h[..., :-span], h[..., span:]
+        h = (a * np.uint64(0xD6E8FEB86659FD93 ** span & (1 << 64) - 1)) ^ (b + (b >> np.uint64(31)))
+        span *= 2
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h | np.uint64(1)
+
+
 class Chunk:
     """Documents of one chunk, in an order that recomputation repeats."""
 
@@ -128,39 +139,100 @@ def unpack_hashes(block: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _seen(buckets: int):
-    """(bucket, chunk, block): the distinct anchor hashes of a chunk, by bucket."""
+def parts_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash, of so many; a part of n is parts p, p + n, ... of a multiple."""
+    return ((h >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+
+
+def _split(h: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The parts that occur, and each one's (sorted) hashes packed."""
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    return found, [pack_hashes(x) for x in np.split(h[order], first[1:])] if len(h) else []
+
+
+def _blocks(part: np.ndarray, node, blocks: list[bytes]) -> pa.Table:
+    nodes = np.broadcast_to(np.asarray(node, np.int64), len(blocks))
+    return pa.table({"part": pa.array(part, pa.int64()), "node": pa.array(nodes, pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+
+BLOCKS = "part long, node long, block binary"
+
+
+def _first(table: pa.Table, name: str) -> int:
+    return table.column(name)[0].as_py() if len(table) else 0
+
+
+def _seen(fan: int):
+    """BLOCKS: the distinct anchor hashes of a chunk (the node), by part."""
 
     def run(table: pa.Table) -> pa.Table:
         h = np.unique(Chunk(table).hashes)
-        chunk = table.column("chunk")[0].as_py() if len(table) else 0
-        bucket = (h >> np.uint64(8)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        found, first = np.unique(bucket[order], return_index=True)
-        blocks = [pack_hashes(x) for x in np.split(h[order], first[1:])] if len(h) else []
-        return pa.table({"bucket": pa.array(found.astype(np.int32)), "chunk": pa.array([chunk] * len(found), pa.int32()), "block": pa.array(blocks, pa.binary())})
+        found, blocks = _split(h, parts_of(h, fan))
+        return _blocks(found, _first(table, "chunk"), blocks)
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(chunk, block): of a bucket's hashes, for each chunk those that others have too."""
-    chunks = table.column("chunk").to_pylist()
-    parts = [unpack_hashes(b) for b in table.column("block").to_pylist()]
-    h = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    del parts
+def _owned(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes of a table of BLOCKS, sorted, the place of each one's block, and the nodes."""
+    held = [unpack_hashes(b) for b in table.column("block").to_pylist()]
+    h = np.concatenate([*held, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
     order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
+    return h[order], owner[order], np.array(table.column("node").to_pylist(), np.int64)
+
+
+def _twice(h: np.ndarray) -> np.ndarray:
     same = h[1:] == h[:-1]
-    twice = np.zeros(len(h), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    h, owner = h[twice], owner[twice]
-    order = np.argsort(owner, kind="stable")  # within an owner still sorted
-    found, first = np.unique(owner[order], return_index=True)
-    blocks = [pack_hashes(x) for x in np.split(h[order], first[1:])] if len(h) else []
-    return pa.table({"chunk": pa.array([chunks[i] for i in found], pa.int32()), "block": pa.array(blocks, pa.binary())})
+    out = np.zeros(len(h), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def _answer(part: int, h: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> pa.Table:
+    found, blocks = _split(h, owner)
+    return _blocks(np.full(len(found), part), nodes[found] if len(found) else 0, blocks)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """BLOCKS: of a part's hashes, for each node those that others have too."""
+    h, owner, nodes = _owned(table)
+    keep = _twice(h)
+    return _answer(_first(table, "part"), h[keep], owner[keep], nodes)
+
+
+def _union(fan: int, parts: int):
+    """BLOCKS of finer parts: the distinct hashes of ``fan`` nodes as one node's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = np.unique(_owned(table)[0])
+        found, blocks = _split(h, parts_of(h, parts * fan))
+        return _blocks(found, _first(table, "node") // fan, blocks)
+
+    return run
+
+
+def _pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """BLOCKS: for each of FAN nodes its hashes that another of them has, or another group."""
+    h, owner, nodes = _owned(table)
+    far = np.sort(_owned(answers)[0])
+    keep = _twice(h)
+    if len(far):
+        keep |= far[np.minimum(np.searchsorted(far, h), len(far) - 1)] == h
+    return _answer(_first(table, "part"), h[keep], owner[keep], nodes)
+
+
+def exchange(rows: DataFrame, nodes: int, fan: int, parts: int) -> DataFrame:
+    """BLOCKS -> BLOCKS: the hashes that more than one node has, back to each of them. With
+    more than ``fan`` nodes, groups of them ask first among themselves, then as one node."""
+    if nodes <= fan:
+        return rows.groupBy("part").applyInArrow(_shared, BLOCKS)
+    rows = rows.withColumn("group", F.floor(F.col("node") / fan))
+    up = rows.groupBy("part", "group").applyInArrow(_union(fan, parts), BLOCKS)
+    down = exchange(up, blocks_for(nodes, fan), fan, parts * fan).withColumns({"part": F.pmod("part", F.lit(parts)), "group": F.col("node")})
+    return rows.groupBy("part", "group").cogroup(down.groupBy("part", "group")).applyInArrow(_pass_on, BLOCKS)
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,28 +259,28 @@ def front_code(m: np.ndarray) -> tuple[np.ndarray, bytes]:
     return lcp, m[np.arange(m.shape[1]) >= lcp[:, None]].tobytes()
 
 
-def pack(m: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray, counts: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
-    """A run as one compressed block. counts: occurrences (docs, places) of each row."""
+def pack(m: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray, counts: np.ndarray, chunks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> bytes:
+    """A run as one compressed block. counts: occurrences (chunks, docs, places) of each row."""
     lcp, tails = front_code(m)
     n = np.array([len(m), len(docs)], np.int64)
-    parts = [n, lcp, right, left, ids.astype(np.int64), counts.astype(np.int32), docs.astype(np.int32), places.astype(np.int32)]
+    parts = [n, lcp, right, left, ids.astype(np.int64), *(x.astype(np.int32) for x in (counts, chunks, docs, places))]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([p.tobytes() for p in parts] + [tails]))
 
 
 class Run:
     """A front-coded run, decoded as it is read."""
 
-    def __init__(self, block: bytes, chunk: int) -> None:
+    def __init__(self, block: bytes) -> None:
         raw = zstandard.ZstdDecompressor().decompress(block)
         n, k = np.frombuffer(raw, np.int64, 2).tolist()
         at = 16
         fields = []
-        for kind, size in (("u1", n), ("u1", n), ("u1", n), ("<i8", n), ("<i4", n), ("<i4", k), ("<i4", k)):
+        for kind, size in (("u1", n), ("u1", n), ("u1", n), ("<i8", n), ("<i4", n), ("<i4", k), ("<i4", k), ("<i4", k)):
             fields.append(np.frombuffer(raw, kind, size, at))
             at += fields[-1].nbytes
         self.lcp, self.right, self.left, self.ids = (f.tolist() for f in fields[:4])
         self.first = np.concatenate([[0], np.cumsum(fields[4])]).tolist()
-        self.docs, self.places, self.chunk = fields[5], fields[6], chunk
+        self.chunks, self.docs, self.places = fields[5:]
         self.tails, self.cut, self.n, self.i = raw, at, n, -1
         self.key = b""
 
@@ -341,14 +413,14 @@ def _spans(chunk: np.ndarray, row: np.ndarray, at: np.ndarray, upto: np.ndarray)
     return pa.table({n: pa.array(np.asarray(v), pa.int32()) for n, v in zip(("chunk", "row", "at", "upto"), (chunk, row, at, upto), strict=True)})
 
 
-def _send(buckets: int):
-    """(bucket, chunk, block) of a chunk's shared suffixes, and as bucket -1 the spans
-    that the chunk resolves by itself."""
+def _send(fan: int):
+    """BLOCKS of a chunk's shared suffixes, and as part -1 the spans that the chunk
+    resolves by itself."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         c = Chunk(docs)
         out: list[tuple[int, bytes]] = []
-        chunk = docs.column("chunk")[0].as_py() if len(docs) else 0
+        chunk = _first(docs, "chunk")
         order = np.argsort(c.hashes, kind="stable")
         h = c.hashes[order]
         doc = c.documents(c.places[order])
@@ -366,10 +438,10 @@ def _send(buckets: int):
             wanted |= np.repeat(several, size)
         place, h, doc = c.places[order][wanted], h[wanted], doc[wanted]
         m, right, left = contexts(c.data, c.starts[doc], c.ends[doc], place)
-        bucket = (h >> np.uint64(8)) % np.uint64(buckets)
+        bucket = parts_of(h, fan)
         by = np.argsort(np.ascontiguousarray(m).view(f"S{WIDTH}").ravel(), kind="stable")
         by = by[np.argsort(bucket[by], kind="stable")]
-        place, doc, bucket, m, right, left = place[by], doc[by], bucket[by].astype(np.int64), m[by], right[by], left[by]
+        place, doc, bucket, m, right, left = place[by], doc[by], bucket[by], m[by], right[by], left[by]
         local: list[np.ndarray] = []
         if len(by):
             new = np.concatenate([[True], (m[1:] != m[:-1]).any(1) | (right[1:] != right[:-1]) | (left[1:] != left[:-1]) | (bucket[1:] != bucket[:-1])])
@@ -387,46 +459,93 @@ def _send(buckets: int):
             for lo, hi in zip(edges, np.append(edges[1:], len(first)), strict=True):
                 rows = first[lo:hi]
                 a, b = upto[lo], upto[hi]
-                out.append((int(bucket[rows[0]]), pack(m[rows], right[rows], left[rows], least[lo:hi], counts[lo:hi], kept_docs[a:b], kept_places[a:b])))
+                out.append((int(bucket[rows[0]]), pack(m[rows], right[rows], left[rows], least[lo:hi], counts[lo:hi], np.full(b - a, chunk), kept_docs[a:b], kept_places[a:b])))
         if local and local[0].shape[1]:
-            out.append((-1, local[0].astype(np.int32).tobytes()))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int32()), "block": pa.array([b for _, b in out], pa.binary())})
+            out.append((-1, np.vstack([np.full(local[0].shape[1], chunk), local[0]]).astype(np.int32).tobytes()))
+        return _blocks(np.array([b for b, _ in out], np.int64), chunk, [b for _, b in out])
+
+    return run
+
+
+def _remerge(fan: int, parts: int):
+    """BLOCKS of finer parts: the runs of ``fan`` nodes merged into one run for each; of equal
+    contexts the earliest document goes on, and the others are resolved (part -1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if _first(table, "part") < 0:
+            return table.select(["part", "node", "block"])
+        node = _first(table, "node") // fan
+        rows: list[tuple[bytes, int, int, int, Run, int]] = []  # context, right, left, id, and an occurrence
+        members: list[list[tuple[Run, int]]] = []
+        for shared, key, r, i in merge([Run(b) for b in table.column("block").to_pylist()]):
+            what = (key, r.right[i], r.left[i])
+            if shared == WIDTH and rows and rows[-1][1:3] == what[1:]:
+                rows[-1] = (*what, min(rows[-1][3], r.ids[i]))
+                members[-1].append((r, i))
+            else:
+                rows.append((*what, r.ids[i]))
+                members.append([(r, i)])
+        spans: list[np.ndarray] = []
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        counts = np.zeros(len(rows), np.int64)
+        for j, ((_, right, left, least), own) in enumerate(zip(rows, members, strict=True)):
+            for r, i in own:
+                a, b = r.first[i], r.first[i + 1]
+                if r.ids[i] == least:
+                    kept.append((r.chunks[a:b], r.docs[a:b], r.places[a:b]))
+                    counts[j] += b - a
+                elif right + left >= LENGTH:
+                    spans.append(np.stack([r.chunks[a:b], r.docs[a:b], r.places[a:b] - left, r.places[a:b] + right]))
+        if not rows:
+            return _blocks(np.zeros(0), node, [])
+        m = np.frombuffer(b"".join(x[0] for x in rows), np.uint8).reshape(-1, WIDTH)
+        right, left, ids = (np.array([x[k] for x in rows]) for k in (1, 2, 3))
+        part = parts_of(gram_hashes(m[:, :GRAM])[:, 0], parts * fan)
+        flat = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        found, blocks = np.unique(part), []
+        for p in found.tolist():
+            at = np.flatnonzero(part == p)
+            of = np.concatenate([np.arange(upto[k], upto[k + 1]) for k in at])
+            blocks.append(pack(m[at], right[at].astype(np.uint8), left[at].astype(np.uint8), ids[at], counts[at], *(x[of] for x in flat)))
+        if spans:
+            found, blocks = np.append(found, -1), [*blocks, np.hstack(spans).astype(np.int32).tobytes()]
+        return _blocks(found, node, blocks)
 
     return run
 
 
-def _merge_bucket(table: pa.Table) -> pa.Table:
-    """Spans that one bucket's merged suffixes remove."""
-    chunks, blocks = table.column("chunk").to_pylist(), table.column("block").to_pylist()
-    out: list[list[np.ndarray]] = [[], [], [], []]
-
-    def add(chunk, row, at, upto) -> None:
-        for x, v in zip(out, (chunk, row, at, upto), strict=True):
-            x.append(v)
-
-    if len(table) and table.column("bucket")[0].as_py() < 0:
-        for chunk, block in zip(chunks, blocks, strict=True):
-            row, at, upto = np.frombuffer(block, np.int32).reshape(3, -1)
-            add(np.full(len(row), chunk, np.int32), row, at, upto)
-    else:
-        found: list[tuple[int, int, int, int]] = []
-        group: list[tuple[int, bytes, Run, int]] = []
-
-        def close() -> None:
-            if len(group) > 1:
-                for run, i, left, right in covered(group):
-                    a, b = run.first[i], run.first[i + 1]
-                    found.extend((run.chunk, d, p - left, p + right) for d, p in zip(run.docs[a:b].tolist(), run.places[a:b].tolist(), strict=True))
-            group.clear()
-
-        for item in merge([Run(b, c) for b, c in zip(blocks, chunks, strict=True)]):
-            if item[0] < GRAM:
-                close()
-            group.append(item)
-        close()
-        if found:
-            add(*np.array(found, np.int64).T)
-    return _spans(*[np.concatenate(x) if x else np.zeros(0, np.int32) for x in out])
+def spans_of(rows: DataFrame, nodes: int, fan: int, parts: int) -> DataFrame:
+    """SPANS of BLOCKS of runs, in as many merge passes as it takes for a part to hold
+    ``fan`` runs at most. Resolved spans (part -1) go along, a node's together."""
+    group = lambda of: F.when(F.col("part") < 0, F.col("node")).otherwise(of).alias("group")
+    while nodes > fan:
+        rows = rows.groupBy("part", group(F.floor(F.col("node") / fan))).applyInArrow(_remerge(fan, parts), BLOCKS)
+        nodes, parts = blocks_for(nodes, fan), parts * fan
+    return rows.groupBy("part", group(F.lit(0))).applyInArrow(_merge_part, SPANS)
+
+
+def _merge_part(table: pa.Table) -> pa.Table:
+    """Spans that one part's merged suffixes remove."""
+    blocks = table.column("block").to_pylist()
+    if blocks and _first(table, "part") < 0:
+        return _spans(*np.hstack([np.frombuffer(b, np.int32).reshape(4, -1) for b in blocks]))
+    found: list[tuple[int, int, int, int]] = []
+    group: list[tuple[int, bytes, Run, int]] = []
+
+    def close() -> None:
+        if len(group) > 1:
+            for run, i, left, right in covered(group):
+                a, b = run.first[i], run.first[i + 1]
+                found.extend((c, d, p - left, p + right) for c, d, p in zip(run.chunks[a:b].tolist(), run.docs[a:b].tolist(), run.places[a:b].tolist(), strict=True))
+        group.clear()
+
+    for item in merge([Run(b) for b in blocks]):
+        if item[0] < GRAM:
+            close()
+        group.append(item)
+    close()
+    return _spans(*(np.array(found, np.int64).reshape(-1, 4).T))
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<at:int,upto:int>>, kept binary"
@@ -456,15 +575,18 @@ def _apply(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[j] for r in rows], kind) for j, (n, kind) in enumerate(zip(("doc_id", "n_bytes", "spans", "kept"), kinds, strict=True))})
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, chunk_bytes: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, chunk_bytes: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<at, upto>>, kept binary): one row a document;
     spans are the maximal removed runs in bytes, kept what remains."""
     total = docs.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
     chunks = blocks_for(total, chunk_bytes)
     d = docs.select(F.pmod(F.xxhash64(col(doc_id), F.when(col(doc_id).isNull(), F.xxhash64(col(text)))), F.lit(chunks)).cast("int").alias("chunk"), col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     by_chunk = d.groupBy("chunk")
-    seen = by_chunk.applyInArrow(_seen(chunks), "bucket int, chunk int, block binary")
-    shared = seen.groupBy("bucket").applyInArrow(_shared, "chunk int, block binary")
-    sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_send(chunks), "bucket int, chunk int, block binary")
-    spans = sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(0).alias("part")).applyInArrow(_merge_bucket, SPANS)
+    spans = spans_of(_sent(by_chunk, chunks, fan), chunks, fan, fan)
     return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(_apply, KEPT)
+
+
+def _sent(by_chunk, chunks: int, fan: int) -> DataFrame:
+    """BLOCKS of the chunks' runs and resolved spans."""
+    shared = exchange(by_chunk.applyInArrow(_seen(fan), BLOCKS), chunks, fan, fan).withColumn("chunk", F.col("node").cast("int"))
+    return by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_send(fan), BLOCKS)

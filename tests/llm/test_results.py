@@ -224,19 +224,29 @@ def test_op3(spark, texts):
     assert got == removed(list(texts.items()))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_op3_on_repetitive_texts(spark, seed):
+@pytest.mark.parametrize("seed, fan", [(0, 128), (1, 128), (2, 2), (3, 3)])
+def test_op3_on_repetitive_texts(spark, seed, fan):
     rng = random.Random(seed)
     blocks = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 90))) for _ in range(6)] + ["a" * 70, "ab" * 40]
     rows = [(i, "".join(rng.choice(blocks) for _ in range(rng.randint(0, 6))) + rng.choice(["", "é", "b"])) for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {}
-    for r in suffixes.remove_repeats(d, chunk_bytes=1500).collect():
+    for r in suffixes.remove_repeats(d, chunk_bytes=1500 if fan > 3 else 300, fan=fan).collect():
         kept = bytes(r["kept"])
         got[r["doc_id"]] = (r["n_bytes"], r["n_bytes"] - len(kept), len(r["spans"]), hashlib.sha256(kept).hexdigest())
     assert got == removed(rows)
 
 
+def test_op3_blocks_grow_with_the_chunks(spark, documents):
+    docs = documents.select("doc_id", "text").orderBy("doc_id").limit(64)
+    more = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select((F.col("doc_id") + 10_000 * F.col("k")).alias("doc_id"), "text")
+    n = {}
+    for chunks in (4, 16, 64):
+        d = more.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+        n[chunks] = suffixes._sent(d.groupBy("chunk"), chunks, 8).where("part >= 0").count()
+    assert n[16] <= 8 * 16 and n[64] <= 8 * 64 and n[64] <= 4.5 * n[16] <= 20 * n[4]
+
+
 def test_runs_merge_like_a_sort():
     rng = np.random.default_rng(0)
     runs, everything = [], []
@@ -245,7 +255,7 @@ def test_runs_merge_like_a_sort():
         m[:, 5:] = m[:, :1]
         m = m[np.lexsort(m.T[::-1])]
         z = np.zeros(len(m), np.uint8)
-        runs.append(suffixes.Run(suffixes.pack(m, z, z, z.astype(np.int64), np.ones(len(m), np.int32), z, z), c))
+        runs.append(suffixes.Run(suffixes.pack(m, z, z, z.astype(np.int64), np.ones(len(m), np.int32), z + c, z, z)))
         everything += [bytes(r) for r in m]
     merged = list(suffixes.merge(runs))
     keys = [k for _, k, _, _ in merged]
