@@ -7,9 +7,10 @@ are ordered by their frequency in the whole corpus, rarest first, and a template
 m tokens that needs c of them can only be met by a block that holds one of its first
 m - c + 1 tokens (prefix filter), has at least c vocabulary tokens (length filter)
 and still has c of them from its first common token on, in both orders (positional
-filter). Survivors are verified by set intersection. The token index of the
-templates is bounded by the ``templates`` parameter and travels as literals, so
-blocks stay where they are read: no shuffle but that of the token counts.
+filter). Survivors are verified by set intersection. The join goes through an index
+from tokens to the templates that have them in their prefix, so a block meets only
+templates it shares such a token with. This index is bounded by the ``templates`` parameter and
+travels as literals, so blocks stay where they are read: no shuffle but that of the token counts.
 
 Only DataFrame functions. Words are runs of letters, digits and non-ASCII
 characters after lower-casing A-Z; phrases are found word by word.
@@ -48,6 +49,18 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc0", "released under cc0 1 0 universal public domain dedication"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsl", "distributed under the boost software license version 1 0"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("artistic", "you may distribute this package under the terms of the artistic license 2 0"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1"),
 )
 THRESHOLD = 0.9
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -89,15 +102,40 @@ def _any_of(tokens: list[str]) -> str:
     return rf"(?i)(?<!{WORD})(?:{'|'.join(map(re.escape, tokens))})(?!{WORD})"
 
 
-def _containment(ranks: Column, own: list[int], need: int) -> Column:
-    """Share of the template in the block, null below what is needed. ranks: the
-    block's distinct vocabulary tokens as ranks, ascending; own: the template's."""
-    m = len(own)
-    template, prefix = F.array(*map(F.lit, own)), F.array(*map(F.lit, own[: m - need + 1]))
-    first = F.element_at(F.array_intersect(prefix, ranks), 1)  # rarest common token
-    room = F.least(F.size(ranks) - F.array_position(ranks, first), F.lit(m) - F.array_position(template, first)) + 1
-    share = F.size(F.array_intersect(template, ranks))
-    return F.when((F.size(ranks) >= need) & F.arrays_overlap(ranks, prefix), F.when(room >= need, F.when(share >= need, share / F.lit(m))))
+def _let(x: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+class Index:
+    """The templates as literals, and for each token's rank the templates (their numbers)
+    that have it in their prefix."""
+
+    def __init__(self, indexed: list[tuple[str, list[int], int]], lengths: list[int]) -> None:
+        prefix: dict[int, list[int]] = {}
+        for k, (_, own, need) in enumerate(indexed):
+            for r in own[: len(own) - need + 1]:
+                prefix.setdefault(r, []).append(k)
+        top = max(prefix, default=-1) + 1
+        numbers = lambda x: F.array(*map(F.lit, x)).cast("array<int>")
+        self.by_rank = F.array(*[numbers(prefix.get(r, [])) for r in range(top)]).cast("array<array<int>>")
+        self.top = top
+        self.templates = F.array(*[F.struct(F.lit(label).alias("label"), numbers(own).alias("own"), F.lit(need).alias("need"), F.lit(n).alias("length")) for (label, own, need), n in zip(indexed, lengths, strict=True)])
+
+    def candidates(self, ranks: Column) -> Column:
+        """The templates that share a prefix token with a block's ranks."""
+        of = F.transform(F.filter(ranks, lambda r: r < self.top), lambda r: F.element_at(self.by_rank, r + 1))
+        return F.transform(F.array_sort(F.array_distinct(F.flatten(of))), lambda k: F.element_at(self.templates, k + 1))
+
+
+def _containment(ranks: Column, t: Column) -> Column:
+    """Share of a candidate template in the block, null below what is needed. ranks: the
+    block's distinct vocabulary tokens as ranks, ascending, as are the template's own."""
+    m = F.size(t["own"])
+    first = F.element_at(F.array_intersect(t["own"], ranks), 1)  # rarest common token
+    room = F.least(F.size(ranks) - F.array_position(ranks, first), m - F.array_position(t["own"], first)) + 1
+    share = F.when(room >= t["need"], F.size(F.array_intersect(t["own"], ranks)))
+    return F.when(F.size(ranks) >= t["need"], _let(share, lambda x: F.when(x >= t["need"], x / m)))
 
 
 def scan(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,12 +163,12 @@ def scan(docs: DataFrame, text: str = "text", *, templates=TEMPLATES, phrases: d
     out = docs.select("*", F.regexp_count(whole, F.lit(WORD + "+")).cast("long").alias(n), F.when(said, words(lowered(whole))).alias(word), F.when(near, F.split(lowered(whole), "\n", -1)).alias(lines))
     held = F.transform(F.filter(F.transform(col(lines), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda s: s["line"].rlike(_any_of(rare))), lambda s: F.struct(s["block"].alias("block"), block_ranks(s["line"]).alias("ranks")))
     out = out.withColumns({lines: held, token: _tokens(col(lines), vocabulary, ranked)})
-    out = out.withColumn(met, F.flatten(F.transform(col(lines), _met(indexed))))
-    wrapped = [_wrapped(col(token), col(met), label, own, need, length) for (label, own, need), length in zip(indexed, lengths(templates), strict=True)]
+    index = Index(indexed, lengths(templates))
+    out = out.withColumn(met, F.flatten(F.transform(col(lines), _met(index))))
     hits = [_places(col(word), p.split(), label) for p, label in phrases.items()]
     empty_p = F.array().cast("array<struct<label:string,word:int>>")
     empty_b = F.array().cast("array<struct<label:string,block:int,containment:double>>")
-    every = F.concat(col(met), *wrapped)
+    every = F.concat(col(met), _wrapped(col(token), col(met), index))
     by_word = lambda a, b: F.when(a["word"] != b["word"], a["word"] - b["word"]).when(a["label"] < b["label"], -1).otherwise(1)
     return out.select(*[col(c) for c in docs.columns], col(n), F.when(F.size(word) > 0, F.array_sort(F.concat(*hits), by_word)).otherwise(empty_p).alias(place), F.coalesce(every, empty_b).alias(block))
 
@@ -150,10 +188,10 @@ def _places(w: Column, phrase: list[str], label: str) -> Column:
     return F.transform(at, lambda i: F.struct(F.lit(label).alias("label"), i.alias("word")))
 
 
-def _met(indexed: list[tuple[str, list[int], int]]):
+def _met(index: Index):
     def of(b: Column) -> Column:
-        all_ = F.array(*[F.struct(F.lit(label).alias("label"), b["block"].alias("block"), _containment(b["ranks"], own, need).alias("containment")) for label, own, need in indexed])
-        return F.filter(all_, lambda s: s["containment"].isNotNull())
+        one = lambda t: F.struct(t["label"].alias("label"), b["block"].alias("block"), _containment(b["ranks"], t).alias("containment"))
+        return F.filter(F.transform(index.candidates(b["ranks"]), one), lambda s: s["containment"].isNotNull())
 
     return of
 
@@ -165,25 +203,31 @@ def _tokens(lines: Column, vocabulary: list[str], ranked: Column) -> Column:
     return F.transform(known, lambda s: F.struct(s["line"].alias("line"), s["at"].alias("at"), F.element_at(ranked, s["word"]).alias("rank")))
 
 
-def _wrapped(tokens: Column, met: Column, label: str, own: list[int], need: int, length: int) -> Column:
-    """Matches of one template in windows of ``length`` words that span lines, the best of
-    each first line. Windows hold a token of the prefix, and start and end on own tokens."""
-    m = len(own)
-    empty = F.array().cast("array<struct<label:string,block:int,containment:double>>")
+def _wrapped(tokens: Column, met: Column, index: Index) -> Column:
+    """Matches in windows of a template's length in words that span lines, the best of each
+    first line. Windows hold a token of the prefix, and start and end on own tokens."""
+
+    def windows(t: Column, own: Column) -> Column:
+        length, need = t["length"], t["need"]
+        rare = F.filter(own, lambda x: F.array_position(t["own"], x["rank"]) <= F.size(t["own"]) - need + 1)
+        near = _let(rare, lambda r: F.filter(own, lambda x: F.exists(r, lambda y: F.abs(y["at"] - x["at"]) < length)))
+
+        def sized(n: Column) -> Column:
+            whole = F.transform(n, lambda s: F.filter(n, lambda u: u["at"].between(s["at"], s["at"] + length - 1)))
+            return F.transform(whole, lambda w: F.struct(w[0]["line"].alias("block"), F.array_max(w["line"]).alias("last"), F.size(F.array_distinct(w["rank"])).alias("share")))
+
+        def best(f: Column) -> Column:
+            most = lambda k: F.array_max(F.transform(F.filter(f, lambda w: w["block"] == k), lambda w: w["share"]))
+            return F.transform(F.array_distinct(f["block"]), lambda k: F.struct(t["label"].alias("label"), k.alias("block"), (most(k) / F.size(t["own"])).alias("containment")))
 
-    def near(t: Column) -> Column:
-        return F.transform(F.array(F.filter(t, lambda x: x["rank"].isin(own[: m - need + 1]))), lambda rare: F.filter(t, lambda x: x["rank"].isin(own) & F.exists(rare, lambda r: F.abs(r["at"] - x["at"]) < length)))[0]
+        lone = lambda w: ~F.exists(met, lambda b: (b["label"] == t["label"]) & b["block"].between(w["block"], w["last"]))
+        return _let(F.filter(_let(near, sized), lambda w: (w["share"] >= need) & (w["last"] > w["block"]) & lone(w)), best)
 
-    def windows(t: Column) -> Column:
-        whole = F.transform(t, lambda s: F.filter(t, lambda u: u["at"].between(s["at"], s["at"] + (length - 1))))
-        sized = F.transform(whole, lambda w: F.struct(w[0]["line"].alias("block"), F.array_max(w["line"]).alias("last"), F.size(F.array_distinct(w["rank"])).alias("share")))
-        fits = F.filter(sized, lambda w: (w["share"] >= need) & (w["last"] > w["block"]) & ~F.exists(met, lambda b: (b["label"] == label) & b["block"].between(w["block"], w["last"])))
-        best = lambda f, k: F.array_max(F.transform(F.filter(f, lambda w: w["block"] == k), lambda w: w["share"]))
-        return F.transform(F.array(fits), lambda f: F.transform(F.array_distinct(f["block"]), lambda k: F.struct(F.lit(label).alias("label"), k.alias("block"), (best(f, k) / F.lit(m)).alias("containment"))))[0]
+    def of(ranks: Column) -> Column:
+        may = F.filter(index.candidates(ranks), lambda t: F.size(F.array_intersect(t["own"], ranks)) >= t["need"])
+        return F.flatten(F.transform(may, lambda t: windows(t, F.filter(tokens, lambda x: F.array_contains(t["own"], x["rank"])))))
 
-    ranks = F.array_distinct(tokens["rank"])
-    may = F.size(F.array_intersect(F.array(*map(F.lit, own)), ranks)) >= need
-    return F.when(may, F.transform(F.array(near(tokens)), windows)[0]).otherwise(empty)
+    return F.when(tokens.isNotNull(), _let(F.array_sort(F.array_distinct(tokens["rank"])), of))
 
 
 __all__ = ["PHRASES", "TEMPLATES", "THRESHOLD", "scan", "sets"]
