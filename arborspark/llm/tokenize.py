@@ -46,7 +46,7 @@ from .common import fresh
 
 MARK = "▁"
 #: Units and beginnings of units that a worker remembers.
-MEMO, STARTS = 800_000, 500_000
+MEMO, STARTS = 250_000, 150_000
 
 
 @dataclass(frozen=True)
