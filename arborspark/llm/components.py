@@ -4,7 +4,12 @@ Each round sends every link's ends to the smallest neighbour (large star: the
 larger neighbours; small star: the others), until nothing changes; the number of
 rounds grows with the logarithm of the longest path. Every step is an aggregate
 and a join on the node, so a hub's neighbours may be split over tasks; each round is
-cut from its lineage by a reliable checkpoint.
+cut from its lineage by a reliable checkpoint, in partitions of about ``ROWS`` links.
+
+Cases: nodes without a link are their own component; a null rep is the component's only
+if all are null; repeated links, links of a node with itself and links in both
+directions do no harm; empty tables give an empty result; keys of links that
+aren't nodes are ignored; further columns of nodes aren't returned.
 """
 
 from __future__ import annotations
@@ -12,15 +17,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import blocks_for, cut
+
+
+ROWS, LEAST = 50_000, 8
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
     if not large:
         both = both.where(F.col("y") < F.col("x"))
     least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")) if large else both.groupBy("x").agg(F.min("y").alias("m"))
-    least = cut(least)  # so the join is one of two tables, whose hubs can be split
+    least = cut(least.coalesce(parts))  # so the join is one of two tables, whose hubs can be split
     joined = both.join(least, "x")
     if large:
         moved = joined.where(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
@@ -33,9 +41,9 @@ def components(nodes: DataFrame, found: DataFrame, key: str = "fingerprint", rep
     """nodes (key, rep) and links (a, b) between keys -> (key, root, component_id):
     the component's smallest key and smallest rep."""
     edges = cut(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    before = None
+    before, parts = None, max(LEAST, blocks_for(edges.count(), ROWS))
     for _ in range(most):
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(edges, True, parts), False, parts).coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -44,6 +52,6 @@ def components(nodes: DataFrame, found: DataFrame, key: str = "fingerprint", rep
         raise RuntimeError("components did not converge")
     # every node now hangs directly under its root
     rooted = nodes.join(edges.select(F.col("u").alias(key), F.col("v").alias("root")), key, "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", key))
-    least = rooted.groupBy("root").agg(F.min(rep).alias("component_id"))
+    rooted = cut(rooted.select(key, rep, F.coalesce("root", key).alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min(rep).alias("component_id")))  # apart, so that the join can split large components
     return rooted.join(least, "root").select(key, "root", "component_id")
