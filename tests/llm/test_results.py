@@ -78,6 +78,24 @@ def test_links_lose_nothing_when_shards_are_cut(spark, monkeypatch):
     assert {bytes(k): v for k, v in got.items()} == {v.to_bytes(8, "big"): r for v, r in zip(values, root, strict=True)}
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components_of_chains_hubs_and_loops(spark, monkeypatch, few):
+    from arborspark.llm import components as c
+
+    monkeypatch.setattr(c, "FEW", few)
+    rng = random.Random(few)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(50, i) for i in range(51, 90)] + [(95, 95), (97, 96), (96, 97), (97, 96)] + [(200, 3)]
+    rng.shuffle(pairs)
+    key = lambda i: f"{i:04d}".encode()
+    nodes = spark.createDataFrame([(key(i), None if i in (96, 97) else 1000 - i) for i in range(100)], "fingerprint binary, rep long")
+    links = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")
+    got = {int(r["fingerprint"]): (int(r["root"]), r["component_id"]) for r in components(nodes, links).collect()}
+    groups = [range(0, 41), range(50, 90), (96, 97)]
+    want = {i: (i, 1000 - i) for i in range(100)} | {i: (g[0], None if g == (96, 97) else 1000 - g[-1]) for g in groups for i in g}
+    assert got == want
+    assert components(nodes.limit(0), links.limit(0)).count() == 0
+
+
 def test_tree_search_is_exact():
     rng = random.Random(1)
     values = list(dict.fromkeys(rng.getrandbits(16) for _ in range(300)))
