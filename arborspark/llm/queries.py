@@ -77,7 +77,7 @@ from k
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and whether they decode to its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = tokenize.encode(docs, MODEL, verified="round_trip")
+    out = tokenize.encode(docs, MODEL, verified="round_trip", memo=800_000)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 

@@ -45,8 +45,8 @@ from pyspark.sql import types as T
 from .common import fresh
 
 MARK = "▁"
-#: Units and beginnings of units that a worker remembers.
-MEMO, STARTS = 250_000, 150_000
+#: Units that a worker remembers (about 400 bytes each, with beginnings of units and pairs of pieces).
+MEMO = 250_000
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,7 @@ class Encoder:
     """Streaming encoder and decoder; one a Python worker."""
 
     v: Vocabulary
+    most: int = MEMO
     memo: dict[str, bytes] = field(default_factory=dict)
     fits: dict[int, bool] = field(default_factory=dict)
     #: beginnings of units as a tree: (number, next character) -> number; and their survivors
@@ -168,7 +169,7 @@ class Encoder:
             else:
                 ids = list(self.stream(unit))
                 got = struct.pack(f"<{len(ids)}i", *ids)
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.most:
                 self.memo.clear()
             self.memo[unit] = got
         return got
@@ -184,7 +185,7 @@ class Encoder:
         back: list[int] = [0]
         total: list[float] = [0.0]
         limit = 2 * self.longest
-        if len(self.steps) >= STARTS:
+        if len(self.steps) >= self.most * 5 // 8:
             self.steps, self.starts = {}, [(-1, 0, 0.0)]
         steps, starts = self.steps, self.starts
         start = 0  # the memoised beginning that the window is so far; -1 once committed
@@ -264,7 +265,7 @@ class Encoder:
         key = left << 32 | right
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) >= MEMO:
+            if len(self.fits) >= self.most:
                 self.fits.clear()
             got = self.fits[key] = self.merge(self.v.pieces[left] + self.v.pieces[right]) == [self.v.pieces[left], self.v.pieces[right]]
         return got
@@ -321,21 +322,22 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, memo: int = MEMO) -> Encoder:
     """This worker's encoder of a broadcast vocabulary; memos live as long as it."""
     v = shared.value
-    if v.digest not in _ENCODERS:
+    if (v.digest, memo) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[v.digest] = Encoder(v)
-    return _ENCODERS[v.digest]
+        _ENCODERS[v.digest, memo] = Encoder(v, memo)
+    return _ENCODERS[v.digest, memo]
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", *, out: str = "ids", verified: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", *, out: str = "ids", verified: str | None = None, memo: int = MEMO) -> DataFrame:
     """docs plus ``ids`` array<int>, and if a name is given for it a boolean column
-    ``verified``: whether the ids decode to the text (null: no ids, true)."""
+    ``verified``: whether the ids decode to the text (null: no ids, true). memo: units that
+    a worker remembers; it changes time and memory only."""
     v = Vocabulary.load(model_path)
     shared, plain = (docs.sparkSession.sparkContext.broadcast(x) for x in (v, Decoder.of(v)))
     names = fresh(docs, out, *([verified] if verified else []))
@@ -343,7 +345,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", *, out: str = "
     text_at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = _encoder(shared, memo)
         for b in _slices(batches):
             texts = b.column(text_at).to_pylist()
             got = [None if t is None else e.encode(t) for t in texts]
