@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, mixing, pii, quality, simhash, suffixes, tokenize, topk
+from arborspark.storage import shared_folder
+
+from . import kmeans, langid, licenses, lines, mixing, pii, quality, simhash, suffixes, tokencounts, tokenize, topk
 from .common import table
 
 
 #: The tokenizer that production queries use.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The tokenizer whose tokens op12 counts.
+COUNTED = "byte_bpe_50k.json"
 
 
 def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +243,44 @@ from d left join a using (r)
 """
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of every vector after three Lloyd rounds of 16 centroids."""
+    out = kmeans.lloyd(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    square = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"a{r} as (select r, vec_id, v, min(struct_pack(d := d, j := j)) as best from (select v.r, v.vec_id, v.v, c.j, {square} as d from v cross join c{r} c) x group by r, vec_id, v)")
+        if r < rounds:
+            whole = "(s - ((s % n) + n) % n) // n"  # // cuts towards zero
+            parts.append(f"m{r} as (select j, list({whole} order by i)::bigint[] as v from (select best.j as j, i, sum(v[i])::hugeint as s, count(*) as n from a{r}, range(1, 65) t(i) group by 1, 2) x group by j)")
+            parts.append(f"c{r + 1} as (select j, coalesce(m{r}.v, c{r}.v) as v from c{r} left join m{r} using (j))")
+    return f"""
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (select j, v from (select row_number() over (order by sha256('1:' || vec_id::varchar) nulls last, v) - 1 as j, v from v) x where j < 16),
+{", ".join(parts)}
+select vec_id, best.j::int as cluster, best.d::bigint as distance, sum(best.d) over (partition by best.j)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on best.j = c{rounds}.j
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that starts empty."""
+    import public_tokenizers
+
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    out = tokencounts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED), cache, keep=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op3_suffix_dedup, op4_mix_sources, op5_sentencepiece, op6_exact_top_k, op7_language_id, op8_line_dedup, op9_license_scan, op10_personal_data)
+    f.__name__: f for f in (op1_simhash_components, op2_quality_rules, op3_suffix_dedup, op4_mix_sources, op5_sentencepiece, op6_exact_top_k, op7_language_id, op8_line_dedup, op9_license_scan, op10_personal_data, op11_centroid_clusters, op12_token_counts)
 }
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql(), "op10_personal_data": _op10_sql()}
+SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql(), "op10_personal_data": _op10_sql(), "op11_centroid_clusters": _op11_sql()}
