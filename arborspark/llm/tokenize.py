@@ -5,7 +5,8 @@ piece of the best segmentation that ends there, with its back-pointer. Pieces ha
 bounded length, so only the boundaries of the last ``longest`` characters can
 still be continued; whenever the back-pointers of all of them meet in one
 boundary, the ids before it are committed and the window is dropped. Memory is
-bounded by the window, not by the text.
+bounded by the window, not by the text; while the paths don't meet the window grows
+(a run in which every boundary stays open, which usual vocabularies don't have).
 
 Which path survives depends on the model's kind. For unigram models it is the one
 with the greatest sum of scores. A byte-pair model has no such sum (its scores are
@@ -22,8 +23,8 @@ the usual vocabularies has a letter before a word mark, so words are memoised
 (a bounded memo); where a vocabulary has such pieces whole texts are searched.
 
 Cases: null encodes to null, an empty text to no ids; a text that holds the word
-mark U+2581 decodes to a space there; very long texts and words go through
-the same bounded window; repeated rows encode alike; an empty table stays empty;
+mark U+2581 decodes to a space there; very long texts and runs without a space
+(digits, ideographs, marks) go through the same window; repeated rows encode alike; an empty table stays empty;
 extra columns stay.
 """
 
@@ -47,6 +48,8 @@ from .common import fresh
 MARK = "▁"
 #: Units that a worker remembers (about 400 bytes each, with beginnings of units and pairs of pieces).
 MEMO = 250_000
+#: Characters of the longest unit that is remembered.
+KEPT = 128
 
 
 @dataclass(frozen=True)
@@ -159,20 +162,29 @@ class Encoder:
         return b"".join([known(u) or self._unit(u) for u in self.units.findall(marked)])
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of a unit, from the streaming search; memoised. A unit is cut where no piece
-        spans two neighbouring characters, as a piece always ends there."""
+        """Ids of a unit: it is cut where no piece spans two neighbouring characters, as a
+        piece always ends there, and the parts go through the streaming search. Units and
+        parts of at most ``KEPT`` characters are memoised, so the memo stays bounded."""
         got = self.memo.get(unit)
         if got is None:
-            cut = next((k for k in range(len(unit) - 1, 0, -1) if unit[k - 1 : k + 1] not in self.inside), 0)
-            if cut:
-                got = self._unit(unit[:cut]) + self._unit(unit[cut:])
-            else:
-                ids = list(self.stream(unit))
-                got = struct.pack(f"<{len(ids)}i", *ids)
+            ends = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.inside]
+            got = b"".join([self._part(unit[i:j]) for i, j in zip([0, *ends], [*ends, len(unit)], strict=True)])
+            self._remember(unit, got)
+        return got
+
+    def _part(self, part: str) -> bytes:
+        got = self.memo.get(part)
+        if got is None:
+            ids = list(self.stream(part))
+            got = struct.pack(f"<{len(ids)}i", *ids)
+            self._remember(part, got)
+        return got
+
+    def _remember(self, unit: str, ids: bytes) -> None:
+        if len(unit) <= KEPT:
             if len(self.memo) >= self.most:
                 self.memo.clear()
-            self.memo[unit] = got
-        return got
+            self.memo[unit] = ids
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters, committed as soon as they are certain.
