@@ -14,12 +14,13 @@ language knows in that context take the escape costs and are looked up one order
 shorter. Texts are scored whole, in blocks of bounded size, in Arrow batches.
 
 Training data is a bounded sample: the ``per_language`` documents of each language
-with the smallest hash of doc_id (256 unless told otherwise); all texts are scored.
+with the smallest hash of doc_id (256 unless told otherwise, and at most ``max_bytes``
+in all); all texts are scored.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without any
 labelled document every text is ``und``; equal code lengths go to the first
-language by code point; repeated rows are scored alike; null ids, nulls in other
-columns and extra columns do no harm.
+language by code point; repeated rows are scored alike and count once in the sample;
+null ids, nulls in other columns and extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .common import col, cut, fresh, if_small
 
 ORDER = 4
 BLOCK = 1 << 20
+#: Bytes of a language's training texts.
+MAX_BYTES = 1 << 26
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio multiplier
@@ -183,29 +186,33 @@ def _bucket(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int) -> dict[str, list[str]]:
-    """The bounded training sample: at most ``per_language`` texts a language."""
+def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int, max_bytes: int = MAX_BYTES) -> dict[str, list[str]]:
+    """The bounded training sample: at most ``per_language`` texts a language, one an id, in
+    order of the id's hash, as long as they come to at most ``max_bytes`` (but at least one)."""
     labelled = docs.where(_bucket(col(doc_id)) != 2).where(col(lang).isNotNull() & col(text).isNotNull())
-    d = labelled.select(col(lang).alias("lang"), F.xxhash64(col(doc_id)).alias("h"), col(doc_id).alias("i"))
-    # the share of each language's hashes that holds twice as many as wanted and some more,
-    # so that few rows are ranked, whatever the language's share of the corpus
-    n = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    d = labelled.select(col(lang).alias("lang"), F.xxhash64(col(doc_id)).alias("h"), col(doc_id).alias("i"), F.octet_length(col(text)).alias("size"), F.xxhash64(col(text)).alias("t"))
+    # the share of each language's ids that holds twice as many as wanted and some more, so
+    # that few rows are ranked, whatever the language's share of the corpus
+    n = d.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     low = F.lit(-float(1 << 63)) + F.lit(float(1 << 64)) * F.least(F.lit(1.0), (2 * per_language + 64) / F.col("n"))
     d = d.join(if_small(n), "lang").where(F.col("h").cast("double") <= low)
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= per_language)
-    ids = d.select("i").distinct()
-    ids = if_small(cut(ids))  # at most per_language rows a language
-    chosen = labelled.join(ids, col(doc_id) == ids["i"], "left_semi")
+    d = d.groupBy("lang", "h", "i").agg(F.min(F.struct("size", "t")).alias("one"))  # an id's rows count once
+    in_order = Window.partitionBy("lang").orderBy("h", "i")
+    d = d.withColumns({"r": F.row_number().over(in_order), "upto": F.sum("one.size").over(in_order)})
+    d = d.where((F.col("r") <= per_language) & ((F.col("upto") <= max_bytes) | (F.col("r") == 1)))
+    chosen = if_small(cut(d.select(F.col("lang").alias("l"), "i", F.col("one.t").alias("t"))))  # at most per_language rows a language
+    same = (col(lang) == F.col("l")) & (col(doc_id) == F.col("i")) & (F.xxhash64(col(text)) == F.col("t"))
+    texts = labelled.select(col(lang), col(doc_id), col(text)).join(chosen, same).groupBy("l", "i").agg(F.min(col(text)).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in chosen.select(col(lang).alias("lang"), col(text).alias("text")).toLocalIterator():
-        out.setdefault(r["lang"], []).append(r["text"])
+    for r in texts.select("l", "text").toLocalIterator():
+        out.setdefault(r["l"], []).append(r["text"])
     return {k: sorted(v) for k, v in out.items()}
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *, per_language: int = 256, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *, per_language: int = 256, max_bytes: int = MAX_BYTES, model: Model | None = None) -> DataFrame:
     """docs plus lang_pred string, score double (posterior under equal priors at the
     per-byte rate, 0 to 1) and code_bits double (bits a byte under the winner)."""
-    model = model or train(sample(docs, text, lang, doc_id, per_language))
+    model = model or train(sample(docs, text, lang, doc_id, per_language, max_bytes))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     names = fresh(docs, "lang_pred", "score", "code_bits")
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
