@@ -17,7 +17,8 @@ smaller id.
 Cases: null vectors, vectors with null or non-finite components and rows without
 id take no part; rows that repeat the query's id are its own; shorter vectors
 count as padded with zeros; with fewer than k candidates all are returned; an
-empty table gives an empty result; other columns aren't read.
+empty table gives an empty result; sums that could leave 64 bits are done in unbounded
+integers, and a result beyond a long is an error; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> Da
     x = F.transform(col(embedding), lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     d = vectors.where(col(vec_id).isNotNull() & col(embedding).isNotNull() & fine)
-    return d.select(col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).cast("array<long>").alias("v"))
+    whole = lambda c: F.when(F.abs(c * scale) < float(1 << 62), F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is too large to be scaled"))).cast("long")
+    return d.select(col(vec_id).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", *, scale: int = 256) -> DataFrame:
@@ -139,6 +141,8 @@ def _meetings(k: int):
             return []
         dims = max(len(v) for v in vectors)
         m = np.array([v + [0] * (dims - len(v)) for v in vectors], np.int64).reshape(len(vectors), dims)
+        if dims * int(max(-m.min(initial=0), m.max(initial=0))) ** 2 >= 1 << 62:
+            return _unbounded(ids, m, asks, k)
         shard = Shard(np.array([ids[i] for i in own], np.int64), m[own])
         return [(ids[i], *hit) for i, a in enumerate(asks) if a for hit in shard.search(ids[i], m[i], k)]
 
@@ -156,5 +160,17 @@ def _meetings(k: int):
     return run
 
 
+def _unbounded(ids: list, m: np.ndarray, asks: list, k: int) -> list[tuple[int, int, int]]:
+    """The same in unbounded integers, where sums may leave 64 bits; all are scored."""
+    own, out = [i for i, a in enumerate(asks) if not a], []
+    wide = m.astype(object)
+    for i in (i for i, a in enumerate(asks) if a):
+        scored = sorted((-int(wide[j] @ wide[i]), ids[j]) for j in own if ids[j] != ids[i])[:k]
+        if any(abs(s) >= 1 << 63 for s, _ in scored):
+            raise OverflowError(f"a score of vector {ids[i]} does not fit a long")
+        out += [(ids[i], j, -s) for s, j in scored]
+    return out
+
+
 def _hits(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
