@@ -14,7 +14,8 @@ cut-off hash is found through a radix histogram (256 bins a level), so no source
 however large, is ever ordered in one task.
 
 Cases: null text counts as no words and is taken 0 words; null sources form one
-source, the last; rows that agree in id and text share their fate; an empty
+source, the last; of rows that agree in id and text any may be the ones taken once
+more, as many as fit; an empty
 table or a corpus without words takes nothing; extra columns are kept as they
 are, and generated names step aside for clashing ones.
 """
@@ -84,20 +85,23 @@ def _cut_offs(rows: DataFrame, plan: DataFrame) -> DataFrame:
         )
         at = if_small(cut(held.select("source", F.col("b.w").alias("w"), F.col("b.bin").alias("prefix"), F.col("b.base").alias("base"))))
         keep = keep.alias("k").join(at.alias("a"), F.col("k.source").eqNullSafe(F.col("a.source")) & F.col("k.key").startswith(F.col("a.prefix"))).select("k.*")
-    last = keep.groupBy("source", "key").agg(F.sum("size").alias("words"))
-    last = last.join(at, last["source"].eqNullSafe(at["source"])).select(last["source"], "key", "words", "w", "base", "prefix")
-    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("key"))
-    last = last.withColumn("mid2", 2 * upto - F.col("words"))
-    cuts = last.groupBy("source").agg(
-        F.max(F.when(F.col("mid2").cast("double") <= 2 * F.col("w"), F.col("key"))).alias("key"), F.first("prefix").alias("prefix")
-    )
+    last = keep.groupBy("source", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    last = last.join(at, last["source"].eqNullSafe(at["source"])).select(last["source"], "key", "words", "n", "size", "w", "base", "prefix")
+    before = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("key")) - F.col("words")
+    last = last.withColumn("room", 2 * (F.col("w") - before.cast("double")))
+    # rows of one key are equal, so any of them may be the ones that fit
+    fit = F.when(F.col("size") > 0, F.floor((F.col("room") + F.col("size")) / (2 * F.col("size")))).otherwise(F.when(F.col("room") >= 0, F.col("n")).otherwise(0))
+    last = last.withColumn("fit", F.greatest(F.least(fit.cast("long"), F.col("n")), F.lit(0)))
+    taken = F.when(F.col("fit") > 0, F.struct("key", "fit", "n"))
+    cuts = last.groupBy("source").agg(F.max(taken).alias("c"), F.first("prefix").alias("prefix"))
     # nothing of the bin fits: everything below the bin is taken
-    return cuts.select("source", F.coalesce("key", "prefix").alias("last_key"))
+    return cuts.select("source", F.coalesce("c.key", "prefix").alias("last_key"), F.when(F.col("c.fit") < F.col("c.n"), F.col("c.fit")).alias("fit"))
 
 
 def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(rows, plan): narrow rows (doc_id, source, key, size) and, for each source,
-    (source, source_size, weight, target, whole, last_key)."""
+    (source, source_size, weight, target, whole, last_key, fit); fit, where only some of
+    the equal rows of last_key are taken once more: how many."""
     rows = cut(
         docs.select(
             col(doc_id).alias("doc_id"), col(source).alias("source"), sampling_key(col(doc_id), col(text), seed).alias("key"), n_words(col(text)).alias("size")
@@ -110,27 +114,45 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     plan = plan.withColumn("wanted", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double"))
     part = plan.where((F.col("wanted") > 0) & (F.col("whole") < max_epochs))
     cuts = _cut_offs(rows, part)
-    plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["source"]), "left").select(plan["*"], F.coalesce(cuts["last_key"], F.lit("")).alias("last_key"))
+    plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["source"]), "left").select(plan["*"], F.coalesce(cuts["last_key"], F.lit("")).alias("last_key"), cuts["fit"])
     return rows, if_small(cut(plan.drop("wanted")))
 
 
-def _copies() -> Column:
-    return F.col("whole") + (F.col("key") <= F.col("last_key")).cast("long")
+def _copies(rows: DataFrame, plan: DataFrame, key: str, source: str) -> tuple[DataFrame, Column]:
+    """rows joined to their source's plan, and how often each is taken.
+
+    Only where some of a key's equal rows fit and others don't are they numbered: by
+    the partition they lie in and their place there, so equal rows stay spread.
+    """
+    names = dict(zip(plan.columns, fresh(rows, *plan.columns), strict=True))
+    joined = rows.join(plan.select(*[F.col(c).alias(n) for c, n in names.items()]), col(source).eqNullSafe(col(names["source"])))
+    whole, last, fit = (col(names[c]) for c in ("whole", "last_key", "fit"))
+    (extra,) = fresh(joined, "extra")
+    if plan.where("fit is not null").isEmpty():
+        return joined.withColumn(extra, (col(key) <= last).cast("long")), whole + col(extra)
+    split = fit.isNotNull() & (col(key) == last)
+    plain = joined.where(~F.coalesce(split, F.lit(False))).withColumn(extra, (col(key) <= last).cast("long"))
+    part, at, before = fresh(joined, "part", "at", "before")
+    some = cut(joined.where(split).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}))
+    group = [col(names["source"]), col(key)]
+    sizes = some.groupBy(*group, part).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select(col(names["source"]).alias("s"), col(key).alias("k"), F.col(part).alias("p"), (F.sum("n").over(Window.partitionBy(*group).orderBy(part)) - F.col("n")).alias(before))
+    number = F.row_number().over(Window.partitionBy(*group, part).orderBy(at))
+    numbered = some.withColumn(at, number).join(sizes, col(names["source"]).eqNullSafe(F.col("s")) & (col(key) == F.col("k")) & (col(part) == F.col("p")))
+    numbered = numbered.withColumn(extra, (col(before) + col(at) <= fit).cast("long"))
+    return plain.unionByName(numbered.select(*plain.columns)), whole + col(extra)
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
     rows, plan = plan_mix(docs, **options)
-    joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    return joined.select("r.doc_id", "r.source", "size", "source_size", "target", _copies().alias("copies"), (F.col("size") * _copies()).alias("taken"))
+    joined, copies = _copies(rows, plan, "key", "source")
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: int = 42, **options) -> DataFrame:
     """The mixture itself: each document as often as it is taken, same columns."""
     _, plan = plan_mix(docs, text, source, doc_id, seed=seed, **options)
-    key, src, whole, last = fresh(docs, "key", "mix_source", "whole", "last_key")
-    plan = plan.select(F.col("source").alias(src), F.col("whole").alias(whole), F.col("last_key").alias(last))
-    out = docs.withColumn(key, sampling_key(col(doc_id), col(text), seed))
-    out = out.join(plan, col(source).eqNullSafe(col(src)))
-    times = (col(whole) + (col(key) <= col(last)).cast("long")).cast("int")
-    return out.withColumn(key, F.explode(F.array_repeat(F.lit(1), times))).select(*[col(c) for c in docs.columns])
+    (key,) = fresh(docs, "key")
+    out, copies = _copies(docs.withColumn(key, sampling_key(col(doc_id), col(text), seed)), plan.select("source", "whole", "last_key", "fit"), key, source)
+    return out.withColumn(key, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[col(c) for c in docs.columns])

@@ -70,11 +70,11 @@ t as (
   select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole from t
 ), k as (
   select d.*, u.source_size, u.target, u.whole, u.target - (u.whole * u.source_size)::double as wanted,
-         sum(size) over (partition by d.source order by key) as upto, sum(size) over (partition by d.source, key) as own
+         sum(size) over (partition by d.source order by key rows between unbounded preceding and current row) as upto
   from d join u on d.source is not distinct from u.source
 )
 select doc_id, size, source_size, target,
-       (size * (whole + case when wanted > 0 and whole < 3 and (2 * upto - own)::double <= 2 * wanted then 1 else 0 end))::bigint as taken
+       (size * (whole + case when wanted > 0 and whole < 3 and (2 * upto - size)::double <= 2 * wanted then 1 else 0 end))::bigint as taken
 from k
 """
 
@@ -113,22 +113,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an equal or one-edit line precedes."""
+    """Every document without the lines that an equal line precedes, or one within an edit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, short=True)
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents
-), o as (select * from l where length(line) >= 20),
+), o as (select * from l where length(line) >= 20 or regexp_matches(line, '[\p{L}\p{N}]')),
 d as (select line, min({'d': doc_id, 'a': pos}) as first, length(line) as n from o group by line),
+e as (select * from d where n >= 20),
 s as (
-  select line, first, n, n as m, unnest(['a' || left(line, n // 2), 'b' || right(line, n - n // 2)]) as key, 0 as role from d
+  select line, first, n, n as m, unnest(['a' || left(line, n // 2), 'b' || right(line, n - n // 2)]) as key, 0 as role from e
   union all
-  select line, first, n, n - 1, unnest(['a' || left(line, (n - 1) // 2), 'b' || right(line, n - 1 - (n - 1) // 2)]), 1 from d
+  select line, first, n, n - 1, unnest(['a' || left(line, (n - 1) // 2), 'b' || right(line, n - 1 - (n - 1) // 2)]), 1 from e
 ), p as (
   select distinct a.line as x, b.line as y, a.first as fx, b.first as fy
   from s a join s b on a.role = 0 and a.m = b.m and a.key = b.key and a.line <> b.line
