@@ -245,7 +245,7 @@ def _jtt_sql() -> str:
             ctes.append(f"{below} as (select a.msa_id, a.pid, a.node / 2 as node, a.s, a.v * b.v as v from up{2 * nodes[0]} a join up{2 * nodes[0]} b on a.msa_id = b.msa_id and a.pid = b.pid and a.s = b.s and a.node + 1 = b.node and a.node % 2 = 0)".replace("a.node / 2", "a.node // 2"))
         if nodes[0] != 2:
             ctes.append(f"up{nodes[0]} as (select c.msa_id, c.pid, c.node, p.i as s, sum(p.p * c.v) as v from {below} c join pm p on p.node = c.node and p.j = c.s group by 1, 2, 3, 4)")
-    return f"""with {_mask_sql(8, "month", 20)}, {JTT_SPECTRAL}, len(node, t) as (values {lengths}),
+    return f"""with {mask_sql(8, "month", 20)}, {JTT_SPECTRAL}, len(node, t) as (values {lengths}),
 pm as (select node, i, j, greatest(sum(x * exp(r * t) * y), 0) as p from len, lft join lam using (k) join rgt using (k) group by 1, 2, 3),
 numbered as (select msa_id, weight, masks, row_number() over (partition by msa_id order by first_site) as pid from pats),
 leaves as (select msa_id, pid, unnest(range(8, 16)) as node, unnest(masks) as m from numbered),
@@ -496,7 +496,7 @@ def external_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(fasta.final_likelihood(line), 2).alias("ll"))
 
 
-def _mask_sql(block: int, site: str, states: int = 4) -> str:
+def mask_sql(block: int, site: str, states: int = 4) -> str:
     at = "year(l_shipdate) * 12 + month(l_shipdate)" if site == "month" else "date_diff('day', date '1970-01-01', l_shipdate::date)"
     each = ", ".join(f"coalesce(max(case when ord = {t} then m end), {(1 << states + 1) - 1})" for t in range(block))
     return f"""cells as (select floor(l_suppkey / {block})::bigint as msa_id, (l_suppkey % {block})::int as ord, ({at})::bigint as site,
@@ -505,32 +505,40 @@ cols as (select msa_id, site, [{each}] as masks from cells group by 1, 2),
 pats as (select msa_id, masks, count(*) as weight, min(site) as first_site from cols group by 1, 2)"""
 
 
-PATTERN_SQL = {
-    "msa_encode": "select floor(l_suppkey / 8)::bigint as msa_id, (l_suppkey % 8)::int as ord, (year(l_shipdate) * 12 + month(l_shipdate))::bigint as site, (1 << (sum(l_quantity)::bigint % 4))::int as mask from lineitem group by 1, 2, 3",
-    "msa_detect_type": "select p_brand as msa_id, case when bool_or(regexp_matches(p_type, '(?i)[EFIJLOPQZX*]')) then 'AA' else 'DNA' end as seq_type from part group by 1",
-    "msa_patterns": "with " + _mask_sql(4, "day") + " select msa_id, row_number() over (partition by msa_id order by first_site) - 1 as pattern_id, weight, first_site, array_to_string(masks, ',') as masks from pats",
-    "msa_informative": "with " + _mask_sql(8, "day") + """,
+def informative_sql(block: int, site: str) -> str:
+    return "with " + mask_sql(block, site) + """,
 u as (select *, list_filter(list_transform(masks, lambda m: m & 15), lambda m: bit_count(m::int) = 1) as s from pats)
-select msa_id, count(*) as n_patterns, count(*) filter (len(s) = 0 or len(list_filter([1, 2, 4, 8], lambda k: len(list_filter(s, lambda m: m = k)) >= 2)) >= 2) as n_informative from u group by 1""",
-    "msa_fitch_offset": "with recursive " + _mask_sql(4, "day") + """,
+select msa_id, count(*) as n_patterns, count(*) filter (len(s) = 0 or len(list_filter([1, 2, 4, 8], lambda k: len(list_filter(s, lambda m: m = k)) >= 2)) >= 2) as n_informative from u group by 1"""
+
+
+def fitch_sql(block: int, site: str) -> str:
+    return "with recursive " + mask_sql(block, site) + f""",
 u as (select *, list_filter(list_transform(masks, lambda m: m & 15), lambda m: bit_count(m::int) = 1) as s from pats),
 f as (
   select msa_id, first_site, masks, weight, s, 0 as i, 15 as st, 0 as cost from u
   union all
   select msa_id, first_site, masks, weight, s, i + 1, case when st & (masks[i + 1] & 15) = 0 then st | (masks[i + 1] & 15) else st & (masks[i + 1] & 15) end,
-    cost + case when st & (masks[i + 1] & 15) = 0 then 1 else 0 end from f where i < 4
+    cost + case when st & (masks[i + 1] & 15) = 0 then 1 else 0 end from f where i < {block}
 )
 select msa_id, sum(case when len(s) = 0 or len(list_filter([1, 2, 4, 8], lambda k: len(list_filter(s, lambda m: m = k)) >= 2)) >= 2 then 0 else weight * cost end)::bigint as parsimony_offset
-from f where i = 4 group by 1""",
-    "msa_slice": "with " + _mask_sql(8, "month") + " select msa_id, first_site, weight, array_to_string([masks[7], masks[1], masks[4]], ',') as masks from pats",
+from f where i = {block} group by 1"""
+
+
+PATTERN_SQL = {
+    "msa_encode": "select floor(l_suppkey / 8)::bigint as msa_id, (l_suppkey % 8)::int as ord, (year(l_shipdate) * 12 + month(l_shipdate))::bigint as site, (1 << (sum(l_quantity)::bigint % 4))::int as mask from lineitem group by 1, 2, 3",
+    "msa_detect_type": "select p_brand as msa_id, case when bool_or(regexp_matches(p_type, '(?i)[EFIJLOPQZX*]')) then 'AA' else 'DNA' end as seq_type from part group by 1",
+    "msa_patterns": "with " + mask_sql(4, "day") + " select msa_id, row_number() over (partition by msa_id order by first_site) - 1 as pattern_id, weight, first_site, array_to_string(masks, ',') as masks from pats",
+    "msa_informative": informative_sql(8, "day"),
+    "msa_fitch_offset": fitch_sql(4, "day"),
+    "msa_slice": "with " + mask_sql(8, "month") + " select msa_id, first_site, weight, array_to_string([masks[7], masks[1], masks[4]], ',') as masks from pats",
     "msa_union": """with b as (
   select s_nationkey::varchar as msa_id, s_name as taxon, 0 as side, s_suppkey as o from supplier
   union all select c_nationkey::varchar, replace(c_name, 'Customer', 'Supplier'), 1, c_custkey from customer
 ), f as (select msa_id, taxon, min({'s': side, 'o': o}) as first from b group by 1, 2)
 select msa_id, taxon, row_number() over (partition by msa_id order by first) - 1 as ord, repeat('ACGT', 3) as seq from f""",
-    "msa_summary": "with " + _mask_sql(8, "day") + " select msa_id, 8::bigint as n_taxa, sum(weight)::bigint as n_sites, count(*) as n_patterns from pats group by 1",
+    "msa_summary": "with " + mask_sql(8, "day") + " select msa_id, 8::bigint as n_taxa, sum(weight)::bigint as n_sites, count(*) as n_patterns from pats group by 1",
     "fasta_roundtrip": "select 'p' || p_partkey as taxon, replace(p_type, ' ', '') as seq from part",
-    "tip_clv": "with " + _mask_sql(8, "month") + """,
+    "tip_clv": "with " + mask_sql(8, "month") + """,
 e as (select msa_id, site, unnest(range(0, 8))::int as ord, unnest(masks) as m from cols)
 select msa_id, site, ord, """ + ", ".join(f"((m >> {k}) & 1)::int as s{k}" for k in range(4)) + " from e",
 }
