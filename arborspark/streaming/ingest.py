@@ -18,9 +18,9 @@ from arborspark.sources import fasta
 def arriving(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     """A stream of (msa_id, taxon, ord, seq) from a folder; a file is one alignment.
 
-    ord is the place of the record in its file."""
+    ord is the place of the record in its file; records are cut where ``fasta.read`` cuts."""
     whole = spark.readStream.option("maxFilesPerTrigger", per_batch).text(path, wholetext=True)
-    records = whole.select(F.col("_metadata.file_path").alias("msa_id"), F.posexplode(F.split("value", ">")).alias("at", "value"))
+    records = whole.select(F.col("_metadata.file_path").alias("msa_id"), F.posexplode(F.split("value", r"(?:^|\n)>")).alias("at", "value"))
     return fasta.parsed(records.select("msa_id", F.col("at").cast("long").alias("ord"), "value"))
 
 

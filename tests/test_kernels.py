@@ -14,30 +14,66 @@ from arborspark.operators.merge import Alignment, union
 from arborspark.sources.newick import parse, write
 
 
-@pytest.mark.parametrize(
-    "text, gone, edges",
-    [  # lengths along the path that is left add up
-        ("(p:0.2,(q:0.1,(r:0.3,s:0.4):0.6):0.7,(u:0.5,v:0.8):0.9);", ["q"], {"q": ({"r", "s"}, 1.3)}),
-        ("(p:0.2,(q:0.1,(r:0.3,s:0.4):0.6):0.7,(u:0.5,v:0.8):0.9);", ["u", "v"], {"u": ({"p"}, 0.9), "v": ({"p"}, 0.9)}),
-        ("((a:0.11,b:0.12):0.2,c:0.3,(d:0.4,(e:0.15,f:0.16):0.5):0.6);", ["c", "d"], {"c": ({"a", "b"}, 1.3), "d": ({"e", "f"}, 1.3)}),
-    ],
-)
-def test_prune_keeps_lengths_and_anchors(text, gone, edges):
-    t, anchors = parse(text).prune(gone)
-    assert not t.problems()
-    for name, (side, length) in edges.items():
-        u, v = anchors[name]
-        assert side in (t.beyond(u, v), t.beyond(v, u))
-        assert t.adj[u][v] == pytest.approx(length)
+def random_tree(names, rng):
+    t, nodes, new = Tree(), list(range(len(names))), len(names)
+    for i, n in enumerate(names):
+        t.names[i], t.adj[i] = n, {}
+    while len(nodes) > 3:
+        for x in (nodes.pop(rng.randrange(len(nodes))), nodes.pop(rng.randrange(len(nodes)))):
+            t.connect(x, new, rng.uniform(0.02, 0.4))
+        nodes.append(new)
+        new += 1
+    for x in nodes:
+        t.connect(x, new, rng.uniform(0.02, 0.4))
+    return t
+
+
+def behind(t, v, u):
+    """Names on v's side of the edge u-v, by walking there."""
+    return ({t.names[v]} if v in t.names else set()).union(*(behind(t, w, v) for w in t.adj[v] if w != u))
+
+
+def lengths_by_side(t, kept):
+    """Length of what divides the kept names alike, by the side without the smallest one."""
+    out, least = {}, min(kept)
+    for u, v, bl in t.edges():
+        side = frozenset(behind(t, v, u) & kept)
+        side = side if least not in side else frozenset(kept - side)
+        if side:
+            out[side] = out.get(side, 0) + bl
+    return out
+
 
+def hosts(t, name, kept):
+    """The sides of kept names at the place where a removed leaf hung."""
+    at, came = t.leaf(name), None
+    while True:
+        ways = [w for w in t.adj[at] if w != came and behind(t, w, at) & kept]
+        if len(ways) == 2:
+            return [frozenset(behind(t, w, at) & kept) for w in ways]
+        (came, at) = (at, ways[0])
 
-TWO_GUESTS = "((k:0.1,(l:0.2,m:0.3):0.4):0.5,n:0.6,(w:0.8,(x:0.9,y:1.0):1.1):1.2);"
+
+def anchors_are_hosts(t, gone, pruned, anchors):
+    kept = set(t.names.values()) - set(gone)
+    for name in gone:
+        u, v = anchors[name]
+        assert {frozenset(behind(pruned, v, u)), frozenset(behind(pruned, u, v))} == set(hosts(t, name, kept))
 
 
-def test_distinct_anchors():
-    t, a = parse(TWO_GUESTS).prune(["k", "w"])
-    assert a["k"] != a["w"] and len(t.edges()) == 7
-    assert sorted(t.adj[u][v] for u, v in a.values()) == pytest.approx([0.9, 2.3])
+@pytest.mark.parametrize("seed", range(12))
+def test_prune_keeps_lengths_and_anchors(seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(rng.randrange(5, 24))]
+    t = random_tree(names, rng)
+    gone = rng.sample(names, rng.randrange(1, len(names) - 2))
+    kept = set(names) - set(gone)
+    want = lengths_by_side(t, kept)
+    pruned, anchors = t.copy().prune(gone)
+    assert not pruned.problems() and len(pruned.edges()) == 2 * len(kept) - 3
+    got = lengths_by_side(pruned, kept)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    anchors_are_hosts(t, gone, pruned, anchors)
 
 
 @pytest.mark.parametrize("clade", [{"n1"}, {"n3", "n4"}, {"m2", "m3", "m4"}])
@@ -103,20 +139,6 @@ def test_models():
         models.build("nope", "DNA")
 
 
-def random_tree(names, rng):
-    t, nodes, new = Tree(), list(range(len(names))), len(names)
-    for i, n in enumerate(names):
-        t.names[i], t.adj[i] = n, {}
-    while len(nodes) > 3:
-        for x in (nodes.pop(rng.randrange(len(nodes))), nodes.pop(rng.randrange(len(nodes)))):
-            t.connect(x, new, rng.uniform(0.02, 0.4))
-        nodes.append(new)
-        new += 1
-    for x in nodes:
-        t.connect(x, new, rng.uniform(0.02, 0.4))
-    return t
-
-
 def naive(t, masks, weights, m):
     """Likelihood by recursion from every possible root pattern by pattern."""
     out = 0.0
@@ -300,17 +322,22 @@ def test_adjacency_lists_every_node():
     assert len(lines) == 4 and sum("[" in x for x in lines) == 3 and any(x.count("(") == 3 for x in lines)
 
 
+def side(name, guest):
+    """Five leaves and the other side's guest, in a shape that the name decides."""
+    return write(random_tree([*(f"{name}{i}" for i in range(5)), guest], random.Random(f"{name}{guest}")))
+
+
 @pytest.mark.parametrize(
     "change, error",
     [
         ({"interest_a": ""}, "interest"), ({"interest_a": "zz"}, "not a leaf"), ({"full_blo": "slow"}, "full_blo"), ({"model": "XX"}, "unknown model"),
-        ({"inherited_a": [["a0", "a1", "a2"]]}, "fewer than 3"), ({"newick_b": "((a1:.1,b1:.1):.1,(b2:.1,b3:.1):.1,P:.3);"}, "both sides"),
+        ({"inherited_a": [["a0", "a1", "a2"]]}, "fewer than 3"), ({"newick_b": side("b", "P").replace("b2", "a1")}, "both sides"),
         ({"msa": None}, "provide either"), ({"msa": {"a0": "AC", "a1": "A", "a2": "AC"}}, "unequal"), ({"model": "JTT"}, "amino-acid"),
     ],
 )
 def test_merge_errors(change, error):
-    seqs = {x: "ACGTAC" for x in "a0 a1 a2 a3 b0 b1 b2 b3".split()}
-    args = dict(newick_a="((a0:.1,a1:.1):.1,(a2:.1,a3:.1):.1,O:.3);", newick_b="((b0:.1,b1:.1):.1,(b2:.1,b3:.1):.1,P:.3);", interest_a="O", interest_b="P", msa=seqs, model="JC")
+    seqs = {f"{x}{i}": "ACGTAC" for x in "ab" for i in range(5)}
+    args = dict(newick_a=side("a", "O"), newick_b=side("b", "P"), interest_a="O", interest_b="P", msa=seqs, model="JC")
     with pytest.raises(ValueError, match=error):
         merge(**{**args, **change})
 
@@ -329,22 +356,27 @@ def test_alignments(tmp_path):
 
 
 def test_side_of_one_outgroup_only():
-    s = merging.prepare("((a0:.1,a1:.1):.1,(a2:.1,a3:.1):.1,O:.3);", "O", [])
-    assert s.core.leaves() == ["a0", "a1", "a2", "a3"] and not s.clades and s.reference == "a0"
+    s = merging.prepare(side("a", "O"), "O", [])
+    assert s.core.leaves() == [f"a{i}" for i in range(5)] and not s.clades and s.reference == "a0"
 
 
 def test_outgroup_candidates():
     from arborspark.functions.generate import random_alignment, random_tree as grown
     from arborspark.functions.outgroups import candidate_edges, find_anchor_edges, prune_and_record
 
-    clean, splits = prune_and_record(TWO_GUESTS, ["k", "w", "unknown"])
-    assert splits == {"k": ("l", "m"), "w": ("x", "y")} and parse(clean).leaves() == ["l", "m", "n", "x", "y"]
-    whole, _ = prune_and_record(TWO_GUESTS, ["k"], keep_outgroups=True)
-    assert len(parse(whole).names) == 7
+    names = [f"n{i}" for i in range(9)]
+    whole_tree = random_tree(names, random.Random(8))
+    kept = set(names) - {"n2", "n6"}
+    clean, splits = prune_and_record(write(whole_tree), ["n2", "n6", "unknown"])
+    assert parse(clean).leaves() == sorted(kept) and splits.keys() == {"n2", "n6"}
+    for name, split in splits.items():
+        assert frozenset(split) in hosts(whole_tree, name, kept)
+    whole, _ = prune_and_record(write(whole_tree), ["n2"], keep_outgroups=True)
+    assert len(parse(whole).names) == 9
     tree = parse(clean)
-    (at,) = find_anchor_edges(tree, splits["k"], tree.leaves())
+    (at,) = find_anchor_edges(tree, splits["n2"], tree.leaves())
     got = candidate_edges(tree, [at], 5)
-    assert got[0] == at and len(got) == 5 and len(candidate_edges(tree, [at], 99)) == 7
+    assert got[0] == at and len(got) == 5 and len(candidate_edges(tree, [at], 99)) == 2 * len(kept) - 3
     t = grown([f"t{i}" for i in range(20)], 1)
     assert not t.problems() and len(t.edges()) == 37 and t.edges() == grown([f"t{i}" for i in range(20)], 1).edges()
     assert len(random_alignment(["a", "b"], 9, 1)["a"]) == 9
