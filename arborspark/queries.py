@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from arborspark.functions import alphabet, models
 from arborspark.functions.likelihood import Scorer, tip
 from arborspark.functions.merging import Options
-from arborspark.functions.optimize import all_branches, five_branches, newton
-from arborspark.operators import alignment, corpus, likelihood, merge, search, trees, validation
+from arborspark.functions.optimize import LEAST, MOST, all_branches, five_branches, newton
+from arborspark.operators import alignment, blocks, corpus, levels, likelihood, merge, search, trees, validation
 from arborspark.plans import portable as P
 from arborspark.sources import fasta, newick
 from arborspark.storage import shared_folder
@@ -307,6 +307,89 @@ p as (select a.msa_id, a.taxon as ord, sum(case when a.st <> b.st then 1 else 0
 select msa_id, ord, round(least(p, 0.75), 4) as differ from p"""
 
 
+def branch_opt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best length of the root edge of every alignment's tree, from sums over blocks of
+    patterns: (msa_id, the share of sites it makes different, log-likelihood there)."""
+    m = models.jukes_cantor(4)
+    parts = blocks.blocks(columns(spark, sf_dir), 32)
+    tables = blocks.sumtables(parts, P.heap_tree(), TAXA, m, 2, 3)
+    best = blocks.newton(tables, parts.select("msa_id", F.lit(0.1).alias("t")).distinct(), m)
+    points = F.array(F.log("t"), *[F.log(F.lit(x)) for x in (LEAST, MOST)])
+    at = blocks.evaluated(tables, best.select("msa_id", points.alias("points")), m, ["msa_id"], 3)
+    share = F.when(F.abs(F.col("loglik")[1] - F.col("loglik")[2]) > 1e-9, 0.75 * (1 - F.exp(-4 * F.col("t") / 3)))  # null: all lengths are alike
+    return best.join(at, "msa_id").select("msa_id", F.round(share, 5).alias("differ"), F.round(F.col("loglik")[0], 6).alias("loglik"))
+
+
+def _branch_blocks_sql() -> str:
+    """A pattern's likelihood is a + b * e for e = exp(-4t/3), so the slope falls in e and
+    halving finds where it is zero."""
+    tree = P.heap_tree()
+
+    def value(node: int, s: int) -> str:
+        return f"(case when {tree.names[node]} is null or {tree.names[node]} = {s} then 1e0 else 0e0 end)" if node in tree.names else f"x{node}_{s}"
+
+    def over(node: int, bl: float, s: int) -> str:
+        return f"(0.25 * (1 - exp(-4 * {bl!r}::double / 3)) * ({' + '.join(value(node, j) for j in range(4))}) + exp(-4 * {bl!r}::double / 3) * {value(node, s)})"
+
+    ctes, last = [], "pats"
+    for node in range(7, 1, -1):
+        each = ", ".join(f"{over(2 * node, tree.adj[node][2 * node], s)} * {over(2 * node + 1, tree.adj[node][2 * node + 1], s)} as x{node}_{s}" for s in range(4))
+        ctes.append(f"n{node} as (select *, {each} from {last})")
+        last = f"n{node}"
+    both = lambda v: "(" + " + ".join(f"x{v}_{s}" for s in range(4)) + ")"
+    same = " + ".join(f"x2_{s} * x3_{s}" for s in range(4))
+    return f"""with recursive {P.duckdb(P.pattern_ctes()).removeprefix("with ")},
+{", ".join(ctes)},
+ab as (select msa_id, weight, {both(2)} * {both(3)} / 16 as a, ({same}) / 4 - {both(2)} * {both(3)} / 16 as b from {last}),
+half(msa_id, low, high, step) as (
+  select distinct msa_id, exp(-400e0 / 3), exp(-4e-6 / 3), 0 from ab
+  union all
+  select h.msa_id, case when sum(weight * b / (a + b * (low + high) / 2)) > 0 then (low + high) / 2 else low end, case when sum(weight * b / (a + b * (low + high) / 2)) > 0 then high else (low + high) / 2 end, step + 1
+  from half h join ab using (msa_id) where step < 60 group by h.msa_id, low, high, step
+)
+select msa_id, round(case when max(abs(b)) > 1e-12 then any_value(0.75 * (1 - low)) end, 5) as differ, round(sum(weight * ln(a + b * low)), 6) as loglik from half join ab using (msa_id) where step = 60 group by msa_id"""
+
+
+def _all_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, cells): the tree of ``portable.NODES`` rooted at node 2, and one alignment of
+    all suppliers by month."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = supplier.count()
+    every = supplier.select((F.col("s_suppkey") + n).alias("node"), F.col("s_suppkey").alias("taxon")).unionByName(supplier.where("s_suppkey >= 2").select(F.col("s_suppkey").alias("node"), F.lit(None).cast("long").alias("taxon")))
+    length = lambda v: 0.05 + v % 7 * 0.03
+    bl = F.when(F.col("node") == 3, length(F.lit(2)) + length(F.lit(3))).otherwise(length(F.col("node")))
+    parent = F.when(F.col("node") == 2, None).when(F.col("node") == 3, 2).otherwise(F.floor(F.col("node") / 2)).cast("long")
+    cells_ = cells(spark, sf_dir).select((F.col("msa_id") * 8 + F.col("ord")).alias("taxon"), "site", F.pow(F.lit(2), F.col("st")).cast("int").alias("mask"))
+    return every.select(F.col("node").cast("long"), parent.alias("parent"), bl.alias("bl"), "taxon"), cells_
+
+
+def score_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood of one tree of all suppliers, at the root and from every edge."""
+    nodes, cells_ = _all_suppliers(spark, sf_dir)
+    t = levels.Levels(nodes, cells_, models.jukes_cantor(4), 64)
+    e = t.edges().agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.min("loglik"), 5).alias("least"), F.round(F.max("loglik"), 5).alias("most"))
+    return t.loglik().select(F.round("loglik", 5).alias("loglik")).crossJoin(e)  # one row each
+
+
+def _levels_sql(height: int = 14) -> str:
+    """Messages of the nodes from 2 ** l on, for each l from the leaves down to the root edge."""
+    decay = lambda node: f"exp(-4 * (0.05 + ({node} % 7) * 0.03)::double / 3)"
+    parts = [f"m{height} as (select node, site, s, v from tip where node >= {2**height})"]
+    for at in range(height, 1, -1):
+        parts.append(f"c{at} as (select node, site, s, (1 - {decay('node')}) / 4 * sum(v) over (partition by node, site) + {decay('node')} * v as v from m{at})")
+        parts.append(f"m{at - 1} as (select node, site, s, v from tip where node >= {2 ** (at - 1)} and node < {2**at} union all select x.node // 2, x.site, x.s, x.v * y.v from c{at} x join c{at} y on y.node = x.node + 1 and x.site = y.site and x.s = y.s where x.node % 2 = 0)")
+    e = "exp(-4 * (0.05 + 2 * 0.03 + 0.05 + 3 * 0.03)::double / 3)"
+    return f"""with n as (select count(*) as n from supplier),
+cell as (select l_suppkey as taxon, year(l_shipdate) * 12 + month(l_shipdate) as site, sum(l_quantity)::bigint % 4 as st from lineitem group by 1, 2),
+tip as (
+  select s_suppkey + n as node, x.site, s, case when st is null or st = s then 1e0 else 0e0 end as v
+  from supplier cross join n cross join (select distinct site from cell) x cross join range(4) t(s) left join cell on taxon = s_suppkey and cell.site = x.site
+), {", ".join(parts)},
+b as (select node, site, s, (1 - {e}) / 4 * sum(v) over (partition by site) + {e} * v as v from m1 where node = 3),
+l as (select sum(ln(like_)) as ll from (select x.site, sum(x.v * b.v) / 4 as like_ from m1 x join b on x.site = b.site and x.s = b.s where x.node = 2 group by 1))
+select round(ll, 5) as loglik, (2 * n - 3)::bigint as n_edges, round(ll, 5) as least, round(ll, 5) as most from l, n"""
+
+
 # -- optimisation ----------------------------------------------------------------
 OPTIMISED = "before double, improved boolean, agree boolean"
 #: The start is the likelihood that SQL finds; the rest must hold for every alignment.
@@ -404,6 +487,20 @@ def _checked(options: Options, spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKED_SQL = "select distinct floor(l_suppkey / 10)::bigint as msa_id, 10::bigint as n_taxa, 0::bigint as faith_a, 0::bigint as faith_b, true as agree from lineitem"
 
 
+def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every merge's candidate pairs, with all sums over blocks of patterns, against the
+    merge that is done whole in one task: (msa_id, n_pairs, agree)."""
+    m, cols = models.jukes_cantor(4), columns(spark, sf_dir, block=10)
+    jobs = _jobs(cols)
+    best = blocks.winners(blocks.sweep(blocks.boundary_messages(jobs, blocks.blocks(cols, 32), m), m))
+    whole = merge.merge_many(jobs, alignment.patterns(cols), "JC", "DNA", Options()).select("msa_id", "loglik")
+    return best.join(whole, "msa_id").select("msa_id", "n_pairs", (F.abs(F.col("ll") - F.col("loglik")) < 1e-5).alias("agree"))
+
+
+#: A side of r real taxa has 2 r - 3 edges, and every third job inherits two taxa a side.
+MERGE_BLOCKS_SQL = "select distinct floor(l_suppkey / 10)::bigint as msa_id, case when floor(l_suppkey / 10)::bigint % 3 = 2 then 9 else 25 end::bigint as n_pairs, true as agree from lineitem"
+
+
 def merge_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge with inherited clades for every block of ten suppliers."""
     return _merged(Options(), spark, sf_dir)
@@ -566,7 +663,7 @@ PORTABLE = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        merge_flagship, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
+        merge_flagship, merge_blocks, branch_opt_blocks, score_levels, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
         jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, corpus_validate, trees_edges, trees_splits, trees_pruned, spr_topk,
         corpus_dedup_first, corpus_status_counts, corpus_percentiles, corpus_shard, corpus_resume, corpus_topn, corpus_stem_join, corpus_ratios, corpus_crosscheck, external_log,
     )
@@ -578,6 +675,6 @@ QUERIES |= {"merge_checked": partial(_checked, Options()), "merge_full_blo": par
 SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
 SQL |= PATTERN_SQL | CORPUS_SQL
 SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL, "trees_edges": TREES_EDGES_SQL, "trees_splits": TREES_SPLITS_SQL, "trees_pruned": TREES_PRUNED_SQL}
-SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql()}
+SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
 SQL |= {n: OPTIMISED_SQL for n in ("full_blo_fast", "full_blo_thorough", "triplet_opt", "five_blo")}
 SQL |= {"jtt_pmatrix": P_SQL.format(spectral=JTT_SPECTRAL), "gtr_pmatrix": P_SQL.format(spectral=GTR_SPECTRAL)}

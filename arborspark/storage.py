@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_folder(session: SparkSession) -> str:
@@ -30,3 +32,20 @@ def once(df: DataFrame) -> DataFrame:
     kept = df.checkpoint(eager=True)
     plain = kept._jdf.sparkSession().internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
     return type(kept)(plain, session)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, computed once, and read from there."""
+    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: Rows up to which a narrow table is sent to every task.
+SMALL = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast only if a count finds it small; a larger one is joined as
+    Spark plans it. For tables of narrow rows that are already computed."""
+    return broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
