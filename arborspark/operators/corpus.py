@@ -10,22 +10,29 @@ from pyspark.sql import functions as F
 from arborspark.storage import once
 
 
-def shard(items: DataFrame, key: str, count: int, index: int | None = None) -> DataFrame:
-    """items with their ``shard``: the i-th by key goes to shard i mod count (or only
-    the items of one shard); of items with equal keys the order is free.
+def placed(items: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """items with their ``place`` from 0 in a full order.
 
-    Positions come from a range partitioning by key and the sizes of its partitions, so
-    no single task numbers all items. The ranged rows are computed once and kept:
-    planned twice, a range partitioning may choose other bounds.
+    Places come from a range partitioning by the order and the sizes of its partitions. The
+    ranged rows are computed once and kept: planned twice, a range partitioning may choose
+    other bounds.
     """
-    ranged = items.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    ranged = items.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = once(ranged.withColumn("_at", F.monotonically_increasing_id()))  # partition, then place in it
     part = F.shiftright("_at", 33).alias("_p")
     sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row a partition
     place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = ranged.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("shard", F.pmod(place, F.lit(count)))
-    out = out.drop("_p", "_at", "_before")
+    return ranged.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("place", place).drop("_p", "_at", "_before")
+
+
+def shard(items: DataFrame, key: str, count: int, index: int | None = None) -> DataFrame:
+    """items with their ``shard``: the i-th by key goes to shard i mod count (or only
+    the items of one shard); of items with equal keys the order is free.
+
+    No single task numbers all items (see ``placed``).
+    """
+    out = placed(items, [F.col(key)]).withColumn("shard", F.pmod("place", F.lit(count))).drop("place")
     return out if index is None else out.where(F.col("shard") == index)
 
 

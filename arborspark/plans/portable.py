@@ -223,7 +223,7 @@ start as (select d.u, d.v from directed d join directed o on o.u = d.u and o.v <
 walk(pu, pv, prev, node, depth) as (
   select start.u, start.v, start.u, d.v, 0 from start join directed d on d.u = start.u and d.v <> start.v
   union all
-  select walk.pu, walk.pv, walk.node, d.v, walk.depth + 1 from walk join directed d on d.u = walk.node and d.v <> walk.prev where walk.depth < 3
+  select walk.pu, walk.pv, walk.node, d.v, walk.depth + 1 from walk join directed d on d.u = walk.node and d.v <> walk.prev where walk.depth < 10
 )
 select pu, pv, prev as near, node as far, depth from walk where depth >= 1"""
 

@@ -18,10 +18,10 @@ from arborspark.functions import alphabet, models
 from arborspark.functions.likelihood import Scorer, tip
 from arborspark.functions.merging import Options
 from arborspark.functions.optimize import LEAST, MOST, all_branches, five_branches, newton
-from arborspark.operators import alignment, blocks, corpus, levels, likelihood, merge, search, trees, validation
+from arborspark.operators import alignment, blocks, corpus, forest, levels, likelihood, merge, search, trees, validation
 from arborspark.plans import portable as P
 from arborspark.sources import fasta, newick
-from arborspark.storage import shared_folder
+from arborspark.storage import once, shared_folder
 
 FLAGSHIP = "merge_flagship"
 TAXA = [f"t{t}" for t in range(8)]
@@ -156,6 +156,104 @@ def trees_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREES_PRUNED_SQL = "select c_nationkey as nation, 0::bigint as rf, count(*) - 1 as n_common from customer group by 1 having count(*) >= 4"
 
 
+def _heap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, parent, bl, taxon): the tree of ``portable.NODES`` with its suppressed root, node 1."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = supplier.count()
+    every = supplier.select((F.col("s_suppkey") + n).alias("node"), F.col("s_suppkey").alias("taxon")).unionByName(supplier.where("s_suppkey >= 1").select(F.col("s_suppkey").alias("node"), F.lit(None).cast("long").alias("taxon")))
+    parent = F.when(F.col("node") > 1, F.floor(F.col("node") / 2)).cast("long")
+    return every.select(F.col("node").cast("long"), parent.alias("parent"), (0.05 + F.col("node") % 7 * 0.03).alias("bl"), "taxon")
+
+
+def _heap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, v) of that tree without node 1."""
+    d = _heap(spark, sf_dir).where("node > 2")
+    return d.select(F.when(F.col("node") == 3, 2).otherwise(F.col("parent")).cast("long").alias("u"), F.col("node").alias("v"))
+
+
+def tree_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree without every third supplier."""
+    return forest.pruned(_heap(spark, sf_dir), F.col("taxon") % 3 != 0).select("u", "v", F.round("bl", 6).alias("bl"))
+
+
+def tree_postorder_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = levels.depths(_heap(spark, sf_dir)).select("node", F.col("depth").alias("d")).where("node > 1")
+    placed = corpus.placed(d, [F.desc("d"), F.col("node")])
+    return placed.select("node", F.col("d").cast("int").alias("depth"), (F.col("place") + 1).alias("place"))
+
+
+def rf_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in order against supplier t at leaf (3t + 1) mod n."""
+    nodes = _heap(spark, sf_dir)
+    n = nodes.where("taxon is not null").count()
+    moved = F.when(F.col("taxon").isNotNull(), F.lit(n) + (3 * F.col("taxon") + 1) % n).otherwise(F.col("node"))
+    shape = lambda v: F.when(v > 1, F.floor(v / 2)).cast("long")
+    both = nodes.select(F.lit(1).alias("tree"), "node", "parent", "taxon").unionByName(nodes.select(F.lit(2).alias("tree"), moved.alias("node"), shape(moved).alias("parent"), "taxon"))
+    d = forest.rf(both, F.col("tree") == 1).where("tree = 2")
+    return d.select("rf", (F.col("rf") / (2.0 * (n - 3))).alias("nrf"), F.lit(n).cast("long").alias("taxa"))
+
+
+def rf_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of all suppliers for every nation, in which two of them have changed places,
+    against the tree in order."""
+    nodes = _heap(spark, sf_dir)
+    n = nodes.where("taxon is not null").count()
+    trees_ = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("tree"))
+    trees_ = trees_.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("tree")))  # in order
+    d = nodes.crossJoin(F.broadcast(trees_))  # 26 trees
+    a, b, t = F.col("tree") % n, (F.col("tree") * 7 + 3) % n, F.col("taxon")
+    swapped = F.when(F.col("tree") < 0, t).when(t == a, b).when(t == b, a).otherwise(t)
+    return forest.rf(d.select("tree", "node", "parent", swapped.alias("taxon")), F.col("tree") == -1).where("tree >= 0").select("tree", "n_splits", "n_common", "rf")
+
+
+#: Members of each split as text, by recursion.
+RF_MANY_SQL = """with recursive n as (select count(*) as n from supplier),
+node as (select s_suppkey + n as node, s_suppkey as taxon from supplier, n union all select s_suppkey, null from supplier where s_suppkey >= 1),
+above(node, a) as (select node, node from node union all select node, a // 2 from above where a // 2 >= 1),
+tree as (select n_nationkey as tree from nation union all select -1),
+leaf as (
+  select tree, node, case when tree < 0 then taxon when taxon = tree % n then (tree * 7 + 3) % n when taxon = (tree * 7 + 3) % n then tree % n else taxon end as taxon
+  from node cross join tree cross join n where taxon is not null
+),
+side as (select tree, a, list_sort(list(taxon)) as m from leaf join above using (node) group by 1, 2),
+split as (
+  select distinct tree, array_to_string(case when m[1] = 0 then list_sort(list_filter(range(0, n), lambda x: not list_contains(m, x))) else m end, ',') as s
+  from side, n where len(m) between 2 and n - 2
+),
+one as (select s from split where tree = -1)
+select tree::bigint as tree, count(*) as n_splits, count(one.s) as n_common, count(*) + (select count(*) from one) - 2 * count(one.s) as rf
+from split left join one on split.s = one.s where tree >= 0 group by 1"""
+
+
+def edge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen edges nearest to every supplier's own edge."""
+    edges = _heap_edges(spark, sf_dir)
+    n = table(spark, sf_dir, "supplier").count()
+    anchors = edges.where(F.col("v") >= n).select((F.col("v") - n).alias("taxon"), "u", "v")
+    return forest.windows(edges, anchors, ["taxon"])
+
+
+EDGE_WINDOWS_SQL = P.duckdb(P.TREE) + """,
+anchor as (select v - n as taxon, u, v from edge, n where v >= n),
+walk(taxon, near, far, depth) as (
+  select taxon, u, v, 0 from anchor union all select taxon, v, u, 0 from anchor
+  union all
+  select w.taxon, w.far, d.v, w.depth + 1 from walk w join directed d on d.u = w.far and d.v <> w.near where w.depth < 14
+),
+e as (select taxon, least(near, far) as u, greatest(near, far) as v, min(depth)::bigint as depth from walk group by 1, 2, 3)
+select * from (select *, row_number() over (partition by taxon order by depth, u, v) as place from e) x where place <= 14"""
+
+
+def spr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every regraft target within radius 10 of every prune point."""
+    ways = once(forest.directed(_heap_edges(spark, sf_dir)))
+    n = table(spark, sf_dir, "supplier").count()
+    o = ways.select(F.col("u").alias("o_u"), F.col("v").alias("o_v")).where(F.col("o_v") < n)
+    points = ways.join(o, (F.col("u") == F.col("o_u")) & (F.col("v") != F.col("o_v"))).select(F.col("u").alias("pu"), F.col("v").alias("pv")).distinct()
+    starts = points.join(ways, F.col("pu") == F.col("u")).where("v <> pv").select("pu", "pv", F.col("pu").alias("near"), F.col("v").alias("far"))
+    return forest.frontier(ways, starts, ["pu", "pv"], 10).where("depth >= 1").select("pu", "pv", "near", "far", F.col("depth").cast("int").alias("depth"))
+
+
 # -- models ----------------------------------------------------------------------
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("t"))
@@ -669,12 +767,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES |= {n: (lambda spark, sf_dir, text=text: P.run(spark, sf_dir, text)) for n, text in PORTABLE.items()}
+QUERIES |= {f.__name__: f for f in (tree_prune, tree_postorder_depth, rf_distance, rf_many, edge_windows, spr_candidates)}
 QUERIES |= {n: partial(_optimised, m) for n, m in (("full_blo_fast", "fast"), ("full_blo_thorough", "thorough"), ("triplet_opt", "triplet"))}
 QUERIES |= {"merge_checked": partial(_checked, Options()), "merge_full_blo": partial(_checked, Options(full_blo="fast"))}
 
 SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
 SQL |= PATTERN_SQL | CORPUS_SQL
 SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL, "trees_edges": TREES_EDGES_SQL, "trees_splits": TREES_SPLITS_SQL, "trees_pruned": TREES_PRUNED_SQL}
-SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
+SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
 SQL |= {n: OPTIMISED_SQL for n in ("full_blo_fast", "full_blo_thorough", "triplet_opt", "five_blo")}
 SQL |= {"jtt_pmatrix": P_SQL.format(spectral=JTT_SPECTRAL), "gtr_pmatrix": P_SQL.format(spectral=GTR_SPECTRAL)}
