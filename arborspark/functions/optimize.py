@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from .likelihood import BOOST, FLOOR, TINY, Message, Scorer, across, joined
@@ -13,9 +15,31 @@ TOLERANCE, STEPS, SWEEPS = 1e-7, 30, 32
 
 
 def newton(model: Model, weights: np.ndarray, a: Message, b: Message, t: float) -> tuple[float, bool]:
-    """(length, converged) of the branch between two messages."""
-    best, fine = newton_many(model, weights, a[0][None], b[0][None], np.array([t], float))
-    return float(best[0]), bool(fine[0])
+    """(length, converged) of the branch between two messages: ``newton_many`` for one
+    branch, with plain numbers where that has an array a branch."""
+    s = (model.right @ b[0]) * ((model.left * model.pi[:, None]).T @ a[0])
+    powers = np.stack([np.ones_like(model.rates), model.rates, model.rates**2])
+    x, low, high = math.log(min(max(t, LEAST), MOST)), math.log(LEAST), math.log(MOST)
+    known_low = known_high = False
+    for _ in range(STEPS):
+        length = math.exp(x)
+        like, first, second = (powers * np.exp(model.rates * length)) @ s
+        np.maximum(like, FLOOR, out=like)
+        first /= like
+        slope = float(first @ weights)
+        bend = length * (length * (float((weights / like) @ second) - float((first * first) @ weights)) + slope)
+        if not (math.isfinite(slope) and math.isfinite(bend)):
+            break
+        if slope >= TOLERANCE:
+            low, known_low, goal, tested = x, True, high, known_high
+        else:
+            high, known_high, goal, tested = x, True, low, known_low
+        step = x - length * slope / bend if bend < 0 else math.nan
+        new = step if min(x, goal) < step < max(x, goal) else (x + goal) / 2 if tested else goal
+        if (abs(slope) < TOLERANCE and bend < -TOLERANCE) or abs(math.exp(new) - length) < TOLERANCE:
+            return min(max(length, LEAST), MOST), True
+        x = new
+    return min(max(math.exp(x), LEAST), MOST), False
 
 
 def newton_many(model: Model, weights: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
