@@ -63,6 +63,8 @@ TEMPLATES = (
     ("ofl", "this font software is licensed under the sil open font license version 1 1"),
 )
 THRESHOLD = 0.9
+#: More than a template has tokens.
+SPAN = 1 << 12
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -205,23 +207,27 @@ def _tokens(lines: Column, vocabulary: list[str], ranked: Column) -> Column:
 
 def _wrapped(tokens: Column, met: Column, index: Index) -> Column:
     """Matches in windows of a template's length in words that span lines, the best of each
-    first line. Windows hold a token of the prefix, and start and end on own tokens."""
+    first line. Windows start on own tokens; each takes a slice of a template's length, so
+    the work grows with the text."""
 
     def windows(t: Column, own: Column) -> Column:
         length, need = t["length"], t["need"]
-        rare = F.filter(own, lambda x: F.array_position(t["own"], x["rank"]) <= F.size(t["own"]) - need + 1)
-        near = _let(rare, lambda r: F.filter(own, lambda x: F.exists(r, lambda y: F.abs(y["at"] - x["at"]) < length)))
 
         def sized(n: Column) -> Column:
-            whole = F.transform(n, lambda s: F.filter(n, lambda u: u["at"].between(s["at"], s["at"] + length - 1)))
-            return F.transform(whole, lambda w: F.struct(w[0]["line"].alias("block"), F.array_max(w["line"]).alias("last"), F.size(F.array_distinct(w["rank"])).alias("share")))
+            # a window with enough tokens has the need-th one from its start within its length
+            placed = F.transform(n, lambda s, i: F.struct(i.alias("i"), s["at"].alias("at"), s["line"].alias("line")))
+            starts = F.filter(placed, lambda s: F.get(n, s["i"] + need - 1)["at"] < s["at"] + length)
+            cut = lambda s: F.filter(F.slice(n, s["i"] + 1, length), lambda u: u["at"] < s["at"] + length)
+            return F.transform(F.transform(starts, cut), lambda w: F.struct(w[0]["line"].alias("block"), F.array_max(w["line"]).alias("last"), F.size(F.array_distinct(w["rank"])).alias("share")))
 
         def best(f: Column) -> Column:
-            most = lambda k: F.array_max(F.transform(F.filter(f, lambda w: w["block"] == k), lambda w: w["share"]))
-            return F.transform(F.array_distinct(f["block"]), lambda k: F.struct(t["label"].alias("label"), k.alias("block"), (most(k) / F.size(t["own"])).alias("containment")))
+            # block and share as one number: the last of a block's numbers is its best
+            both = F.array_sort(F.array_distinct(F.transform(f, lambda w: w["block"].cast("long") * SPAN + w["share"])))
+            last = lambda k: F.filter(k, lambda x, i: F.coalesce(F.floor(F.get(k, i + 1) / SPAN), F.lit(-1)) != F.floor(x / SPAN))
+            return F.transform(_let(both, last), lambda x: F.struct(t["label"].alias("label"), F.floor(x / SPAN).cast("int").alias("block"), ((x % SPAN).cast("int") / F.size(t["own"])).alias("containment")))
 
         lone = lambda w: ~F.exists(met, lambda b: (b["label"] == t["label"]) & b["block"].between(w["block"], w["last"]))
-        return _let(F.filter(_let(near, sized), lambda w: (w["share"] >= need) & (w["last"] > w["block"]) & lone(w)), best)
+        return _let(F.filter(_let(own, sized), lambda w: (w["share"] >= need) & (w["last"] > w["block"]) & lone(w)), best)
 
     def of(ranks: Column) -> Column:
         may = F.filter(index.candidates(ranks), lambda t: F.size(F.array_intersect(t["own"], ranks)) >= t["need"])

@@ -6,9 +6,11 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from arborspark.llm import langid, lines, mixing, tokenize, topk
+from arborspark.llm import langid, licenses, lines, mixing, tokenize, topk
 from arborspark.llm.queries import MODEL
 
+from .test_brute_force import language_cost
+
 RUNS = {
     "nines": "9" * 100_000,
     "digits": "".join(random.Random(1).choices("0123456789", k=100_000)),
@@ -59,42 +61,17 @@ def test_op7_sample_is_bounded(spark):
 
 def test_op7_predictions_by_brute_force(spark):
     """The language whose model, counted anew in dictionaries, needs the fewest bits."""
-    import math
-
     rng = random.Random(3)
     words = {"aa": ["tip", "tap", "top", "pit"], "bb": ["sol", "las", "oso", "lo"], "cc": ["mum", "nun", "tip", "sol"]}
     rows = [(i, " ".join(rng.choices(words[x], k=rng.randrange(1, 12))), x) for i, x in enumerate(rng.choices(list(words), k=90))] + [(90, None, "aa"), (91, "12 !?", "bb"), (92, "zz qq", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    sample = langid.sample(d, "text", "lang", "doc_id", 256)
-    counts = {x: {} for x in sample}
-    for x, texts in sample.items():
-        for t in map(str.encode, texts):
-            for k in range(langid.ORDER + 1):
-                for i in range(k, len(t)):
-                    seen = counts[x].setdefault(t[i - k : i], {})
-                    seen[t[i]] = seen.get(t[i], 0) + 1
-
-    def bits(x, t):
-        out = 0.0
-        for i in range(len(t)):
-            for k in range(min(i, langid.ORDER), -1, -1):
-                seen = counts[x].get(t[i - k : i])
-                if seen:
-                    whole = sum(seen.values()) + len(seen)
-                    if t[i] in seen:
-                        out += math.log2(whole / seen[t[i]])
-                        break
-                    out += math.log2(whole / len(seen))
-            else:
-                out += 8
-        return out
-
+    bits = language_cost(sample := langid.sample(d, "text", "lang", "doc_id", 256))
     for r in langid.identify(d).collect():
         if not r["text"] or not any(c.isalpha() for c in r["text"]):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
             continue
         data = r["text"].encode()
-        cost = {x: bits(x, data) for x in sorted(counts)}
+        cost = {x: bits(x, data) for x in sorted(sample)}
         best = min(cost.values())
         assert cost[r["lang_pred"]] == pytest.approx(best)
         assert r["score"] == pytest.approx(1 / sum(2 ** ((best - c) / len(data) * min(len(data), 64)) for c in cost.values()))
@@ -128,3 +105,11 @@ def test_op8_exact_repeats_of_short_lines(spark):
     d = spark.createDataFrame([(1, "ab\n\n- \nab\nxyz"), (2, "ab\n\n- \n7")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.dedup(d, short=True).collect()}
     assert got == {1: "ab\n\n- \nxyz", 2: "\n- \n7"}
+
+
+def test_op9_very_long_texts_of_notices(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software)\n"
+    d = spark.createDataFrame([(n, notice * n) for n in (1, 2, 4000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["blocks"] for r in licenses.scan(d).collect()}
+    # a window from each notice's first line, and one from each second line on
+    assert [len(got[n]) for n in (1, 2, 4000)] == [1, 3, 7999] and {b["label"] for b in got[4000]} == {"mit"}
