@@ -14,14 +14,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborspark.functions.likelihood import BOOST, FLOOR, TINY, Message, Scorer
 from arborspark.functions.merging import Options, prepare
 from arborspark.functions.models import Model
-from arborspark.functions.optimize import LEAST, MOST, STEPS, SWEEPS, TOLERANCE
+from arborspark.functions.optimize import LEAST, MOST, STEPS, SWEEPS, TOLERANCE, prune_and_place
 from arborspark.functions.topology import Tree
 from arborspark.storage import once, small, written
 
@@ -171,6 +171,34 @@ def _next(seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.select(*keys, "x", "low", "high", F.array(new, *inside).alias("points"), F.coalesce(flat_here | nothing_left | still | gone, F.lit(False)).alias("fine"))
 
 
+# -- moves ------------------------------------------------------------------------
+MOVE = ("msa_id", "pu", "pv", "near", "far", "distance")
+
+
+def spr_sums(parts: DataFrame, tree: Tree, taxa: Sequence[str], model: Model, radius: int = 10) -> DataFrame:
+    """(msa_id, pu, pv, near, far, distance, ll): every SPR move at the tree's own lengths.
+
+    A move's likelihood is a sum over patterns, so each block scores all moves for its own
+    patterns, from directional messages it computes once a pruned subtree, and the sums
+    of a move meet. No task holds an alignment."""
+
+    def work(r: dict) -> list[tuple]:
+        masks, w = dict(zip(taxa, r["masks"].reshape(r["n"], -1).T, strict=True)), r["weights"]
+        make = lambda t: Scorer(t, masks, w, model)
+        return [(r["msa_id"], u, v, x, y, d, ll) for u, v in tree.spr_points() for ll, x, y, d, _ in prune_and_place(tree, make, u, v, radius=radius)]
+
+    columns = "pu integer, pv integer, near integer, far integer, distance integer, part double"
+    found = by_row(parts, work, _schema(parts, ["msa_id"], columns), ["masks", "weights"])
+    return found.groupBy(*MOVE).agg(F.sum("part").alias("ll"))
+
+
+def best_moves(moves: DataFrame, k: int) -> DataFrame:
+    """The k best moves of each alignment, ties by the move. The window's limit keeps the k
+    best of every task before they meet, so a heap merges without holding all moves."""
+    order = Window.partitionBy("msa_id").orderBy(F.desc("ll"), "pu", "pv", "near", "far")
+    return moves.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 # -- the sweep of a merge ---------------------------------------------------------
 PAIR = ("msa_id", "a", "b")
 

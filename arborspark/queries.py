@@ -637,6 +637,42 @@ def spr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPR_TOPK_SQL = "select msa_id, unnest(range(1, 6))::int as place, true as agree from (select distinct floor(l_suppkey / 8)::bigint as msa_id from lineitem) x"
 
 
+def spr_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihoods of the five best SPR moves within radius 10, summed over blocks."""
+    parts = blocks.blocks(columns(spark, sf_dir), 32)
+    best = blocks.best_moves(blocks.spr_sums(parts, P.heap_tree(), TAXA, models.jukes_cantor(4)), 5)
+    return best.select("msa_id", F.col("place").cast("long").alias("place"), F.round("ll", 5).alias("ll"))
+
+
+def _spr_blocks_sql(radius: int = 10) -> str:
+    """Every move's whole tree, scored by pruning from the leaves up: a row a node and
+    pattern, with a column a state; nodes come in order of height."""
+    tree, rows, top = P.heap_tree(), [], 0
+    moves = [(u, v, x, y) for u, v in tree.spr_points() for x, y, _ in tree.spr_targets(u, v, radius)]
+    for number, move in enumerate(moves):
+        t = tree.spr(*move)
+        root = min(x for x in t.adj if x not in t.names)
+        height = {}
+        for u, p in t.postorder(root):
+            height[u] = max([height[w] + 1 for w in t.adj[u] if w != p], default=0)
+            rows.append(f"({number}, {u}, {'null' if p is None else p}, {0.0 if p is None else t.adj[u][p]!r}::double, {int(t.names[u][1:]) if u in t.names else 'null'}, {height[u]})")
+        top = max(top, height[root])
+    moved = ", ".join(f"(1 - exp(-4 * bl / 3)) / 4 * (v0 + v1 + v2 + v3) + exp(-4 * bl / 3) * v{s} as v{s}" for s in range(4))
+    tips = ", ".join(f"case when ts[taxon + 1] is null or ts[taxon + 1] = {s} then 1e0 else 0e0 end as v{s}" for s in range(4))
+    times = ", ".join(f"product(c.v{s}) as v{s}" for s in range(4))
+    parts = [f"c0 as (select msa_id, pid, move, parent, {moved} from (select msa_id, pid, move, parent, bl, {tips} from t join p on height = 0))"]
+    for h in range(1, top + 1):
+        parts.append(f"m{h} as (select msa_id, pid, t.move, t.parent, t.bl, {times} from t join c{h - 1} c on t.height = {h} and c.move = t.move and c.parent = t.node group by all)")
+        parts.append(f"c{h} as (select * from c{h - 1} union all select msa_id, pid, move, parent, {moved} from m{h})")
+    root = f"select * from c{top} where parent is null"
+    return f"""{P.duckdb(P.pattern_ctes())},
+p as (select msa_id, row_number() over () as pid, weight, [{", ".join(f"t{i}" for i in range(8))}] as ts from pats),
+t(move, node, parent, bl, taxon, height) as (values {", ".join(rows)}),
+{", ".join(parts)},
+l as (select r.msa_id, move, sum(weight * ln((v0 + v1 + v2 + v3) / 4)) as ll from ({root}) r join p using (pid) group by 1, 2)
+select msa_id, place, round(ll, 5) as ll from (select *, row_number() over (partition by msa_id order by ll desc) as place from l) x where place <= 5"""
+
+
 # -- corpus ----------------------------------------------------------------------
 def corpus_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -767,13 +803,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES |= {n: (lambda spark, sf_dir, text=text: P.run(spark, sf_dir, text)) for n, text in PORTABLE.items()}
-QUERIES |= {f.__name__: f for f in (tree_prune, tree_postorder_depth, rf_distance, rf_many, edge_windows, spr_candidates)}
+QUERIES |= {f.__name__: f for f in (tree_prune, tree_postorder_depth, rf_distance, rf_many, edge_windows, spr_candidates, spr_topk_blocks)}
 QUERIES |= {n: partial(_optimised, m) for n, m in (("full_blo_fast", "fast"), ("full_blo_thorough", "thorough"), ("triplet_opt", "triplet"))}
 QUERIES |= {"merge_checked": partial(_checked, Options()), "merge_full_blo": partial(_checked, Options(full_blo="fast"))}
 
 SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
 SQL |= PATTERN_SQL | CORPUS_SQL
 SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL, "trees_edges": TREES_EDGES_SQL, "trees_splits": TREES_SPLITS_SQL, "trees_pruned": TREES_PRUNED_SQL}
-SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
+SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "spr_topk_blocks": _spr_blocks_sql(), "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
 SQL |= {n: OPTIMISED_SQL for n in ("full_blo_fast", "full_blo_thorough", "triplet_opt", "five_blo")}
 SQL |= {"jtt_pmatrix": P_SQL.format(spectral=JTT_SPECTRAL), "gtr_pmatrix": P_SQL.format(spectral=GTR_SPECTRAL)}
