@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions import alphabet
+from arborspark.storage import once
+
+from .corpus import placed
 
 
 def types(seqs: DataFrame) -> DataFrame:
@@ -48,6 +51,32 @@ def patterns(cols: DataFrame) -> DataFrame:
     return p.select("msa_id", number.alias("pattern_id"), "weight", "first_site", "masks")
 
 
+def wide_patterns(cells: DataFrame, gap: int) -> tuple[DataFrame, DataFrame]:
+    """(patterns (msa_id, pattern_id, weight, first_site), their cells (msa_id, pattern_id, ord,
+    mask)) of cells (msa_id, ord, site, mask), for alignments of any number of taxa: no row
+    holds a column, and no task sorts an alignment.
+
+    A column is known by 128 bits, the exclusive or of its cells' hashes, which add up over
+    tasks that see parts of it. Each taxon then says whether all columns of equal bits
+    agree on it; if some don't, that is an error. Gaps are cells like absent ones. Numbers
+    are places in a range partitioning, counted from the alignment's first.
+    """
+    solid = cells.where(F.col("mask") != gap)
+    bits = [F.bit_xor(F.xxhash64("ord", "mask", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    # a column of gaps alone has cells too, and its bits are 0
+    every = cells.select("msa_id", "site").distinct()
+    known = once(every.join(solid.groupBy("msa_id", "site").agg(*bits), ["msa_id", "site"], "left").na.fill(0, ["h0", "h1"]))
+    pats = known.groupBy("msa_id", "h0", "h1").agg(F.count(F.lit(1)).alias("weight"), F.min("site").alias("first_site"))
+    numbered = placed(pats, [F.col("msa_id"), F.col("first_site")])
+    starts = numbered.groupBy("msa_id").agg(F.min("place").alias("start"))
+    numbered = once(numbered.join(starts, "msa_id").withColumn("pattern_id", F.col("place") - F.col("start")))
+    of = known.join(numbered.select("msa_id", "h0", "h1", "pattern_id", "weight"), ["msa_id", "h0", "h1"])
+    same = solid.join(of, ["msa_id", "site"]).groupBy("msa_id", "pattern_id", "ord").agg(F.min("mask").alias("mask"), F.max("mask").alias("other"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
+    agree = (F.col("mask") == F.col("other")) & (F.col("n") == F.col("weight"))
+    mask = F.when(agree, F.col("mask")).otherwise(F.raise_error(F.lit("two columns of one alignment have equal hashes")).cast("int"))
+    return numbered.select("msa_id", "pattern_id", "weight", "first_site"), same.select("msa_id", "pattern_id", "ord", mask.alias("mask"))
+
+
 def determined(pats: DataFrame, k: int) -> DataFrame:
     """Opt-in: without columns in which every taxon allows every state."""
     return pats.where(F.exists("masks", lambda m: m.bitwiseAND(F.lit((1 << k) - 1)) != (1 << k) - 1))

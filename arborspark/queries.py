@@ -68,6 +68,13 @@ def msa_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns(spark, sf_dir, site="day", block=4).select("msa_id", F.col("pattern_id").cast("long").alias("pattern_id"), "weight", "first_site", _row())
 
 
+def msa_patterns_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patterns of msa_patterns cell by cell, found without a column in any row."""
+    d = cells(spark, sf_dir, block=4, site="day").withColumn("mask", F.pow(F.lit(2), F.col("st")).cast("int"))
+    pats, own = alignment.wide_patterns(d, 31)
+    return pats.join(own, ["msa_id", "pattern_id"]).select("msa_id", "pattern_id", "weight", "first_site", "ord", "mask")
+
+
 def msa_informative(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = patterns(spark, sf_dir, site="day")
     keep = alignment.informative(4)
@@ -759,6 +766,10 @@ PATTERN_SQL = {
     "msa_encode": "select floor(l_suppkey / 8)::bigint as msa_id, (l_suppkey % 8)::int as ord, (year(l_shipdate) * 12 + month(l_shipdate))::bigint as site, (1 << (sum(l_quantity)::bigint % 4))::int as mask from lineitem group by 1, 2, 3",
     "msa_detect_type": "select p_brand as msa_id, case when bool_or(regexp_matches(p_type, '(?i)[EFIJLOPQZX*]')) then 'AA' else 'DNA' end as seq_type from part group by 1",
     "msa_patterns": "with " + mask_sql(4, "day") + " select msa_id, row_number() over (partition by msa_id order by first_site) - 1 as pattern_id, weight, first_site, array_to_string(masks, ',') as masks from pats",
+    "msa_patterns_wide": "with " + mask_sql(4, "day") + """,
+n as (select msa_id, row_number() over (partition by msa_id order by first_site) - 1 as pattern_id, weight, first_site, masks from pats),
+e as (select msa_id, pattern_id, weight, first_site, unnest(range(0, 4))::int as ord, unnest(masks) as mask from n)
+select * from e where mask <> 31""",
     "msa_informative": informative_sql(8, "day"),
     "msa_fitch_offset": fitch_sql(4, "day"),
     "msa_slice": "with " + mask_sql(8, "month") + " select msa_id, first_site, weight, array_to_string([masks[7], masks[1], masks[4]], ',') as masks from pats",
@@ -797,7 +808,7 @@ PORTABLE = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        merge_flagship, merge_blocks, branch_opt_blocks, score_levels, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
+        merge_flagship, merge_blocks, branch_opt_blocks, score_levels, msa_patterns_wide, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
         jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, corpus_validate, trees_edges, trees_splits, trees_pruned, spr_topk,
         corpus_dedup_first, corpus_status_counts, corpus_percentiles, corpus_shard, corpus_resume, corpus_topn, corpus_stem_join, corpus_ratios, corpus_crosscheck, external_log,
     )

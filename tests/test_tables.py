@@ -216,3 +216,18 @@ def test_best_moves_stay_in_a_heap(spark):
     assert rows(search.spr_scores(*args, keep=4)) == rows(search.spr_scores(*args))
     some = args[1].spr_points()[0]
     assert {(r["pu"], r["pv"]) for r in search.spr_scores(*args, only_subtrees={some}).collect()} == {some}
+
+
+def test_wide_alignments(spark):
+    """As many taxa as need several tasks, with gaps as cells and as none, and columns of gaps."""
+    rng, taxa = random.Random(4), 500
+    kinds = [[rng.choice([1, 2, 4, 8, 31]) for _ in range(taxa)] for _ in range(6)] + [[31] * taxa]
+    order = [rng.randrange(7) for _ in range(40)]
+    rows = [(1, t, s, kinds[k][t]) for s, k in enumerate(order) for t in range(taxa) if kinds[k][t] != 31 or t % 2 or k == 6] + [(2, 0, 7, 1)]
+    pats, cells = alignment.wide_patterns(spark.createDataFrame(rows, "msa_id long, ord int, site long, mask int").repartition(6), 31)
+    first = {k: order.index(k) for k in set(order)}
+    want = [(first[k], order.count(k)) for k in sorted(first, key=first.get)]
+    assert [(r["first_site"], r["weight"]) for r in pats.where("msa_id = 1").orderBy("pattern_id").collect()] == want
+    assert [r["pattern_id"] for r in pats.orderBy("msa_id", "pattern_id").collect()] == [*range(len(want)), 0]
+    got = {(r["pattern_id"], r["ord"]): r["mask"] for r in cells.where("msa_id = 1").collect()}
+    assert got == {(i, t): kinds[order[f]][t] for i, (f, _) in enumerate(want) for t in range(taxa) if kinds[order[f]][t] != 31}
