@@ -20,7 +20,7 @@ from arborspark.functions.merging import Options
 from arborspark.functions.optimize import LEAST, MOST, all_branches, five_branches, newton
 from arborspark.operators import alignment, blocks, corpus, forest, levels, likelihood, merge, search, trees, validation
 from arborspark.plans import portable as P
-from arborspark.sources import fasta, newick
+from arborspark.sources import fasta, newick, results
 from arborspark.storage import once, shared_folder
 
 FLAGSHIP = "merge_flagship"
@@ -75,6 +75,44 @@ def msa_patterns_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pats.join(own, ["msa_id", "pattern_id"]).select("msa_id", "pattern_id", "weight", "first_site", "ord", "mask")
 
 
+def msa_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of FASTA files, one a brand (its parts are the taxa), written and read again:
+    types found, letters encoded, columns collapsed, informative ones kept."""
+    part = table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 2).cast("int").alias("brand"), "p_partkey", "p_type")
+    dna = F.translate("p_type", " ABCDEFGHIJKLMNOPQRSTUVWXYZ", "-ACGTACGTACGTACGTACGTACGTAC")
+    seq = F.rpad(F.when(F.col("brand") % 2 == 0, dna).otherwise(F.translate("p_type", " ", "-")), 26, "-")
+    folder = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    lines = part.select("brand", F.concat(F.format_string(">%09d of brand\n", "p_partkey"), F.substr(seq, F.lit(1), F.lit(13)), F.lit("\n"), F.substr(seq, F.lit(14))).alias("value"), "p_partkey")
+    lines.repartition("brand").sortWithinPartitions("brand", "p_partkey").select("brand", "value").write.partitionBy("brand").text(folder)
+    seqs = fasta.checked(fasta.read(spark, f"{folder}/*"))
+    pats, kinds = alignment.from_raw(seqs, parsimony=True)
+    sizes = pats.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n_patterns"), F.sum("weight").alias("n_sites"))
+    brand = F.regexp_extract("msa_id", "brand=([0-9]+)", 1).cast("int").alias("brand")
+    return kinds.join(sizes, "msa_id", "left").select(brand, "seq_type", F.coalesce("n_patterns", F.lit(0)).alias("n_patterns"), F.coalesce("n_sites", F.lit(0)).alias("n_sites"), "parsimony_offset")
+
+
+MSA_FROM_RAW_SQL = """with part_ as (select substr(p_brand, 7, 2)::int as brand, p_partkey, p_type from part),
+seq as (
+  select brand, p_partkey, rpad(case when brand % 2 = 0 then translate(p_type, ' ABCDEFGHIJKLMNOPQRSTUVWXYZ', '-ACGTACGTACGTACGTACGTACGTAC') else replace(p_type, ' ', '-') end, 26, '-') as seq from part_
+), kind as (select brand, case when bool_or(regexp_matches(seq, '[EFIJLOPQZX*]')) then 'AA' else 'DNA' end as seq_type from seq group by 1),
+cell as (
+  select brand, p_partkey, site, case seq_type when 'DNA' then 4 else 20 end as k,
+    case seq_type when 'DNA' then case when c = 'U' then 8 when instr('ACGT', c) > 0 then 1 << (instr('ACGT', c) - 1) else 15 end
+      else case c when 'B' then (1 << 2) | (1 << 11) when 'Z' then (1 << 3) | (1 << 13) when 'J' then (1 << 7) | (1 << 9)
+        else case when instr('ACDEFGHIKLMNPQRSTVWY', c) > 0 then 1 << (instr('ACDEFGHIKLMNPQRSTVWY', c) - 1) else (1 << 20) - 1 end end end as m
+  from (select brand, p_partkey, unnest(range(1, 27)) as site, unnest(string_split(seq, '')) as c from seq) x join kind using (brand)
+), col as (select brand, k, site, list(m::bigint order by p_partkey) as ms from cell group by 1, 2, 3),
+pat as (select brand, k, ms, count(*) as weight, list_filter(ms, lambda m: bit_count(m) = 1) as sure from col group by 1, 2, 3),
+fit as (
+  select brand, weight, len(sure) = 0 or len(list_filter(range(0, k), lambda s: len(list_filter(sure, lambda m: m = (1::bigint << s))) >= 2)) >= 2 as keeps,
+    -- changes above the twentieth bit, the set seen so far below
+    list_reduce(list_prepend(((1::bigint << k) - 1), ms), lambda a, m: case when a & 1048575 & m = 0 then (a | m) + 1048576 else (a - (a & 1048575)) + (a & 1048575 & m) end) >> 20 as changes
+  from pat
+)
+select brand, seq_type, count(*) filter (keeps) as n_patterns, coalesce(sum(weight) filter (keeps), 0)::bigint as n_sites, coalesce(sum(weight * changes) filter (not keeps), 0)::bigint as parsimony_offset
+from fit join kind using (brand) group by 1, 2"""
+
+
 def msa_informative(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = patterns(spark, sf_dir, site="day")
     keep = alignment.informative(4)
@@ -251,6 +289,18 @@ e as (select taxon, least(near, far) as u, greatest(near, far) as v, min(depth):
 select * from (select *, row_number() over (partition by taxon order by depth, u, v) as place from e) x where place <= 14"""
 
 
+def edge_windows_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen edges nearest to any of the edges of a nation's suppliers."""
+    edges = _heap_edges(spark, sf_dir)
+    supplier = table(spark, sf_dir, "supplier")
+    n = supplier.count()
+    anchors = edges.join(supplier.select((F.col("s_suppkey") + n).alias("v"), F.col("s_nationkey").cast("int").alias("nation")), "v").select("nation", "u", "v")
+    return forest.windows(edges, anchors, ["nation"])
+
+
+EDGE_WINDOWS_SEEDED_SQL = EDGE_WINDOWS_SQL.replace("select v - n as taxon, u, v from edge, n where v >= n", "select s_nationkey::int as nation, u, v from edge, n, supplier where v = s_suppkey + n").replace("taxon, near", "nation, near").replace("select taxon, u, v, 0 from anchor union all select taxon, v, u, 0", "select nation, u, v, 0 from anchor union all select nation, v, u, 0").replace("select w.taxon", "select w.nation").replace("select taxon, least", "select nation, least").replace("partition by taxon", "partition by nation")
+
+
 def spr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every regraft target within radius 10 of every prune point."""
     ways = once(forest.directed(_heap_edges(spark, sf_dir)))
@@ -606,6 +656,19 @@ def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 MERGE_BLOCKS_SQL = "select distinct floor(l_suppkey / 10)::bigint as msa_id, case when floor(l_suppkey / 10)::bigint % 3 = 2 then 9 else 25 end::bigint as n_pairs, true as agree from lineitem"
 
 
+def merge_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of which every fourth has a broken tree and every fourth + 1 an unknown guest: an
+    error stays with its job."""
+    pats = patterns(spark, sf_dir, block=10)
+    jobs = _jobs(pats)
+    jobs = jobs.withColumn("newick_b", F.when(F.col("msa_id") % 4 == 0, F.lit("((s5:0.1,")).otherwise(F.col("newick_b"))).withColumn("interest_a", F.when(F.col("msa_id") % 4 == 1, F.lit("nobody")).otherwise(F.col("interest_a")))
+    out = merge.merge_many(jobs, pats, "JC", "DNA", Options())
+    return out.select("msa_id", "status", F.col("newick").isNotNull().alias("merged"), (F.length("error") > 0).alias("told"))
+
+
+MERGE_ERRORS_SQL = "select m as msa_id, case when m % 4 < 2 then 'error' else 'ok' end as status, m % 4 >= 2 as merged, case when m % 4 < 2 then true end as told from (select distinct floor(l_suppkey / 10)::bigint as m from lineitem) x"
+
+
 def merge_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge with inherited clades for every block of ten suppliers."""
     return _merged(Options(), spark, sf_dir)
@@ -686,6 +749,18 @@ def corpus_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.first_rows(d, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
+def results_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the results of two runs, appended as CSV shards and read again: of an order
+    in both the first shard's row counts."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    for shard, (rows, status) in enumerate(((o.where("o_custkey % 2 = 0"), F.col("o_orderstatus")), (o.where("o_custkey % 3 = 0"), F.lit("again")))):
+        results.append(rows.withColumn("o_orderstatus", status), f"{folder}/shard_{shard}", {"shard": shard})
+    read = results.read_results(spark, f"{folder}/shard_?")
+    first = corpus.first_rows(read, "o_orderkey", ["shard", "line"])
+    return first.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus")
+
+
 def corpus_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     return corpus.counts(table(spark, sf_dir, "orders"), {"ok": s == "F", "errors": s == "P", "dear": F.col("o_totalprice") > 100000}, ["o_orderpriority"])
@@ -789,6 +864,7 @@ CORPUS_SQL = {
     "corpus_dedup_first": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) x where r = 1",
     "corpus_status_counts": "select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as ok, count(*) filter (o_orderstatus = 'P') as errors, count(*) filter (o_totalprice > 100000) as dear from orders group by 1",
     "corpus_percentiles": "select o_orderstatus, count(o_totalprice) as n, round(avg(o_totalprice), 4) as mean, round(median(o_totalprice), 4) as median, round(min(o_totalprice), 4) as least, round(max(o_totalprice), 4) as most, round(quantile_cont(o_totalprice, 0.1), 4) as p10, round(quantile_cont(o_totalprice, 0.9), 4) as p90 from orders group by 1",
+    "results_first_rows": "select o_orderkey::bigint as o_orderkey, o_custkey::bigint as o_custkey, case when o_custkey % 2 = 0 then o_orderstatus else 'again' end as o_orderstatus from orders where o_custkey % 2 = 0 or o_custkey % 3 = 0",
     "corpus_shard": "select o_orderkey, o_orderstatus, o_totalprice, (row_number() over (order by o_orderkey) - 1) % 7 as shard from orders",
     "corpus_resume": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')",
     "corpus_topn": "select o_orderkey, o_totalprice from orders where o_orderstatus = 'P' order by o_totalprice desc, o_orderkey limit 20",
@@ -808,7 +884,7 @@ PORTABLE = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        merge_flagship, merge_blocks, branch_opt_blocks, score_levels, msa_patterns_wide, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
+        merge_flagship, merge_blocks, branch_opt_blocks, score_levels, msa_patterns_wide, msa_from_raw, merge_errors, results_first_rows, edge_windows_seeded, msa_encode, msa_detect_type, msa_patterns, msa_informative, msa_fitch_offset, msa_slice, msa_union, msa_summary, fasta_roundtrip, newick_edges,
         jc_pmatrix, jc_derivatives, jtt_pmatrix, gtr_pmatrix, tip_clv, score_jc_blocks, score_many_jtt, branch_opt_pair, five_blo, corpus_validate, trees_edges, trees_splits, trees_pruned, spr_topk,
         corpus_dedup_first, corpus_status_counts, corpus_percentiles, corpus_shard, corpus_resume, corpus_topn, corpus_stem_join, corpus_ratios, corpus_crosscheck, external_log,
     )
@@ -821,6 +897,6 @@ QUERIES |= {"merge_checked": partial(_checked, Options()), "merge_full_blo": par
 SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
 SQL |= PATTERN_SQL | CORPUS_SQL
 SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL, "trees_edges": TREES_EDGES_SQL, "trees_splits": TREES_SPLITS_SQL, "trees_pruned": TREES_PRUNED_SQL}
-SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "spr_topk_blocks": _spr_blocks_sql(), "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
+SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "spr_topk_blocks": _spr_blocks_sql(), "msa_from_raw": MSA_FROM_RAW_SQL, "merge_errors": MERGE_ERRORS_SQL, "edge_windows_seeded": EDGE_WINDOWS_SEEDED_SQL, "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
 SQL |= {n: OPTIMISED_SQL for n in ("full_blo_fast", "full_blo_thorough", "triplet_opt", "five_blo")}
 SQL |= {"jtt_pmatrix": P_SQL.format(spectral=JTT_SPECTRAL), "gtr_pmatrix": P_SQL.format(spectral=GTR_SPECTRAL)}
