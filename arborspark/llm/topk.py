@@ -2,7 +2,9 @@
 
 Candidates are cut into shards of bounded size and queries into blocks of bounded
 size; every block meets every shard once (a stated query set against all rows, in
-blocks), and each meeting is one task's work. In a shard, each dimension's postings
+blocks). A meeting's shard is read and indexed first, and then its queries pass by one
+after another, so memory is bounded by the shard and an index serves a whole block.
+In a shard, each dimension's postings
 (vector, integer component) are ordered by magnitude and cut into segments of one
 quantised impact (its power-of-two level). A query takes the segments of all its
 dimensions by descending |query component| * segment bound and adds the exact
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import blocks_for, col
 
 SHARD = 8192
-QUERIES = 1024
+QUERIES = 1 << 16
 #: Share of a shard that may be left for exact rescoring.
 RESCORE = 1 / 8
 
@@ -134,43 +136,58 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _meetings(k: int):
-    def solve(ids: list, vectors: list, asks: list) -> list[tuple[int, int, int]]:
-        own = [i for i, a in enumerate(asks) if not a]
-        if not own or len(own) == len(asks):
+class Meeting:
+    """A shard that is read first, and the queries that pass by one after another."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.ids, self.rows = k, [], []
+        self.shard: Shard | None = None
+
+    def add(self, vec_id: int, v: list[int]) -> None:
+        self.ids.append(vec_id)
+        self.rows.append(v)
+
+    def ask(self, vec_id: int, v: list[int]) -> list[tuple[int, int, int]]:
+        if not self.ids:
             return []
-        dims = max(len(v) for v in vectors)
-        m = np.array([v + [0] * (dims - len(v)) for v in vectors], np.int64).reshape(len(vectors), dims)
-        if dims * int(max(-m.min(initial=0), m.max(initial=0))) ** 2 >= 1 << 62:
-            return _unbounded(ids, m, asks, k)
-        shard = Shard(np.array([ids[i] for i in own], np.int64), m[own])
-        return [(ids[i], *hit) for i, a in enumerate(asks) if a for hit in shard.search(ids[i], m[i], k)]
+        if self.shard is None:
+            self.dims = max(map(len, self.rows))
+            m = np.array([x + [0] * (self.dims - len(x)) for x in self.rows], np.int64).reshape(len(self.rows), self.dims)
+            self.rows, self.most = [], max(int(m.max(initial=0)), -int(m.min(initial=0)))
+            self.shard = Shard(np.array(self.ids, np.int64), m)
+        # components beyond the other side's length meet zeros
+        q = np.array((v + [0] * self.dims)[: self.dims], np.int64)
+        if self.dims * self.most * max(int(q.max(initial=0)), -int(q.min(initial=0))) >= 1 << 62:
+            return self._unbounded(vec_id, q)
+        return [(vec_id, *hit) for hit in self.shard.search(vec_id, q, self.k)]
+
+    def _unbounded(self, vec_id: int, q: np.ndarray) -> list[tuple[int, int, int]]:
+        """The same in unbounded integers, where sums may leave 64 bits; all are scored."""
+        scores = self.shard.vectors.astype(object) @ q.astype(object)
+        best = sorted((-int(s), int(i)) for s, i in zip(scores, self.shard.ids, strict=True) if i != vec_id)[: self.k]
+        if any(abs(s) >= 1 << 63 for s, _ in best):
+            raise OverflowError(f"a score of vector {vec_id} does not fit a long")
+        return [(vec_id, i, -s) for s, i in best]
+
+
+def _meetings(k: int):
+    """Rows (met, asks, vec_id, v), sorted: a meeting's shard comes before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [])
+        at, meeting = None, Meeting(k)
         for b in batches:
+            found = []
             for met, asks, i, v in zip(*[b.column(j).to_pylist() for j in range(4)], strict=True):
                 if met != at:
-                    yield _hits(solve(*held))
-                    at, held = met, ([], [], [])
-                for x, y in zip(held, (i, v, asks), strict=True):
-                    x.append(y)
-        yield _hits(solve(*held))
+                    at, meeting = met, Meeting(k)
+                if asks:
+                    found += meeting.ask(i, v)
+                else:
+                    meeting.add(i, v)
+            yield _hits(found)
 
     return run
 
 
-def _unbounded(ids: list, m: np.ndarray, asks: list, k: int) -> list[tuple[int, int, int]]:
-    """The same in unbounded integers, where sums may leave 64 bits; all are scored."""
-    own, out = [i for i, a in enumerate(asks) if not a], []
-    wide = m.astype(object)
-    for i in (i for i, a in enumerate(asks) if a):
-        scored = sorted((-int(wide[j] @ wide[i]), ids[j]) for j in own if ids[j] != ids[i])[:k]
-        if any(abs(s) >= 1 << 63 for s, _ in scored):
-            raise OverflowError(f"a score of vector {ids[i]} does not fit a long")
-        out += [(ids[i], j, -s) for s, j in scored]
-    return out
-
-
 def _hits(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
