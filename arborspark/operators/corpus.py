@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborspark.storage import once
+from arborspark.storage import once, small
 
 
 def placed(items: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -57,12 +57,28 @@ def counts(rows: DataFrame, flags: dict[str, Column], by: Sequence[str] = ()) ->
 
 def summary(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, median, min, max, p10 and p90 of a column, blanks skipped; percentiles
-    interpolate between neighbours."""
+    interpolate between neighbours. A task counts a group's distinct values; ``quantiles``
+    holds no group."""
     v = F.col(value)
     stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most")]
     return rows.groupBy(*by).agg(*stats, F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"))
 
 
+def quantiles(rows: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, p, quantile): exact quantiles of a column, blanks skipped, neighbours interpolated.
+
+    Values get their places in one range partitioning by group and value, and the values at
+    the places around (n - 1) * p are looked up, so a group may be of any size.
+    """
+    d = placed(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")), [*map(F.col, by), F.col("v")])
+    groups = d.groupBy(*by).agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    at = groups.select(*by, "start", "n", F.explode(F.array(*map(F.lit, ps))).alias("p")).withColumn("rank", (F.col("n") - 1) * F.col("p"))
+    ends = F.array(F.struct(F.floor("rank").alias("k"), (F.floor("rank") + 1 - F.col("rank")).alias("share")), F.struct((F.floor("rank") + 1).alias("k"), (F.col("rank") - F.floor("rank")).alias("share")))
+    wanted = once(at.select(*by, "p", "start", F.explode(ends).alias("e")).where("e.share > 0").select(*by, "p", (F.col("start") + F.col("e.k")).alias("place"), "e.share"))
+    found = d.select("place", "v").join(small(wanted), "place")
+    return found.groupBy(*by, "p").agg(F.sum(F.col("share") * F.col("v")).alias("quantile"))
+
+
 def ratio(a: str, b: str) -> Column:
     """a / b, null where b is zero or missing."""
     return F.try_divide(F.col(a), F.col(b))

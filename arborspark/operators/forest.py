@@ -14,13 +14,15 @@ members is ever made.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.storage import once, small
 
+from .corpus import placed
+
 HASHES = ("h1", "h2")
 
 
@@ -40,6 +42,20 @@ def below(nodes: DataFrame, sums: Sequence[str] = (), xors: Sequence[str] = (),
     return d.select(*by, "node", *columns)
 
 
+def along(nodes: DataFrame, values: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """nodes plus, for each of ``values`` (name -> column of nodes), its sum over the node and
+    all nodes above it: each round adds what lies above a node's pointer and moves the
+    pointer as far again."""
+    names = list(values)
+    d = once(nodes.select(*by, "node", F.col("parent").alias("up"), *[c.alias(n) for n, c in values.items()]))
+    while not (open_ := d.where("up is not null")).isEmpty():
+        above = d.select(*by, F.col("node").alias("up"), F.col("up").alias("up2"), *[F.col(n).alias(f"_{n}") for n in names])
+        # nodes that are done take no part in the join
+        moved = open_.join(above, [*by, "up"]).select(*by, "node", F.col("up2").alias("up"), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
+        d = once(moved.unionByName(d.where("up is null")))
+    return nodes.join(d.select(*by, "node", *names), [*by, "node"])
+
+
 def hashed(taxon: Column) -> list[Column]:
     """Two hashes of a leaf's name; null for inner nodes hashes to 0."""
     return [F.when(taxon.isNotNull(), F.xxhash64(taxon, F.lit(i))).otherwise(F.lit(0)).cast("long").alias(h) for i, h in enumerate(HASHES)]
@@ -70,6 +86,29 @@ def rf(nodes: DataFrame, reference: Column, by: str = "tree") -> DataFrame:
     return every.crossJoin(F.broadcast(n)).select(by, "n_splits", "n_common", (F.col("n_splits") + F.col("n_reference") - 2 * F.col("n_common")).alias("rf"))
 
 
+def divided(nodes: DataFrame, fa: float = 0.45, fb: float = 0.45, seed: int = 0) -> DataFrame:
+    """(taxon, side, inherited) of one tree: the edge that divides the taxa nearest to fa : fb
+    (the first by its node) makes sides A, below it, and B; of each side a seeded draw is
+    inherited, as many as its share of the rest, leaving two real taxa or more.
+
+    The draw ranks taxa by a digest in a range partitioning, so no task holds a side.
+    """
+    counts = below(nodes.select("node", "parent", F.when(F.col("taxon").isNotNull(), 1).otherwise(0).cast("long").alias("n")), ["n"])
+    n = counts.agg(F.max("n")).first()[0]
+    if n is None or n < 4:
+        raise ValueError("a tree of four taxa or more is needed")
+    want = fa / (fa + fb) * n
+    best, na = counts.where(F.col("n").between(2, n - 2)).agg(F.min_by(F.struct("node", "n"), F.struct(F.abs(F.col("n") - want), "node")).alias("b")).select("b.*").first()
+    out = max(0, round((1 - fa - fb) * n))
+    share = int(out * na / n + 0.5)
+    first, second = min(share, max(na - 2, 0)), min(out - share, max(n - na - 2, 0))
+    leaves = along(nodes, {"inside": (F.col("node") == best).cast("long")}).where("taxon is not null")
+    sided = leaves.select("taxon", F.when(F.col("inside") > 0, "A").otherwise("B").alias("side"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("taxon").cast("string"))).alias("draw"))
+    # side A's places come first
+    place = F.col("place") - F.when(F.col("side") == "A", 0).otherwise(na)
+    return placed(sided, [F.col("side"), F.col("draw"), F.col("taxon")]).select("taxon", "side", (place < F.when(F.col("side") == "A", first).otherwise(second)).alias("inherited"))
+
+
 def pruned(nodes: DataFrame, keep: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by, u, v, bl): the edges of the trees without the leaves for which ``keep`` fails (a
     condition on nodes' columns). Nodes left with one way down go, and lengths along

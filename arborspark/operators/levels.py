@@ -25,19 +25,14 @@ from arborspark.functions.models import Model
 from arborspark.storage import once, written
 
 from .blocks import BLOCK, _schema, by_row, flat
+from .forest import along
 
 
 def depths(nodes: DataFrame) -> DataFrame:
     """nodes (node, parent, bl, ...) plus depth (long) and dist (sum of lengths), both from
-    the root, by pointer doubling: each round adds what lies above a node's pointer and
-    moves the pointer as far again."""
-    d = once(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.col("bl")).alias("dist")))
-    while not (d.where("up is not null")).isEmpty():
-        above = d.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("dist").alias("further"))
-        # nodes that are done take no part in the join
-        moved = d.where("up is not null").join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("dist") + F.col("further")).alias("dist"))
-        d = once(moved.unionByName(d.where("up is null")))
-    return nodes.join(d.select("node", "depth", "dist"), "node")
+    the root."""
+    inner = F.col("parent").isNotNull()
+    return along(nodes, {"depth": F.when(inner, 1).otherwise(0).cast("long"), "dist": F.when(inner, F.col("bl")).otherwise(0.0)})
 
 
 def tips(cells: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -771,6 +771,28 @@ def corpus_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderstatus", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "least", "most", "p10", "p90")])
 
 
+def corpus_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of prices by status from places in a range partitioning."""
+    out = corpus.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0], ["o_orderstatus"])
+    return out.select("o_orderstatus", "p", F.round("quantile", 4).alias("quantile"))
+
+
+def validate_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all suppliers divided for a validation: sides, and who is inherited."""
+    return forest.divided(_heap(spark, sf_dir))
+
+
+VALIDATE_DRAW_SQL = """with recursive n as (select count(*) as n from supplier),
+node as (select s_suppkey + n as node, s_suppkey as taxon from supplier, n union all select s_suppkey, null from supplier where s_suppkey >= 1),
+above(taxon, a) as (select taxon, node from node where taxon is not null union all select taxon, a // 2 from above where a // 2 >= 1),
+size as (select a, count(*) as k from above group by 1),
+best as (select a, k from size, n where k between 2 and n - 2 order by abs(k - 0.5 * n), a limit 1),
+out as (select n, k, round_even((1 - 0.45::double - 0.45::double) * n, 0)::int as o from n, best),
+part as (select n, k, o, floor(o * k / n::double + 0.5)::int as first from out),
+side as (select s_suppkey as taxon, case when above.taxon is null then 'B' else 'A' end as side, md5('0:' || s_suppkey) as draw from supplier left join above on s_suppkey = above.taxon and above.a = (select a from best))
+select taxon, side, row_number() over (partition by side order by draw, taxon) <= case side when 'A' then least(first, greatest(k - 2, 0)) else least(o - first, greatest(n - k - 2, 0)) end as inherited from side, part"""
+
+
 def corpus_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole rows with their shard, so that wide rows must keep it."""
     d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -864,6 +886,7 @@ CORPUS_SQL = {
     "corpus_dedup_first": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) x where r = 1",
     "corpus_status_counts": "select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as ok, count(*) filter (o_orderstatus = 'P') as errors, count(*) filter (o_totalprice > 100000) as dear from orders group by 1",
     "corpus_percentiles": "select o_orderstatus, count(o_totalprice) as n, round(avg(o_totalprice), 4) as mean, round(median(o_totalprice), 4) as median, round(min(o_totalprice), 4) as least, round(max(o_totalprice), 4) as most, round(quantile_cont(o_totalprice, 0.1), 4) as p10, round(quantile_cont(o_totalprice, 0.9), 4) as p90 from orders group by 1",
+    "corpus_quantiles": " union all ".join(f"select o_orderstatus, {p}::double as p, round(quantile_cont(o_totalprice, {p}), 4) as quantile from orders group by 1" for p in (0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0)),
     "results_first_rows": "select o_orderkey::bigint as o_orderkey, o_custkey::bigint as o_custkey, case when o_custkey % 2 = 0 then o_orderstatus else 'again' end as o_orderstatus from orders where o_custkey % 2 = 0 or o_custkey % 3 = 0",
     "corpus_shard": "select o_orderkey, o_orderstatus, o_totalprice, (row_number() over (order by o_orderkey) - 1) % 7 as shard from orders",
     "corpus_resume": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')",
@@ -890,13 +913,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES |= {n: (lambda spark, sf_dir, text=text: P.run(spark, sf_dir, text)) for n, text in PORTABLE.items()}
-QUERIES |= {f.__name__: f for f in (tree_prune, tree_postorder_depth, rf_distance, rf_many, edge_windows, spr_candidates, spr_topk_blocks)}
+QUERIES |= {f.__name__: f for f in (tree_prune, tree_postorder_depth, rf_distance, rf_many, edge_windows, spr_candidates, spr_topk_blocks, corpus_quantiles, validate_draw)}
 QUERIES |= {n: partial(_optimised, m) for n, m in (("full_blo_fast", "fast"), ("full_blo_thorough", "thorough"), ("triplet_opt", "triplet"))}
 QUERIES |= {"merge_checked": partial(_checked, Options()), "merge_full_blo": partial(_checked, Options(full_blo="fast"))}
 
 SQL: dict[str, str] = {n: P.duckdb(text) for n, text in PORTABLE.items()}
 SQL |= PATTERN_SQL | CORPUS_SQL
 SQL |= {"newick_edges": NEWICK_SQL, "jc_pmatrix": JC_P_SQL, "jc_derivatives": JC_D_SQL, "score_jc_blocks": SCORE_BLOCKS_SQL, "branch_opt_pair": BRANCH_SQL, "trees_edges": TREES_EDGES_SQL, "trees_splits": TREES_SPLITS_SQL, "trees_pruned": TREES_PRUNED_SQL}
-SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "spr_topk_blocks": _spr_blocks_sql(), "msa_from_raw": MSA_FROM_RAW_SQL, "merge_errors": MERGE_ERRORS_SQL, "edge_windows_seeded": EDGE_WINDOWS_SEEDED_SQL, "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
+SQL |= {"merge_checked": CHECKED_SQL, "merge_full_blo": CHECKED_SQL, "corpus_validate": VALIDATE_SQL, "spr_topk": SPR_TOPK_SQL, "score_many_jtt": _jtt_sql(), "spr_topk_blocks": _spr_blocks_sql(), "msa_from_raw": MSA_FROM_RAW_SQL, "merge_errors": MERGE_ERRORS_SQL, "edge_windows_seeded": EDGE_WINDOWS_SEEDED_SQL, "validate_draw": VALIDATE_DRAW_SQL, "rf_many": RF_MANY_SQL, "edge_windows": EDGE_WINDOWS_SQL, "merge_blocks": MERGE_BLOCKS_SQL, "branch_opt_blocks": _branch_blocks_sql(), "score_levels": _levels_sql()}
 SQL |= {n: OPTIMISED_SQL for n in ("full_blo_fast", "full_blo_thorough", "triplet_opt", "five_blo")}
 SQL |= {"jtt_pmatrix": P_SQL.format(spectral=JTT_SPECTRAL), "gtr_pmatrix": P_SQL.format(spectral=GTR_SPECTRAL)}

@@ -93,3 +93,16 @@ def test_windows_of_many_anchors(spark, shape):
         depth = far([a[1:] for a in anchors if a[0] == job])
         want = sorted((k, *sorted(e)) for e, k in depth.items())[:14]
         assert [(r["depth"], r["u"], r["v"]) for r in sorted(got[job], key=lambda r: r["place"])] == want
+
+
+def test_divided(spark):
+    tree = random_tree([f"t{i:02d}" for i in range(21)], random.Random(12))
+    nodes = table(spark, tree)
+    got = forest.divided(nodes, 0.3, 0.4, 5).collect()
+    a = {r["taxon"] for r in got if r["side"] == "A"}
+    sides = [s if s in tree.splits() else frozenset(set(tree.names.values()) - s) for s in [frozenset(a)]]
+    assert len(got) == 21 and sides[0] in tree.splits()
+    assert sum(r["inherited"] for r in got) == 6 and all(sum(not r["inherited"] for r in got if r["side"] == s) >= 2 for s in "AB")
+    assert got == forest.divided(nodes, 0.3, 0.4, 5).collect() and got != forest.divided(nodes, 0.3, 0.4, 6).collect()
+    with pytest.raises(ValueError, match="four"):
+        forest.divided(table(spark, random_tree(["a", "b", "c"], random.Random(1))))

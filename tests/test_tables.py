@@ -231,3 +231,21 @@ def test_wide_alignments(spark):
     assert [r["pattern_id"] for r in pats.orderBy("msa_id", "pattern_id").collect()] == [*range(len(want)), 0]
     got = {(r["pattern_id"], r["ord"]): r["mask"] for r in cells.where("msa_id = 1").collect()}
     assert got == {(i, t): kinds[order[f]][t] for i, (f, _) in enumerate(want) for t in range(taxa) if kinds[order[f]][t] != 31}
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, rng.gauss(0, 5), 1.0, 2.0])) for g in ("a", "b", None) for _ in range(60)] + [("one", 4.0), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    ps = [0.0, 0.1, 0.37, 0.5, 1.0]
+    got = {(r["g"], r["p"]): r["quantile"] for r in corpus.quantiles(d, "v", ps, ["g"]).collect()}
+    for g in ("a", "b", None, "one"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        for p in ps:
+            k = (len(own) - 1) * p
+            low = int(k)
+            want = own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (k - low)
+            assert got.pop((g, p)) == pytest.approx(want)
+    assert not got
+    assert corpus.quantiles(d, "v", [0.5]).first()["quantile"] == pytest.approx(d.selectExpr("percentile(v, 0.5) p").first()["p"])
+    assert corpus.quantiles(d.where("false"), "v", [0.5]).count() == 0
