@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def _texts(nodes: DataFrame, docs: DataFrame, every: DataFrame) -> DataFrame:
     """(whole, fingerprint, text) of the nodes that share a candidate component; only
     their texts move, once."""
-    shared = every.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole")
+    # a table of its own, so that a component with many members is joined where they lie
+    shared = if_small(cut(every.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole")))
     of = nodes.join(every.join(shared, "whole"), "fingerprint").select("whole", "fingerprint", F.col("of.k1").alias("k1"), F.col("of.k2").alias("k2"))
     return cut(docs.select("k1", "k2", "text").join(if_small(cut(of)), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("whole", "fingerprint", "text"))
 
