@@ -97,7 +97,7 @@ def windows(trees: DataFrame, keep: list[str], leaf: str = "leaf", n: int = 14)
 
 
 def neighbours(trees: DataFrame, keep: list[str], radius: int = 1) -> DataFrame:
-    """(keep, move, newick): all NNI neighbours, or all SPR moves up to a radius."""
+    """(keep, move, moved): the Newick text after each move, for all NNI neighbours, or all SPR moves up to a radius."""
     def work(row: dict) -> list[tuple]:
         t = newick.parse(row["newick"])
         if radius <= 1:

@@ -16,8 +16,8 @@ from arborspark.storage import once
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     tables = {}
     if NODES in text:
-        # recursion reads the nodes once a level: they are computed once and kept as
-        # checkpoints, which go with the frames that use them
+        # recursion reads the nodes once a level: they are computed once and kept in the
+        # checkpoint folder, where they stay as long as its owner keeps it
         suppliers = once(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"))
         up = once(spark.sql("with " + NODES.rstrip(",") + " select * from up", supplier=suppliers))
         tables = {"supplier": suppliers, "tree_up": up}
