@@ -427,36 +427,39 @@ def test_op7_blocks_add_up(monkeypatch):
     assert m.bits(data) == pytest.approx(whole)
 
 
-@pytest.mark.parametrize("group", [100, 3])
-def test_op8_against_all_pairs(spark, monkeypatch, group):
+@pytest.mark.parametrize(("edits", "group"), [(1, 100), (1, 3), (2, 100), (2, 2), (3, 100)])
+def test_op8_against_all_pairs(spark, monkeypatch, edits, group):
     monkeypatch.setattr(lines, "GROUP", group)
-    rng = random.Random(group)
+    rng = random.Random(10 * edits + group)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(20, 30))) for _ in range(12)]
     rows = []
     for i in range(70):
         own = []
         for _ in range(rng.randint(0, 4)):
             x = list(rng.choice(base))
-            for _ in range(rng.randint(0, 2)):
+            for _ in range(rng.randint(0, edits + 1)):
                 k = rng.randrange(len(x))
                 x[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "é", "q"])
             own.append("".join(x))
         rows.append((i, "\n".join(own)))
-    got = {r["doc_id"]: r["dropped"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-
-    def one_edit(a, b):
-        a, b = sorted((a, b), key=len)
-        if len(b) - len(a) > 1:
-            return False
-        k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-        return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped"] for r in lines.dedup(docs, edits=edits).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
 
     first = {}
     for i, t in rows:
         for k, line in enumerate(t.split("\n")):
             if len(line) >= lines.MIN_CHARS:
                 first.setdefault(line, (i, k))
-    near = {x for x in first for y in first if x != y and first[y] < first[x] and one_edit(x, y)}
+    near = {x for x in first for y in first if x != y and first[y] < first[x] and distance(x, y) <= edits}
     for i, t in rows:
         want = [k for k, line in enumerate(t.split("\n")) if line in first and (line in near or (i, k) != first[line])]
         assert got[i] == want, t
