@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arborspark.functions.topology import Tree
 from arborspark.storage import once
@@ -22,11 +23,50 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         up = once(spark.sql("with " + NODES.rstrip(",") + " select * from up", supplier=suppliers))
         tables = {"supplier": suppliers, "tree_up": up}
         text = text.replace(NODES, "n as (select cast(count(*) as bigint) as n from {supplier}),\nup as (select * from {tree_up}),")
+        # a recursion of Spark's ends with an error at a million rows, so its rows are made here
+        if ABOVE in text:
+            tables["tree_above"] = ancestors(up)
+            text = text.replace(ABOVE, ",\nabove as (select * from {tree_above})")
+        for walk, rows in ((REACH, "reach as (select * from {tree_walk})"), (WALK, "walk as (select * from {tree_walk} where prev > 0)")):
+            if walk in text:
+                tables["tree_walk"] = walked(up)
+                text = text.replace(walk, rows)
     names = set(re.findall(r"\{(\w+)\}", text)) - set(tables)
     tables |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
     return spark.sql(re.sub(r"@list\((\w+)\)", r"listagg(cast(\1 as string), ',') within group (order by \1)", text), **tables)
 
 
+def ancestors(up: DataFrame) -> DataFrame:
+    """(node, a, depth, dist): the rows of ``ABOVE``. After round i a node has what lies less
+    than 2^i above it; a step of 2^i from each of these gives the next rows, which are
+    kept, so the rounds are the logarithm of the height."""
+    found = up.select("node", F.col("node").alias("a"), F.lit(0).alias("depth"), F.lit(0.0).alias("dist"))
+    step = once(up.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("over"), F.col("bl").alias("far")))
+    length = 1
+    while not step.isEmpty():
+        further = found.join(step, "a").select("node", F.col("over").alias("a"), (F.col("depth") + length).alias("depth"), (F.col("dist") + F.col("far")).alias("dist"))
+        found = found.unionByName(once(further))
+        beyond = step.select(F.col("a").alias("over"), F.col("over").alias("over2"), F.col("far").alias("far2"))
+        step = once(step.join(beyond, "over").select("a", F.col("over2").alias("over"), (F.col("far") + F.col("far2")).alias("far")))
+        length *= 2
+    return found
+
+
+def walked(up: DataFrame) -> DataFrame:
+    """(prev, node, first_v): every node as a walk from node 2 reaches it, with the node
+    before it and the first one of the walk; node 2 itself has prev 0 and no first. A level
+    a round."""
+    edges = up.where("parent > 1").select(F.col("parent").alias("u"), F.col("node").alias("v")).unionByName(up.where("node = 3").select(F.lit(2).cast("long").alias("u"), F.col("node").alias("v")))
+    ways = once(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    at = once(up.where("node = 2").select(F.lit(0).cast("long").alias("prev"), "node", F.lit(None).cast("long").alias("first_v")))
+    found = at
+    while not at.isEmpty():
+        on = at.join(ways, F.col("node") == F.col("u")).where("v <> prev")
+        at = once(on.select(F.col("node").alias("prev"), F.col("v").alias("node"), F.coalesce("first_v", "v").alias("first_v")))
+        found = found.unionByName(at)
+    return found
+
+
 def duckdb(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", re.sub(r"@list\((\w+)\)", r"string_agg(cast(\1 as varchar), ',' order by \1)", text))
 
@@ -54,15 +94,22 @@ above(node, a, depth, dist) as (
   select above.node, up.parent, above.depth + 1, above.dist + up.bl from above join up on above.a = up.node
 )"""
 
-DEGREE = TREE + """
-select u as node, count(*) as degree from directed group by u"""
-
-VALIDATE = TREE + """,
-reach(prev, node) as (
+#: Every node, walked from node 2.
+REACH = """reach(prev, node) as (
   select cast(0 as bigint), cast(2 as bigint)
   union all
   select reach.node, d.v from reach join directed d on d.u = reach.node and d.v <> reach.prev
-),
+)"""
+WALK = """walk(prev, node, first_v) as (
+  select cast(2 as bigint), v, v from directed where u = 2
+  union all
+  select walk.node, d.v, walk.first_v from walk join directed d on d.u = walk.node and d.v <> walk.prev
+)"""
+
+DEGREE = TREE + """
+select u as node, count(*) as degree from directed group by u"""
+
+VALIDATE = TREE + ",\n" + REACH + """,
 deg as (select u as node, count(*) as k from directed group by u)
 select (select count(*) from up) as nodes, (select count(*) from edge) as edges,
   cast(sum(case when up.taxon is not null and k <> 1 then 1 else 0 end) as bigint) as bad_leaves,
@@ -83,12 +130,7 @@ path as (
 )
 select taxon, min(hops) as hops, round(min(dist), 6) as dist from path group by taxon"""
 
-PATH_EDGE = TREE + """,
-walk(prev, node, first_v) as (
-  select cast(2 as bigint), v, v from directed where u = 2
-  union all
-  select walk.node, d.v, walk.first_v from walk join directed d on d.u = walk.node and d.v <> walk.prev
-)
+PATH_EDGE = TREE + ",\n" + WALK + """
 select cast(2 as bigint) as from_node, node as to_node, first_v from walk"""
 
 #: What is left of the tree without every third supplier.
