@@ -20,6 +20,10 @@ from arborspark.functions.topology import rf
 from arborspark.sources import newick
 
 
+#: Results that make a batch.
+ROWS = 10_000
+
+
 def per_row(rows: DataFrame, columns: str, work: Callable[[dict], list[tuple]], keep: list[str]) -> DataFrame:
     """``work(row)`` gives result tuples; the columns ``keep`` come along, and ``error``."""
     made = _parse_datatype_string(columns)
@@ -28,16 +32,23 @@ def per_row(rows: DataFrame, columns: str, work: Callable[[dict], list[tuple]],
     kinds = [(f.name, f.type) for f in to_arrow_schema(schema)]
     width = len(made.fields)
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                (row,) = b.slice(i, 1).to_pylist()
                 own = tuple(row[c] for c in keep)
                 try:
                     out += [(*own, *r, None) for r in work(row)]
                 except (ValueError, KeyError) as e:
                     out.append((*own, *[None] * width, str(e)[:300]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+                if len(out) >= ROWS:  # a tree's results don't wait for the others of its batch
+                    yield batch(out)
+                    out = []
+            yield batch(out)
 
     return rows.mapInArrow(run, schema)
 
@@ -71,6 +82,12 @@ def splits(trees: DataFrame, keep: list[str], within: str | None = None) -> Data
     return per_row(trees, "split array<string>", work, keep)
 
 
+def split_sizes(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, size int): a row for each nontrivial split, with the size of its smaller side; for
+    trees whose members by split (``splits``, quadratic in a tree's height) are too many."""
+    return per_row(trees, "size int", lambda r: [(n,) for n in newick.parse(r["newick"]).split_sizes()], keep)
+
+
 def distances(pairs: DataFrame, keep: list[str], a: str = "newick_a", b: str = "newick_b") -> DataFrame:
     """(keep, rf, nrf, n_common) of two trees a row."""
     return per_row(pairs, "rf int, nrf double, n_common int", lambda r: [rf(newick.parse(r[a]), newick.parse(r[b]))], keep)
@@ -113,4 +130,4 @@ def clades(trees: DataFrame, keep: list[str], wanted: str = "wanted") -> DataFra
     return per_row(trees, "clade array<string>", lambda r: [(sorted(c),) for c in newick.parse(r["newick"]).clades_of(set(r[wanted]))], keep)
 
 
-__all__ = ["clades", "distances", "edges", "neighbours", "per_row", "problems", "pruned", "splits", "windows"]
+__all__ = ["clades", "distances", "edges", "neighbours", "per_row", "problems", "pruned", "split_sizes", "splits", "windows"]

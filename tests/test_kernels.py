@@ -380,3 +380,33 @@ def test_outgroup_candidates():
     t = grown([f"t{i}" for i in range(20)], 1)
     assert not t.problems() and len(t.edges()) == 37 and t.edges() == grown([f"t{i}" for i in range(20)], 1).edges()
     assert len(random_alignment(["a", "b"], 9, 1)["a"]) == 9
+
+
+def test_tall_trees_take_memory_by_their_leaves():
+    """Sides of splits, listed, would be millions of members here."""
+    import tracemalloc
+
+    n = 3000
+    ladder = "(" * (n - 2) + "t0000:0.1,t0001:0.1)" + "".join(f":0.1,t{i:04d}:0.2)" for i in range(2, n - 1))
+    tree = parse(ladder[:-1] + f",t{n - 1}:0.3);")
+    tracemalloc.start()
+    assert rf(tree, parse(write(tree))) == (0, 0.0, n)
+    assert sorted(tree.split_sizes()) == sorted(min(k, n - k) for k in range(2, n - 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e7
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_distance_and_sizes_against_listed_splits(seed):
+    rng = random.Random(seed)
+    names = [f"t{i:02d}" for i in range(12)]
+    a, b = random_tree(names, rng), random_tree([*rng.sample(names, 9), "x", "y"], rng)
+    for u, v in [(u, v) for u, v, _ in a.edges() if u not in a.names and v not in a.names][: seed % 2]:
+        for w in a.others(v, u):  # an inner node with more branches
+            a.connect(u, w, a.disconnect(v, w))
+        a.disconnect(u, v)
+        del a.adj[v]
+    taxa = set(a.names.values()) & set(b.names.values())
+    assert rf(a, b) == rf(b, a) == (len(a.splits(taxa) ^ b.splits(taxa)), len(a.splits(taxa) ^ b.splits(taxa)) / (2 * (9 - 3)), 9)
+    assert sorted(b.split_sizes()) == sorted(min(len(s), 11 - len(s)) for s in b.splits())
