@@ -10,6 +10,7 @@ steps together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -171,6 +172,75 @@ def _next(seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.select(*keys, "x", "low", "high", F.array(new, *inside).alias("points"), F.coalesce(flat_here | nothing_left | still | gone, F.lit(False)).alias("fine"))
 
 
+def followed(tables: DataFrame, start: DataFrame, model: Model, keys: Sequence[str] = ("msa_id",)) -> DataFrame:
+    """(keys, t, fine): as ``newton``, by the very steps of ``optimize.newton``. A branch may have
+    several optima, and where a search must end in the one that a task alone finds, its
+    path must be the same, not only its goal.
+
+    A reading also tries the points that come next where no Newton step is taken: the
+    bracket's ends and the middles on the way to them.
+    """
+    least, most = float(np.log(LEAST)), float(np.log(MOST))
+
+    def begin(r: dict) -> list[tuple]:
+        x = float(np.log(min(max(r["t"], LEAST), MOST)))
+        return [(*[r[k] for k in keys], _ahead(x, least, most), x, least, most, False, False, 0, False)]
+
+    def work(r: dict) -> list[tuple]:
+        return [(*[r[k] for k in keys], *_follow(r))]
+
+    schema = _schema(start, keys, PATH)
+    state = once(by_row(start.select(*keys, "t"), begin, schema, []))
+    done = []
+    while not state.isEmpty():
+        found = evaluated(tables, small(state.select(*keys, "points")), model, keys, POINTS)
+        state = once(by_row(state.join(found.drop("loglik"), list(keys)), work, schema, ["points", "slope", "curve"]))
+        over = F.size("points") == 0
+        t = F.least(F.greatest(F.exp("x"), F.lit(LEAST)), F.lit(MOST))
+        done.append(state.where(over).select(*keys, t.alias("t"), "fine"))
+        state = state.where(~over)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return once(out)
+
+
+PATH = "points doubles, x double, low double, high double, known_low boolean, known_high boolean, steps integer, fine boolean"
+
+
+def _ahead(x: float, low: float, high: float) -> list[float]:
+    """x and the points that may follow it without a Newton step, ``POINTS`` in all."""
+    down, up = [(x + low) / 2], [(x + high) / 2]
+    for _ in range(2):
+        down.append((down[-1] + low) / 2)
+    up.append((up[-1] + high) / 2)
+    return [x, low, high, *down, *up]
+
+
+def _follow(r: dict) -> tuple:
+    """The state of a branch after all steps of ``optimize.newton`` that lead to points whose
+    sums are known; no points are left to try if the branch is done."""
+    known = {float(p): (float(s), float(c)) for p, s, c in zip(r["points"], r["slope"], r["curve"], strict=True)}
+    x, low, high, known_low, known_high, steps = (r[n] for n in ("x", "low", "high", "known_low", "known_high", "steps"))
+    while x in known and steps < STEPS:
+        steps += 1
+        slope, curve = known[x]
+        length = math.exp(x)
+        bend = length * (length * curve + slope)
+        if not (math.isfinite(slope) and math.isfinite(bend)):
+            return [], x, low, high, known_low, known_high, steps, False
+        if slope >= TOLERANCE:
+            low, known_low, goal, tested = x, True, high, known_high
+        else:
+            high, known_high, goal, tested = x, True, low, known_low
+        step = x - length * slope / bend if bend < 0 else math.nan
+        new = step if min(x, goal) < step < max(x, goal) else (x + goal) / 2 if tested else goal
+        if (abs(slope) < TOLERANCE and bend < -TOLERANCE) or abs(math.exp(new) - length) < TOLERANCE:
+            return [], x, low, high, known_low, known_high, steps, True
+        x = new
+    return [] if steps >= STEPS else _ahead(x, low, high), x, low, high, known_low, known_high, steps, False
+
+
 # -- moves ------------------------------------------------------------------------
 MOVE = ("msa_id", "pu", "pv", "near", "far", "distance")
 
@@ -286,7 +356,7 @@ def sweep(messages: DataFrame, model: Model, o: Options = Options(), sweeps: int
         live = state.select(*PAIR, "t")
         for branch in range(5):
             tables = written(_branch_tables(messages, small(live), model, branch))
-            best = newton(tables, live.select(*PAIR, F.col("t")[branch].alias("t")), model, PAIR)
+            best = followed(tables, live.select(*PAIR, F.col("t")[branch].alias("t")), model, PAIR)
             moved = [F.col("best") if i == branch else F.col("t")[i] for i in range(5)]
             live = once(live.join(small(best.select(*PAIR, F.col("t").alias("best"))), list(PAIR)).select(*PAIR, F.array(*moved).alias("t")))
         state = once(live.join(likelihood(small(live)), list(PAIR)).join(before, list(PAIR)))

@@ -145,3 +145,13 @@ def test_depths_take_a_logarithm_of_rounds(spark):
     jobs = len(tracker.getJobIdsForGroup("depths"))
     spark.sparkContext.setJobGroup("", "")
     assert tuple(got) == (2998, 5998) and jobs < 120
+
+
+def test_sweep_ends_in_the_optimum_of_the_kernel(spark, tmp_path):
+    """Suppliers 340 to 349 as job 134: lengths found on another path than the kernel's end
+    3e-5 below its likelihood."""
+    from arborspark import queries
+
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_suppkey between 340 and 349")
+    lines.withColumn("l_suppkey", F.col("l_suppkey") + 1000).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in queries.merge_blocks(spark, str(tmp_path)).select("msa_id", "n_pairs", "agree").collect()] == [(134, 9, True)]
