@@ -78,6 +78,7 @@ def reversible(name: str, exchange: np.ndarray, frequencies) -> Model:
     q /= -(pi * np.diag(q)).sum()
     root = np.sqrt(pi)
     rates, u = np.linalg.eigh(root[:, None] * q / root)
+    rates[rates > 1e-12 * rates.min()] = 0.0  # rounding there would be all that long branches have of a slope
     return Model(name, pi, rates, u / root[:, None], u.T * root)
 
 

@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborspark.functions.likelihood import BOOST, FLOOR, TINY, Message, Scorer
+from arborspark.functions import curves
+from arborspark.functions.likelihood import FLOOR, Message, Scorer
 from arborspark.functions.merging import Options, prepare
 from arborspark.functions.models import Model
-from arborspark.functions.optimize import LEAST, MOST, STEPS, SWEEPS, TOLERANCE, prune_and_place
+from arborspark.functions.optimize import LEAST, MOST, STEPS, SWEEPS, TOLERANCE, both_many, prune_and_place
 from arborspark.functions.topology import Tree
 from arborspark.storage import once, small, written
 
@@ -46,16 +47,31 @@ def _floats(column: pa.Array, i: int) -> np.ndarray:
     return column[i].values.to_numpy(zero_copy_only=False)
 
 
+def _dicts(b: pa.RecordBatch, arrays: set[str]) -> Iterator[dict]:
+    """A batch's rows as dicts, the named columns as NumPy arrays."""
+    for i in range(b.num_rows):
+        yield {n: _floats(b.column(k), i) if n in arrays else b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+
+
 def _rows(batches: Iterator[pa.RecordBatch], work: Callable[[dict], list[tuple]], schema: pa.Schema, arrays: set[str]) -> Iterator[pa.RecordBatch]:
-    """Runs ``work`` on each row (a dict, the named columns as NumPy arrays)."""
+    """Runs ``work`` on each row."""
     for b in batches:
-        for i in range(b.num_rows):
-            row = {n: _floats(b.column(k), i) if n in arrays else b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+        for row in _dicts(b, arrays):
             out = work(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _batch(columns: Sequence, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of columns; arrays of two dimensions become lists."""
+    made = [_lists(c) if np.ndim(c) == 2 else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+
+
 def by_row(d: DataFrame, work: Callable[[dict], list[tuple]], schema: T.StructType, arrays: Sequence[str]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -271,98 +287,199 @@ def best_moves(moves: DataFrame, k: int) -> DataFrame:
 
 # -- the sweep of a merge ---------------------------------------------------------
 PAIR = ("msa_id", "a", "b")
+#: Blocks whose messages one task computes and keeps: the number of tasks grows with that of blocks.
+TASK = 64
+#: Candidate pairs up to which their lengths are sent to every task.
+PAIRS = 200_000
+#: Numbers of an array that are worked on at once: a megabyte stays in a core's cache.
+BATCH = 1 << 17
 
 
 def boundary_messages(jobs: DataFrame, parts: DataFrame, model: Model, o: Options = Options()) -> DataFrame:
-    """(msa_id, block, side, edge, u, v, half, near, near_logs, far, far_logs, weights): the
-    messages at both ends of every edge of a side's window, by block.
+    """(msa_id, block, weights and, with a_ and b_ before them, half, near, near_logs, far,
+    far_logs): the messages at both ends of every edge of a side's window, edge by edge in
+    flat arrays, a row a block. Neighbouring blocks of a job lie in one task.
 
     jobs: as for ``merge_many``. Each row joins a job's few kilobytes of trees to one block.
     """
 
     def work(r: dict) -> list[tuple]:
         masks = dict(zip(r["taxa"], r["masks"].reshape(r["n"], -1).T, strict=True))
-        out = []
+        out = [r["msa_id"], r["block"], r["weights"]]
         for side in "ab":
             p = prepare(r[f"newick_{side}"], r[f"interest_{side}"], r[f"inherited_{side}"])
-            s = Scorer(p.core, masks, r["weights"], model)
-            for e, (u, v) in enumerate(p.core.window(*p.anchor, o.window)):
-                (near, ln), (far, lf) = s.message(u, v), s.message(v, u)
-                out.append((r["msa_id"], r["block"], side, e, u, v, p.core.adj[u][v] / 2, flat(near), flat(ln), flat(far), flat(lf), r["weights"]))
-        return out
-
-    d = parts.join(small(jobs), "msa_id")
-    columns = "side string, edge integer, u integer, v integer, half double, near doubles, near_logs doubles, far doubles, far_logs doubles, weights doubles"
-    return written(by_row(d, work, _schema(parts, ["msa_id", "block"], columns), ["masks", "weights"]))
+            s, edges = Scorer(p.core, masks, r["weights"], model), p.core.window(*p.anchor, o.window)
+            out.append([p.core.adj[u][v] / 2 for u, v in edges])
+            for ends in ([s.message(u, v) for u, v in edges], [s.message(v, u) for u, v in edges]):
+                out += [flat(np.stack([m for m, _ in ends])), flat(np.stack([log for _, log in ends]))]
+        return [tuple(out)]
 
+    parts = once(parts)
+    near = F.floor(F.col("block") / TASK)
+    d = parts.join(small(jobs), "msa_id").repartition(-(-max(parts.count(), 1) // TASK), "msa_id", near).sortWithinPartitions("msa_id", "block")
+    columns = ", ".join(["weights doubles", *[f"{n} doubles" for s in "ab" for n in (f"{s}_half", *_ends(s))]])
+    return once(by_row(d, work, _schema(parts, ["msa_id", "block"], columns), ["masks", "weights"]))
 
-ENDS = [f"{side}_{part}" for side in "ab" for part in ("near", "near_logs", "far", "far_logs")]
 
+def _ends(side: str) -> list[str]:
+    return [f"{side}_{part}" for part in ("near", "near_logs", "far", "far_logs")]
 
-def _paired(messages: DataFrame, state: DataFrame) -> DataFrame:
-    """Each live pair's four messages, block by block."""
-    side = lambda s: messages.where(F.col("side") == s).select("msa_id", "block", F.col("edge").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("near", "near_logs", "far", "far_logs")], *(["weights"] if s == "a" else []))
-    return side("a").join(side("b"), ["msa_id", "block"]).join(state, list(PAIR))
 
+ARRAYS = ["weights", *_ends("a"), *_ends("b"), "a", "b", "t", "ll"]
 
-def _ends(r: dict, k: int) -> list[Message]:
-    return [(r[f"{s}_{p}"].reshape(k, -1), r[f"{s}_{p}_logs"]) for s in "ab" for p in ("near", "far")]
 
+def _met(messages: DataFrame, live: DataFrame, few: bool) -> DataFrame:
+    """Each block's messages with all live pairs (PAIR, t, ll) of its job as flat arrays; few:
+    the pairs are sent to every task."""
+    pairs = live.groupBy("msa_id").agg(F.collect_list(F.struct("a", "b", "t", "ll")).alias("p"))
+    pairs = pairs.select("msa_id", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.flatten("p.t").alias("t"), F.col("p.ll").alias("ll"))
+    return messages.join(F.broadcast(pairs) if few else pairs, "msa_id").select("msa_id", "block", *ARRAYS)
 
-def _both(model: Model, a: Message, x: float, b: Message, y: float) -> Message:
-    """The product of two messages, each carried over a branch, rescaled."""
-    z, log = (model.p(x) @ a[0]) * (model.p(y) @ b[0]), a[1] + b[1]
-    top = z.max(0)
-    low = (top > 0) & (top < TINY)
-    return np.where(low, z * BOOST, z), log - np.where(low, np.log(BOOST), 0.0)
 
-
-def _across(model: Model, e: list[Message], t: Sequence[float], branch: int) -> tuple[Message, Message]:
-    """The messages at the two ends of one of the five branches (0: the connector)."""
-    u = lambda: _both(model, e[0], t[1], e[1], t[2])
-    v = lambda: _both(model, e[2], t[3], e[3], t[4])
+def _across(model: Model, e: list[Message], t: np.ndarray, branch: int) -> tuple[Message, Message]:
+    """The messages at the two ends of one of the five branches (0: the connector) of many
+    pairs; e: their four messages, t: (pairs, 5)."""
+    u = lambda: both_many(model, e[0], t[:, 1], e[1], t[:, 2])
+    v = lambda: both_many(model, e[2], t[:, 3], e[3], t[:, 4])
     if branch == 0:
         return u(), v()
     i = branch - 1
     mate = i ^ 1
-    return _both(model, v() if i < 2 else u(), t[0], e[mate], t[1 + mate]), e[i]
+    return both_many(model, v() if i < 2 else u(), t[:, 0], e[mate], t[:, 1 + mate]), e[i]
+
+
+def _branches(model: Model, r: dict, branch: int, values: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(pairs, sum tables, logs) of a block's pairs, some at a time; values: numbers that a
+    pattern of a pair takes at once."""
+    n, t = len(r["weights"]), r["t"].reshape(-1, 5)
+    ends = [(r[f"{s}_{part}"].reshape(-1, model.k, n), r[f"{s}_{part}_logs"].reshape(-1, n), r[s]) for s in "ab" for part in ("near", "far")]
+    step = max(1, BATCH // (max(model.k, values) * max(1, n)))
+    for at in range(0, len(t), step):
+        some = slice(at, at + step)
+        a, b = _across(model, [(m[edge[some]], logs[edge[some]]) for m, logs, edge in ends], t[some], branch)
+        yield some, sumtable(model, a[0], b[0]), a[1] + b[1]
+
+
+def _block_sums(model: Model, r: dict, branch: int, curve: bool) -> np.ndarray:
+    """(pairs, values): a block's part of the curve of each pair's branch, if asked for, and of
+    its log-likelihood at the lengths of now."""
+    w, t = r["weights"], r["t"].reshape(-1, 5)[:, branch]
+    out = np.empty((len(t), curves.SIZE * curve + 1))
+    for some, s, logs in _branches(model, r, branch, curves.SIZE * curve):
+        like = (np.exp(np.outer(t[some], model.rates))[:, None, :] @ s)[:, 0]
+        out[some, -1] = (np.log(np.maximum(like, FLOOR)) + logs) @ w
+        if curve:
+            out[some, :-1] = curves.values(model, s, w)
+    return out
 
 
-def _branch_tables(messages: DataFrame, state: DataFrame, model: Model, branch: int) -> DataFrame:
-    def work(r: dict) -> list[tuple]:
-        a, b = _across(model, _ends(r, model.k), r["t"], branch)
-        return [(*[r[k] for k in PAIR], r["block"], flat(sumtable(model, a[0], b[0])), flat(a[1] + b[1]), r["weights"])]
+def _task_sums(batches: Iterator[pa.RecordBatch], work: Callable[[dict], np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(PAIR, t, ll, sums): the sums of a job's neighbouring blocks, a row a pair."""
+
+    def rows(job: dict, sums: np.ndarray) -> pa.RecordBatch:
+        return _batch([[job["msa_id"]] * len(sums), job["a"], job["b"], job["t"].reshape(-1, 5), job["ll"], sums], schema)
+
+    job, sums = None, None
+    for b in batches:
+        for r in _dicts(b, set(ARRAYS)):
+            found = work(r)
+            if job is not None and job["msa_id"] == r["msa_id"]:
+                sums += found
+                continue
+            if job is not None:
+                yield rows(job, sums)
+            job, sums = {n: r[n] for n in ("msa_id", "a", "b", "t", "ll")}, found
+    if job is not None:
+        yield rows(job, sums)
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """msa_id, a, b, t, ll and the whole sums, some pairs at a time, of rows in order of pairs:
+    what is held is a batch and the last pair's sum."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = [c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            x = [np.concatenate([h, y]) for h, y in zip(held, x, strict=True)]
+        at = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in x[:3]], axis=0)))
+        x = [*[y[at] for y in x[:5]], np.add.reduceat(x[5], at)]
+        yield [y[:-1] for y in x]
+        held = [y[-1:] for y in x]
+    if held is not None:
+        yield held
+
+
+def _summed(messages: DataFrame, live: DataFrame, few: bool, model: Model, branch: int, curve: bool, finish: Callable[..., list[np.ndarray]], columns: str) -> DataFrame:
+    """(PAIR, t, columns) of the live pairs (PAIR, t, ll) from ``finish(t, ll, sums)``, in one
+    reading of the messages: a task adds up a job's blocks, and the tasks' sums of a pair
+    meet in one shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    part, whole = _schema(live, PAIR, "t doubles, ll double, sums doubles"), _schema(live, PAIR, f"t doubles, {columns}")
+    arrow_part, arrow_whole = to_arrow_schema(part), to_arrow_schema(whole)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _task_sums(batches, lambda r: _block_sums(model, r, branch, curve), arrow_part)
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *keys, t, ll, sums in _pair_sums(batches):
+            if len(t):
+                t, *rest = finish(t, ll, sums)
+                yield _batch([*keys, t, *rest], arrow_whole)
+
+    parts = _met(messages, live, few).mapInArrow(add, part)
+    return once(parts.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(end, whole))
+
+
+def _moved(messages: DataFrame, live: DataFrame, few: bool, model: Model, branch: int, share: float = curves.SHARE) -> DataFrame:
+    """The live pairs (PAIR, t, ll) after the steps on one branch, all taken on the curve of its
+    slope; ll, if it is not a number, becomes the likelihood before them.
+
+    Where the curve cannot be trusted the steps are taken one reading at a time."""
+
+    def finish(t: np.ndarray, ll: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
+        found, sure = curves.best(model, sums[:, :-1], t[:, branch], share)
+        t = t.copy()
+        t[sure, branch] = found[sure]
+        return [t, np.where(np.isnan(ll), sums[:, -1], ll), sure]
+
+    state = _summed(messages, live, few, model, branch, True, finish, "ll double, sure boolean")
+    doubt = state.where("not sure").drop("sure")
+    if doubt.isEmpty():
+        return state.drop("sure")
+
+    def tables(r: dict) -> list[tuple]:
+        return [(r["msa_id"], int(r["a"][i]), int(r["b"][i]), r["block"], flat(x), flat(y), r["weights"]) for some, s, logs in _branches(model, r, branch, 0) for i, x, y in zip(range(len(r["a"]))[some], s, logs, strict=True)]
 
-    d = _paired(messages, state)
-    return by_row(d, work, _schema(d, [*PAIR, "block"], "s doubles, logs doubles, weights doubles"), [*ENDS, "weights", "t"])
+    of = _schema(live, PAIR, "block integer, s doubles, logs doubles, weights doubles")
+    best = followed(written(by_row(_met(messages, doubt, few), tables, of, ARRAYS)), doubt.select(*PAIR, F.col("t")[branch].alias("t")), model, PAIR)
+    t = F.array(*[F.col("best") if i == branch else F.col("t")[i] for i in range(5)])
+    again = doubt.join(best.select(*PAIR, F.col("t").alias("best")), list(PAIR)).select(*PAIR, t.alias("t"), "ll")
+    return once(state.where("sure").drop("sure").unionByName(again))
 
 
 def sweep(messages: DataFrame, model: Model, o: Options = Options(), sweeps: int = SWEEPS) -> DataFrame:
     """(msa_id, a, b, t array<double>, ll): every candidate pair of every job with its five
-    branches optimised in turn. Pairs stop as their gain falls below ``eps_five``."""
-    edges = once(messages.select("msa_id", "side", "edge", "half").distinct())
-    of = lambda s: edges.where(F.col("side") == s).select("msa_id", F.col("edge").alias(s), F.col("half").alias(f"h{s}"))
+    branches optimised in turn, each in one reading of the messages. Pairs stop as their
+    gain falls below ``eps_five``."""
+    halves = messages.select("msa_id", "a_half", "b_half").distinct()
+    pairs = halves.select("msa_id", F.posexplode("a_half").alias("a", "ha"), "b_half").select("msa_id", "a", "ha", F.posexplode("b_half").alias("b", "hb"))
     start = F.array(F.lit(o.connector), "ha", "ha", "hb", "hb")
-    state = once(of("a").join(of("b"), "msa_id").select(*PAIR, start.alias("t")))
+    state = once(pairs.select(*PAIR, start.alias("t"), F.lit(float("nan")).alias("ll")))
 
-    def likelihood(live: DataFrame) -> DataFrame:
-        at = live.select(*PAIR, F.array(F.log(F.col("t")[0])).alias("points"))
-        return evaluated(_branch_tables(messages, live, model, 0), at, model, PAIR).select(*PAIR, F.col("loglik")[0].alias("ll"))
+    def gained(t: np.ndarray, ll: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
+        return [t, sums[:, 0], sums[:, 0] - ll >= o.eps_five]
 
-    state = once(state.join(likelihood(small(state)), list(PAIR)))
     done = []
     for _ in range(sweeps):
-        before = state.select(*PAIR, F.col("ll").alias("before"))
-        live = state.select(*PAIR, "t")
+        few = state.limit(PAIRS + 1).count() <= PAIRS
         for branch in range(5):
-            tables = written(_branch_tables(messages, small(live), model, branch))
-            best = followed(tables, live.select(*PAIR, F.col("t")[branch].alias("t")), model, PAIR)
-            moved = [F.col("best") if i == branch else F.col("t")[i] for i in range(5)]
-            live = once(live.join(small(best.select(*PAIR, F.col("t").alias("best"))), list(PAIR)).select(*PAIR, F.array(*moved).alias("t")))
-        state = once(live.join(likelihood(small(live)), list(PAIR)).join(before, list(PAIR)))
-        more = F.col("ll") - F.col("before") >= o.eps_five
-        done.append(state.where(~more).drop("before"))
-        state = once(state.where(more).drop("before"))
+            state = _moved(messages, state, few, model, branch)
+        state = _summed(messages, state, few, model, 0, False, gained, "ll double, more boolean")
+        done.append(state.where("not more").drop("more"))
+        state = state.where("more").drop("more")
         if state.isEmpty():
             break
     out = state

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborspark.functions import models
+from arborspark.functions import curves, models
 from arborspark.functions.likelihood import Scorer
 from arborspark.functions.merging import Options, connect, prepare
-from arborspark.functions.optimize import MOST, newton
+from arborspark.functions.optimize import MOST, newton, newton_many
 from arborspark.operators import blocks, levels
 from arborspark.sources.newick import write
 
@@ -155,3 +155,58 @@ def test_sweep_ends_in_the_optimum_of_the_kernel(spark, tmp_path):
     lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_suppkey between 340 and 349")
     lines.withColumn("l_suppkey", F.col("l_suppkey") + 1000).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in queries.merge_blocks(spark, str(tmp_path)).select("msa_id", "n_pairs", "agree").collect()] == [(134, 9, True)]
+
+
+def side_jobs(spark, window=3):
+    """Messages of two merges of four taxa a side."""
+    rng, names, rows, data = random.Random(9), [f"s{i}" for i in range(8)], [], []
+    for j in range(2):
+        a, b = (write(random_tree([*own, guest], rng)) for own, guest in ((names[:4], names[4 + j]), (names[4:], names[j])))
+        rows.append((j, a, b, names[4 + j], names[j], [], [], names))
+        data += [(j, i, c) for i, c in enumerate(alignment(names, 4, 40, j))]
+    jobs = spark.createDataFrame(rows, "msa_id long, newick_a string, newick_b string, interest_a string, interest_b string, inherited_a array<string>, inherited_b array<string>, taxa array<string>")
+    d = spark.createDataFrame(data, "msa_id long, site int, masks array<int>")
+    m = models.jukes_cantor(4)
+    return m, blocks.boundary_messages(jobs, blocks.blocks(d, 8), m, Options(window=window))
+
+
+def test_sweep_takes_few_jobs(spark):
+    """A branch takes one reading of the messages, not one for each of its steps."""
+    model, messages = side_jobs(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sweep", "sweep")
+    got = blocks.sweep(messages, model, Options(window=3)).count()
+    jobs = len(tracker.getJobIdsForGroup("sweep"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == 18 and jobs < 80
+
+
+def test_steps_without_a_trusted_curve(spark):
+    """Where no curve is trusted, the steps take a reading each and end in the same place."""
+    model, messages = side_jobs(spark, 2)
+    pairs = [(j, a, b, [0.1, 0.3, 0.02, 1.0, 0.2], float("nan")) for j in range(2) for a in range(2) for b in range(2)]
+    live = spark.createDataFrame(pairs, "msa_id long, a int, b int, t array<double>, ll double")
+    one, other = ({tuple(r[:3]): r for r in blocks._moved(messages, live, True, model, 3, share).collect()} for share in (curves.SHARE, -1.0))
+    assert len(one) == 8 and one.keys() == other.keys()
+    for key, r in one.items():
+        assert r["t"] == pytest.approx(other[key]["t"], abs=1e-6) and r["ll"] == pytest.approx(other[key]["ll"], abs=1e-9)
+        assert [x for i, x in enumerate(r["t"]) if i != 3] == [0.1, 0.3, 0.02, 0.2] and r["t"][3] != 1.0
+
+
+@pytest.mark.parametrize("model", [models.jukes_cantor(4), models.jtt(), models.gtr([1, 2, 0.5, 0.7, 3, 1], [0.3, 0.2, 0.2, 0.3])])
+def test_curves_take_the_kernels_steps(model):
+    """From starts of all sizes, on branches with several optima and with none."""
+    rng = np.random.default_rng(3)
+    n, many = 9, 400
+    a, b = (np.eye(model.k)[rng.integers(0, model.k, (many, n))].transpose(0, 2, 1) for _ in "ab")
+    b = np.where((rng.random((many, n)) < rng.random((many, 1)))[:, None, :], a, b)
+    b[::2] = model.p(0.02) @ b[::2]
+    b[:5] = 1.0  # gaps
+    weights, t = rng.integers(1, 5, n).astype(float), np.exp(rng.uniform(np.log(1e-7), np.log(200), many))
+    want, _ = newton_many(model, weights, a, b, t)
+    s = blocks.sumtable(model, a, b)
+    halves = [curves.values(model, s[:, :, i], weights[i]) for i in (slice(0, 4), slice(4, n))]
+    got, sure = curves.best(model, sum(halves), t)
+    assert sure[5:].all() and got[5:] == pytest.approx(want[5:], rel=1e-5)
+    like = lambda x: np.log((np.exp(np.outer(x, model.rates))[:, None, :] @ s)[:, 0]) @ weights
+    assert like(got) == pytest.approx(like(want), abs=1e-9)
